@@ -2,16 +2,31 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, quality
+from . import decontam, jaccard_join, packing, quality, token_orc
 from .common import Workspace, table
 
 
+def default_tokenizer() -> str:
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), Workspace(spark, "op1"), n=3, percent=90)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "op3"), tokenizer or default_tokenizer())
+
+
+def op5_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    path = Workspace(spark, "op5").at("tokens")
+    token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or default_tokenizer())
+    return token_orc.digests(spark, path)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -23,6 +38,8 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_packing": op3_packing,
+    "op5_token_orc": op5_token_orc,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
