@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, packing, quality, token_orc
+from . import decontam, jaccard_join, lm, packing, quality, token_orc
 from .common import Workspace, table
 
 
@@ -27,6 +27,11 @@ def op5_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str | None = None
     return token_orc.digests(spark, path)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.train_and_score(spark, table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
@@ -40,6 +45,7 @@ QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_packing": op3_packing,
     "op5_token_orc": op5_token_orc,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
