@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard_join, lm, packing, quality, token_orc
+from . import decontam, jaccard_join, langid, licenses, lm, packing, quality, token_orc
 from .common import Workspace, table
 
 
@@ -21,12 +21,22 @@ def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "op3"), tokenizer or default_tokenizer())
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("places")
+
+
 def op5_token_orc(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = Workspace(spark, "op5").at("tokens")
     token_orc.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer or default_tokenizer())
     return token_orc.digests(spark, path)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    told = langid.identify(documents.select("doc_id", "text"), documents.filter(~langid.held_out()).select("doc_id", "text", "lang"))
+    return told.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", told["lang_score"].alias("score"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.train_and_score(spark, table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -44,7 +54,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_packing": op3_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_token_orc": op5_token_orc,
+    "op6_language_id": op6_language_id,
     "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
