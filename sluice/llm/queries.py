@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, jaccard_join, langid, licenses, lm, packing, quality, token_orc
+from . import decontam, jaccard_join, langid, licenses, lm, packing, quality, sharding, token_orc, warc
 from .common import Workspace, table
 
 
@@ -17,6 +18,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), Workspace(spark, "op1"), n=3, percent=90)
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = sharding.shard_documents(table(spark, sf_dir, "documents"), "op2", target_bytes=64 << 20)
+    return back.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), Workspace(spark, "op3"), tokenizer or default_tokenizer())
 
@@ -51,8 +57,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed", "kept")
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), Workspace(spark, "op10"))
+    read = warc.read_archives(manifest, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
     "op3_packing": op3_packing,
     "op4_license_scan": op4_license_scan,
     "op5_token_orc": op5_token_orc,
@@ -60,9 +73,20 @@ QUERIES = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_decontamination": op8_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL = {
+    "op2_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op10_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+h AS (SELECT page_id, strlen(t) AS n, sha1(t) AS x FROM p),
+d AS (SELECT page_id, n, x, array_to_string(list_transform(range(0, 32), lambda i:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31), 1)), '') AS dig FROM h),
+f AS (SELECT x, min(page_id) AS first FROM d GROUP BY x)
+SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.dig AS payload_digest, CASE WHEN d.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN d.page_id <> f.first THEN f.first END AS refers_to FROM d JOIN f USING (x)
+""",
     "op1_ngram_jaccard_join": r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
