@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import crypto, hashing
 from ..functions.params import in_sql
 from ..operators import loads, quality_rules, reconcile, shape
+from . import flow
 from ..operators.quality_rules import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,3 +371,29 @@ def _(t: Tables) -> DataFrame:
     key = "0123456789abcdef"
     locked = crypto.encrypt(t.customer, [crypto.Crypt("c_name", key), crypto.Crypt("c_acctbal", key, "ECB", "balance")]).drop("c_acctbal")
     return crypto.decrypt(locked, [crypto.Crypt("c_name", key, declared="string"), crypto.Crypt("balance", key, "ECB", "c_acctbal", "double")]).select("c_custkey", "c_name", "c_acctbal")
+
+
+# --- flows -----------------------------------------------------------------------------------------------
+
+SPEC = {
+    "group_id": "orders",
+    "parameters": {"least": 50000, "priority": "1-URGENT"},
+    "ingestion_flows": [{"flow_id": "raw", "source": {"table": "orders"}, "target": "bronze_orders", "standardize": ["trim(o_orderstatus) AS o_orderstatus"]}],
+    "transformation_flows": [{
+        "flow_id": "values", "inputs": {"o": "bronze_orders", "c": {"table": "customer"}, "n": {"table": "nation"}}, "target": "order_values", "keys": ["o_orderkey"], "load": "SCD1",
+        "sql": "SELECT o_orderkey, n_name, o_totalprice, o_orderstatus FROM o JOIN c ON o_custkey = c_custkey JOIN n ON c_nationkey = n_nationkey WHERE o_totalprice > ${least} AND o_orderpriority <> ${priority}",
+        "rules": [{"id": "open", "expression": "o_orderstatus <> 'F'", "action": "quarantine", "reason": "finished"}],
+    }],
+}
+
+
+@query("flow_order_values", f"SELECT o_orderkey, n_name, o_orderstatus, {SHA('o_orderkey')} AS _eng_hash_key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 50000 AND o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'F'")
+def _(t: Tables) -> DataFrame:
+    made = flow.run(t.spark, SPEC, lambda read: getattr(t, read["table"]))
+    return made["values"].clean.select("o_orderkey", "n_name", "o_orderstatus", hashing.KEY)
+
+
+@query("flow_quarantine", "SELECT o_orderkey, 'open' AS rules FROM orders WHERE o_totalprice > 50000 AND o_orderpriority <> '1-URGENT' AND o_orderstatus = 'F'")
+def _(t: Tables) -> DataFrame:
+    made = flow.run(t.spark, SPEC, lambda read: getattr(t, read["table"]))
+    return made["values"].quarantine.select("o_orderkey", F.array_join(quality_rules.IDS, ",").alias("rules"))
