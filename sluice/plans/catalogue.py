@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from ..functions import crypto, hashing
 from ..functions.params import in_sql
 from ..operators import loads, quality_rules, reconcile, shape
+from ..sources import ber
+from ..sources.store import Store
+from ..streaming import flows as streams
 from . import flow
 from ..operators.quality_rules import Rule
 
@@ -397,3 +402,76 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     made = flow.run(t.spark, SPEC, lambda read: getattr(t, read["table"]))
     return made["values"].quarantine.select("o_orderkey", F.array_join(quality_rules.IDS, ",").alias("rules"))
+
+
+# --- store, binary records and streams -------------------------------------------------------------------
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that all executors share; a temporary one where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-")
+    return f"{root.rstrip('/')}/flow-{uuid.uuid4().hex[:12]}"
+
+
+@query("store_versions", "SELECT 'insert' AS change, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'update', CAST(count(*) AS BIGINT) FROM customer WHERE c_custkey % 7 = 0 AND c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 UNION ALL SELECT 'delete', CAST(count(*) AS BIGINT) FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
+def _(t: Tables) -> DataFrame:
+    store, base = Store(t.spark, shared_folder(t.spark)), t.customer.select("c_custkey", "c_name")
+    store.write("customer", base.filter("c_custkey % 5 <> 0"))
+    changed = F.when(F.expr("c_custkey % 7 = 0"), F.concat("c_name", F.lit("*"))).otherwise(F.col("c_name"))
+    store.write("customer", base.filter("c_custkey % 3 <> 0 OR c_custkey % 5 = 0").withColumn("c_name", changed))
+    return store.changes("customer", 1, 2, ["c_custkey"])
+
+
+@query("ber_decode", "SELECT c_custkey, c_name AS name, c_custkey AS number, c_custkey % 2 = 0 AS flag FROM customer")
+def _(t: Tables) -> DataFrame:
+    schema = "Calls DEFINITIONS AUTOMATIC TAGS ::= BEGIN Call ::= SEQUENCE { name IA5String, number INTEGER, flag BOOLEAN } END"
+    hexed = lambda c, w: F.lpad(F.hex(c), w, "0")
+    body = F.concat(F.lit("80"), hexed(F.length("c_name"), 2), F.hex(F.encode("c_name", "UTF-8")), F.lit("8108"), hexed(F.col("c_custkey"), 16), F.lit("8201"), F.expr("if(c_custkey % 2 = 0, 'FF', '00')"))
+    payload = F.unhex(F.concat(F.lit("30"), hexed((F.length(body) / 2).cast("int"), 2), body))
+    return ber.decode_frame(t.customer.select("c_custkey", payload.alias("content")), schema).select("c_custkey", "name", "number", "flag")
+
+
+@query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")
+def _(t: Tables) -> DataFrame:
+    events = streams.read_events(t.spark, f"{t.sf_dir}/events.parquet")
+    return streams.run_once(streams.dedup(events.union(events), ["event_id"]).select("event_id", "user_id", "event_type"), shared_folder(t.spark))
+
+
+@query("stream_window", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    events = streams.read_events(t.spark, f"{t.sf_dir}/events.parquet")
+    counted = events.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return streams.run_once(counted.select(F.col("window.start").cast("date").cast("string").alias("day"), "event_type", "n"), shared_folder(t.spark), "complete")
+
+
+@query("stream_interval_join", "SELECT a.event_id AS first_id, b.event_id AS second_id FROM events a JOIN events b ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 10 MINUTES AND a.event_id <> b.event_id")
+def _(t: Tables) -> DataFrame:
+    left, right = (streams.read_events(t.spark, f"{t.sf_dir}/events.parquet") for _ in range(2))
+    return streams.run_once(streams.interval_join(left, right, "user_id", 10), shared_folder(t.spark))
+
+
+@query("stream_static_join", "SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey")
+def _(t: Tables) -> DataFrame:
+    events = streams.read_events(t.spark, f"{t.sf_dir}/events.parquet")
+    return streams.run_once(t.spark.sql("SELECT event_id, c_name FROM {e} JOIN {c} ON user_id = c_custkey", e=events, c=t.customer), shared_folder(t.spark))
+
+
+@query("stream_scd1", f"SELECT user_id, event_id, event_type FROM ({LATEST}) WHERE rn = 1 AND event_type <> 'error'")
+def _(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark)
+    store = Store(t.spark, folder)
+    streams.load_scd1(streams.read_events(t.spark, f"{t.sf_dir}/events.parquet"), store, "users", CDC, f"{folder}/state")
+    return loads.scd1(store.read("users")).select("user_id", "event_id", "event_type")
+
+
+# --- observability views over an event log made of events ------------------------------------------------
+
+LOG = """(SELECT event_id, concat('u', CAST(user_id % 20 AS STRING)) AS update_id, concat('flow', CAST(user_id % 5 AS STRING)) AS flow,
+  ts, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status, CAST(round(value) AS BIGINT) AS written FROM {events})"""
+LATEST_STATUS = f"""(SELECT update_id, flow, status FROM (SELECT *, row_number() OVER (PARTITION BY update_id, flow ORDER BY CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS rn FROM {LOG} l) x WHERE rn = 1)"""
+sql("view_flow_metrics", f"SELECT m.update_id, m.flow, s.status, first_ts, last_ts, events, written FROM (SELECT update_id, flow, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS events, CAST(sum(written) AS BIGINT) AS written FROM {LOG} l GROUP BY update_id, flow) m JOIN {LATEST_STATUS} s ON m.update_id = s.update_id AND m.flow = s.flow")
+sql("view_dq_results", f"SELECT flow, CAST(count(*) AS BIGINT) AS checked, CAST(sum(CASE WHEN written > 50 THEN 1 ELSE 0 END) AS BIGINT) AS passed, CASE WHEN sum(CASE WHEN written > 50 THEN 1 ELSE 0 END) * 100 >= count(*) * 95 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM {LOG} l GROUP BY flow")
+sql("view_recon_health", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS keys, CAST(count(o_custkey) AS BIGINT) AS matched, count(o_custkey) = count(*) AS is_clean FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey FROM {orders}) x ON c_custkey = o_custkey GROUP BY c_nationkey")
+sql("view_group_health", f"SELECT flow, CAST(count(*) AS BIGINT) AS updates, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CASE WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) = 0 THEN 'HEALTHY' WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'FAILING' ELSE 'DEGRADED' END AS health FROM {LATEST_STATUS} s GROUP BY flow")
+sql("view_flow_inventory", "SELECT 'ingestion' AS kind, n_name AS flow FROM {nation} UNION ALL SELECT 'transformation', r_name FROM {region} UNION ALL SELECT 'reconciliation', s_name FROM {supplier}")
+sql("view_lineage", "SELECT r_name AS source, n_name AS target, CAST(count(c_custkey) AS BIGINT) AS uses FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY ALL")
