@@ -33,6 +33,8 @@ from .components import components
 REGION = 32
 #: Lists of up to this many 8-byte ids are broadcast; longer ones are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
+#: At most so many pivots are struck, the fullest ones; the order is free, so this bounds memory, not results.
+MAX_STRUCK = 1_000_000
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -147,6 +149,53 @@ def matched(prefixes: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(gather, "key long, node long")
 
 
+def _overfull(regions: DataFrame) -> DataFrame:
+    return regions.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > REGION)
+
+
+def _within(keys: np.ndarray, struck: np.ndarray) -> np.ndarray:
+    if not len(struck):
+        return np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(struck, keys), len(struck) - 1)
+    return struck[at] == keys
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _holding(shared):
+    """Nodes (node, p, keys) that hold a struck key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, offsets = _lists(batch.column(2))
+            before = np.concatenate([[0], np.cumsum(_within(keys, shared.value))])
+            holds = before[offsets[1:]] > before[offsets[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(holds))], ["node"])
+
+    return run
+
+
+def _dealt_anew(shared):
+    """The first p keys of (node, p, shingles) in the order that puts struck keys last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, offsets = _lists(batch.column(2))
+            hot, out = _within(values, shared.value), []
+            for p, s, e in zip(batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+                keys, last = values[s:e], hot[s:e]
+                cold = keys[~last]
+                out.append(cold[:p] if len(cold) >= p else np.concatenate([cold, keys[last][: p - len(cold)]]))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "dealt"])
+
+    return run
+
+
 def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """Rows of df whose column is among the distinct ids; a list of checked size is broadcast."""
     keys = ids.toDF(column)
@@ -176,20 +225,18 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
     regions = work.save(matched(prefixes, parts), "regions-0")
     release(spark)
 
-    # Recursion, first kind: overfull regions give up their pivot.
-    full = work.save(regions.groupBy("key").count().filter(F.col("count") > REGION).select("key"), "overfull")
-    if not full.isEmpty():
-        touched = regions.join(full, "key", "left_semi").select("node").distinct()
-        rows = _among(sets.select("node", "n", "shingles"), "node", touched).select("node", window.alias("p"), F.explode("shingles").alias("key"))
-        marked = full.withColumn("hot", F.lit(1))
-        if full.count() <= MAX_BROADCAST_IDS:
-            marked = F.broadcast(marked)
-        rows = rows.join(marked, "key", "left")
-        # Array sort puts cold keys (0) before overfull ones (1), each in the global order.
-        dealt = rows.groupBy("node").agg(
-            F.first("p").alias("p"), F.sort_array(F.collect_list(F.struct(F.coalesce("hot", F.lit(0)).alias("hot"), F.col("key").alias("key")))).alias("all")
-        ).select("node", F.transform(F.slice("all", 1, F.col("p")), lambda x: x["key"]).alias("dealt"))
-        dealt = work.save(dealt, "dealt")
+    # Recursion, first kind: overfull regions give up their pivot. Documents of such regions are probed four
+    # windows deep, which shows the other shingles that they share.
+    crowd = work.save(_overfull(regions), "overfull-0")
+    if not crowd.isEmpty():
+        touched = work.save(regions.join(crowd, "key", "left_semi").select("node").distinct(), "touched-0")
+        deep = _among(sets.select("node", "n", "shingles"), "node", touched).select("node", F.slice("shingles", 1, 4 * window).alias("keys"))
+        crowd = work.save(crowd.union(_overfull(matched(deep, parts))).groupBy("key").agg(F.max("size").alias("size")), "overfull-1")
+        struck = np.sort(np.array([r["key"] for r in crowd.orderBy(F.desc("size")).limit(MAX_STRUCK).collect()], np.int64))  # bounded
+        shared = spark.sparkContext.broadcast(struck)
+        touched = work.save(prefixes.mapInArrow(_holding(shared), "node long"), "touched-1")
+        rows = _among(sets.select("node", "n", "shingles"), "node", touched).select("node", window.alias("p"), "shingles")
+        dealt = work.save(rows.mapInArrow(_dealt_anew(shared), "node long, dealt array<long>"), "dealt")
         anew = prefixes.join(dealt, "node", "left").select("node", F.coalesce("dealt", "keys").alias("keys"))
         regions = work.save(matched(anew, parts), "regions-1")
         work.drop("regions-0", "dealt")
@@ -213,55 +260,99 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
 
 def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly what all pairs within the threshold connect."""
+    sets = held.select("node", "shingles")
 
     def near(na: str, nb: str):
-        return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
+        return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
+
+    def linked():
+        return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b) of distinct pairs within the threshold; sizes are compared before sets travel."""
-        na, nb = sizes.toDF("a", "na"), sizes.toDF("b", "nb")
-        likely = work.save(pairs.distinct().join(na, "a").join(nb, "b").filter(near("na", "nb")), f"{name}-likely")
-        sa = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-        sb = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-        both = likely.join(sa, "a").join(sb, "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        return work.save(both.filter(F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent).select("a", "b"), name)
-
-    links, step = None, 0
-    while True:
-        pivots = work.save(regions.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")), f"pivots-{step}")
-        if pivots.isEmpty():
-            break
-        star = regions.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        found = verify(star, f"star-{step}")
-        links = found if links is None else links.union(found)
-        # A label per document: pointers to linked pivots, followed a few times. Documents with one label are
-        # in one component for sure; a region of one label is settled, all others keep their documents.
-        label = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label"))
-        label = work.save(label, f"label-{step}")
+        """(a, b) of pairs within the threshold; sizes are compared before sets travel."""
+        likely = work.save(sized(pairs).filter(near("na", "nb")), f"{name}-likely")
+        both = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
+        return work.save(both.filter(linked()).select("a", "b"), name)
+
+    def unsettled(regions: DataFrame, label: DataFrame | None) -> DataFrame:
+        """Rows of regions whose documents don't all have one label."""
+        if label is None:
+            return regions.withColumn("label", F.col("node"))
+        rows = regions.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
+        return rows.join(mixed, "key", "left_semi")
+
+    def labels(links: DataFrame, name: str) -> DataFrame:
+        """(node, label): documents with one label are in one component for sure (not the other way round).
+        A pointer to the smallest linked node, followed a few times."""
+        label = work.save(links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}-0")
         for _ in range(3):
             label = label.alias("x").join(label.alias("y"), F.col("x.label") == F.col("y.node"), "left").select(
                 F.col("x.node").alias("node"), F.coalesce("y.label", "x.label").alias("label")
             )
-        label = work.save(label, f"labels-{step}")
-        labelled = regions.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        labelled = work.save(labelled, f"labelled-{step}")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        # The pivot was compared with everyone, so it leaves; what remains recurses.
-        rest = labelled.join(mixed, "key").join(pivots, "key").filter("node <> pivot")
+        return work.save(label, name)
+
+    links, label, step = None, None, 0
+    while True:
+        rows = work.save(unsettled(regions, label), f"rows-{step}")
+        if rows.isEmpty():
+            break
+        # The pivot of a region is the document that stands in most regions: it has least text of its own.
+        degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
+        pivots = rows.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.count("*").alias("size"))
+        pivots = work.save(pivots, f"pivots-{step}")
+        star = rows.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "size")
+        found = verify(star.filter(F.col("size") <= REGION).select("a", "b"), f"star-{step}")
+        # Large regions also keep what each document and its pivot do not share.
+        cells = sized(star.filter(F.col("size") > REGION).select("a", "b")).join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+        cells = cells.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long")).select(
+            "a", "b", "na", "nb", linked().alias("linked"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")
+        )
+        cells = work.save(cells, f"cells-{step}")
+        found = found.union(cells.filter("linked").select("a", "b"))
+        links = found if links is None else links.union(found)
+        label = labels(links, f"labels-{step}")
+        rest = unsettled(rows.drop("label"), label).join(pivots, "key").filter("node <> pivot")
         rest = work.save(rest.join(sizes, "node"), f"rest-{step}")
+        # Small regions: all pairs that are still open, at most REGION / 2 a row.
         x, y = (rest.filter(F.col("size") <= REGION).select("key", *[F.col(c).alias(s + c) for c in ("node", "label", "n")]) for s in "ab")
         pairs = x.join(y, "key").filter((F.col("anode") < F.col("bnode")) & (F.col("alabel") != F.col("blabel")) & near("an", "bn"))
-        found = verify(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), f"pairs-{step}")
-        links = links.union(found)
-        large = rest.filter(F.col("size") > REGION)
-        several = large.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        regions = work.save(large.join(several, "key", "left_semi").select("key", "node"), f"regions-next-{step}")
+        links = links.union(verify(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), f"pairs-{step}"))
+        open_ = rest.filter(F.col("size") > REGION).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        regions = work.save(_recentred(cells.join(open_, ["a", "b"], "left_semi"), percent), f"regions-next-{step}")
         step += 1
     if links is None:
         return regions.select(F.col("node").alias("a"), F.col("node").alias("b"))
     return links
 
 
+def _recentred(cells: DataFrame, percent: int) -> DataFrame:
+    """Recursion, second kind: a large region seen from its pivot p falls into smaller regions.
+
+    With D(x) = x symmetric-minus p and s = |D|, two documents differ in |D(x) symmetric-minus D(y)| shingles;
+    the threshold allows at most c (|x| + |y|), c = (1 - t) / (1 + t). So a link needs that the differences
+    share o >= (s(x) + s(y) - c (|x| + |y|)) / 2 shingles, and the triangle inequality s(y) >= s(x) - c (|x| + |y|).
+    Documents linked to p are connected already; every other link has an end u that is not, so s(u) > c (|u| + |p|),
+    and then o > 0: were s(u) + s(v) <= c (|u| + |v|), s(v) < c (|v| - |p|) <= c s(v) would follow. So the rarest
+    s - o + 1 shingles of both differences meet, which makes them regions of a lower level.
+    """
+    c = (100 - percent) / (100 + percent)
+    widest = F.col("nb") * (c * (1 + 100 / percent))  # of c (|x| + |y|), over all sizes a partner may have
+    s = F.size("delta")
+    # For u: s(v) >= s(u) - widest, so o >= s(u) - widest. For v linked to p: s(u) > c (|u| + |p|).
+    least = F.when(F.col("linked"), (s - F.greatest(F.col("nb") - F.col("na"), F.lit(0)) * c) / 2).otherwise(s - widest)
+    cells = cells.withColumn("s", s).withColumn("p", s - F.greatest(F.ceil(least - 1e-6), F.lit(1)).cast("int") + 1)
+    exploded = cells.filter("s > 0").select("a", "b", "p", F.explode("delta").alias("shingle"))
+    often = exploded.groupBy("a", "shingle").agg(F.count("*").alias("often"))
+    order = F.sort_array(F.collect_list(F.struct("often", "shingle")))
+    rarest = exploded.join(often, ["a", "shingle"]).groupBy("a", "b").agg(order.alias("order"), F.first("p").alias("p"))
+    lower = rarest.select("a", "b", F.explode(F.slice("order", 1, F.col("p"))).alias("x")).filter("x.often > 1")
+    return lower.select(F.xxhash64("a", "x.shingle").alias("key"), F.col("b").alias("node"))
+
+
 def keep_one(docs: DataFrame, work: Workspace, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. All columns pass through.
 
