@@ -260,7 +260,13 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
 
 def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspace, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly what all pairs within the threshold connect."""
-    sets = held.select("node", "shingles")
+
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """pairs (saved) with the sets of both ends; only the sets of these pairs travel."""
+        for end in "ab":
+            sets = _among(held.select("node", "shingles"), "node", pairs.select(end).distinct())
+            pairs = pairs.join(sets.toDF(end, "s" + end), end)
+        return pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
 
     def near(na: str, nb: str):
         return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
@@ -274,8 +280,7 @@ def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspac
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         """(a, b) of pairs within the threshold; sizes are compared before sets travel."""
         likely = work.save(sized(pairs).filter(near("na", "nb")), f"{name}-likely")
-        both = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-        return work.save(both.filter(linked()).select("a", "b"), name)
+        return work.save(with_sets(likely).filter(linked()).select("a", "b"), name)
 
     def unsettled(regions: DataFrame, label: DataFrame | None) -> DataFrame:
         """Rows of regions whose documents don't all have one label."""
@@ -307,8 +312,8 @@ def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspac
         star = rows.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "size")
         found = verify(star.filter(F.col("size") <= REGION).select("a", "b"), f"star-{step}")
         # Large regions also keep what each document and its pivot do not share.
-        cells = sized(star.filter(F.col("size") > REGION).select("a", "b")).join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-        cells = cells.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long")).select(
+        wide = work.save(sized(star.filter(F.col("size") > REGION).select("a", "b")), f"wide-{step}")
+        cells = with_sets(wide).select(
             "a", "b", "na", "nb", linked().alias("linked"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")
         )
         cells = work.save(cells, f"cells-{step}")
