@@ -35,6 +35,8 @@ REGION = 32
 MAX_BROADCAST_IDS = 500_000
 #: At most so many pivots are struck, the fullest ones; the order is free, so this bounds memory, not results.
 MAX_STRUCK = 1_000_000
+#: A large region is compared with this many of its documents at once; they are picked by a hash of the node.
+PIVOTS = 16
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -305,14 +307,19 @@ def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspac
         rows = work.save(unsettled(regions, label), f"rows-{step}")
         if rows.isEmpty():
             break
-        # The pivot of a region is the document that stands in most regions: it has least text of its own.
+        # The pivot of a region is the document that stands in most regions: it has least text of its own. A
+        # large region takes the best of each of PIVOTS hash classes, which are one row per region to hold.
         degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
-        pivots = rows.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("pivot"), F.count("*").alias("size"))
+        best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == i, F.struct("degree", "node"))).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = rows.join(degree, "node").groupBy("key").agg(F.count("*").alias("size"), *best)
+        first = F.greatest(*[f"p{i}" for i in range(PIVOTS)])["node"]
+        several = F.array_compact(F.array(*[F.col(f"p{i}.node") for i in range(PIVOTS)]))
+        pivots = pivots.select("key", "size", first.alias("pivot"), F.when(F.col("size") > REGION, several).otherwise(F.array(first)).alias("pivots"))
         pivots = work.save(pivots, f"pivots-{step}")
-        star = rows.join(pivots, "key").filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"), "size")
-        found = verify(star.filter(F.col("size") <= REGION).select("a", "b"), f"star-{step}")
+        star = rows.join(pivots, "key").select(F.explode("pivots").alias("a"), F.col("node").alias("b"), "size", "pivot").filter("a <> b")
+        found = verify(star.filter(f"size <= {REGION} OR a <> pivot").select("a", "b"), f"star-{step}")
         # Large regions also keep what each document and its pivot do not share.
-        wide = work.save(sized(star.filter(F.col("size") > REGION).select("a", "b")), f"wide-{step}")
+        wide = work.save(sized(star.filter(f"size > {REGION} AND a = pivot").select("a", "b")), f"wide-{step}")
         cells = with_sets(wide).select(
             "a", "b", "na", "nb", linked().alias("linked"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")
         )
@@ -320,7 +327,7 @@ def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspac
         found = found.union(cells.filter("linked").select("a", "b"))
         links = found if links is None else links.union(found)
         label = labels(links, f"labels-{step}")
-        rest = unsettled(rows.drop("label"), label).join(pivots, "key").filter("node <> pivot")
+        rest = unsettled(rows.drop("label"), label).join(pivots, "key").filter(~F.array_contains("pivots", F.col("node"))).drop("pivots")
         rest = work.save(rest.join(sizes, "node"), f"rest-{step}")
         # Small regions: all pairs that are still open, at most REGION / 2 a row.
         x, y = (rest.filter(F.col("size") <= REGION).select("key", *[F.col(c).alias(s + c) for c in ("node", "label", "n")]) for s in "ab")
