@@ -16,7 +16,7 @@ from ..operators import loads, quality_rules, reconcile, shape
 from ..sources import ber
 from ..sources.store import Store
 from ..streaming import flows as streams
-from . import flow
+from . import control, flow
 from ..operators.quality_rules import Rule
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -475,3 +475,27 @@ sql("view_recon_health", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS keys,
 sql("view_group_health", f"SELECT flow, CAST(count(*) AS BIGINT) AS updates, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CASE WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) = 0 THEN 'HEALTHY' WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'FAILING' ELSE 'DEGRADED' END AS health FROM {LATEST_STATUS} s GROUP BY flow")
 sql("view_flow_inventory", "SELECT 'ingestion' AS kind, n_name AS flow FROM {nation} UNION ALL SELECT 'transformation', r_name FROM {region} UNION ALL SELECT 'reconciliation', s_name FROM {supplier}")
 sql("view_lineage", "SELECT r_name AS source, n_name AS target, CAST(count(c_custkey) AS BIGINT) AS uses FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY ALL")
+
+
+@query("control_upsert", "SELECT n_nationkey AS flow_id, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey < 20 THEN 1 ELSE 2 END AS created_at, CASE WHEN n_nationkey % 2 = 0 OR n_nationkey >= 20 THEN 2 ELSE 1 END AS updated_at FROM nation WHERE n_nationkey < 20 OR n_nationkey % 2 = 0")
+def _(t: Tables) -> DataFrame:
+    made = t.nation.select(F.col("n_nationkey").alias("flow_id"), F.col("n_name").alias("name"))
+    old = made.filter("flow_id < 20").select("*", F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    return control.upsert(old, made.filter("flow_id % 2 = 0").withColumn("name", F.upper("name")), ["flow_id"], F.lit(2))
+
+
+@query("control_prune", "SELECT n_name AS flow_id, n_regionkey <> 1 OR n_nationkey < 10 AS is_active FROM nation")
+def _(t: Tables) -> DataFrame:
+    table = t.nation.select(F.col("n_name").alias("flow_id"), F.col("n_regionkey").cast("string").alias("group_id"), F.lit(True).alias("is_active"))
+    present = [r[0] for r in t.nation.filter("n_nationkey < 10").select("n_name").collect()]  # the flows a spec names
+    return control.prune(table, "1", present).select("flow_id", "is_active")
+
+
+@query("stream_reconcile", "SELECT CAST(count(*) FILTER (WHERE user_id % 3 <> 0) AS BIGINT) AS matched, CAST(0 AS BIGINT) AS value_drift, CAST(count(*) FILTER (WHERE user_id % 3 = 0) AS BIGINT) AS missing_in_target, CAST(0 AS BIGINT) AS missing_in_source, CAST(0 AS BIGINT) AS batch_id FROM events")
+def _(t: Tables) -> DataFrame:
+    folder = shared_folder(t.spark)
+    store = Store(t.spark, folder)
+    events = streams.read_events(t.spark, f"{t.sf_dir}/events.parquet").select("event_id", "event_type")
+    target = lambda: t.events.filter("user_id % 3 <> 0").select("event_id", "event_type")
+    streams.reconcile_stream(events, target, ["event_id"], ["event_type"], store, "counts", f"{folder}/state")
+    return store.read("counts")

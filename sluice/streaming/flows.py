@@ -61,3 +61,15 @@ def load_scd1(df: DataFrame, store: Store, table: str, cdc: loads.Cdc, checkpoin
 
 def each_batch(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     df.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def reconcile_stream(source: DataFrame, target: Callable[[], DataFrame], keys: list[str], compare: list[str], store: Store, table: str, checkpoint: str) -> None:
+    """Each micro-batch of source is compared with the target as it is then; class counts are appended once a batch."""
+    from ..operators import reconcile
+
+    def batch(changes: DataFrame, batch_id: int) -> None:
+        s, g = reconcile.prepare(changes, keys, compare), reconcile.prepare(target(), keys, compare)
+        counts = reconcile.counts(reconcile.classify(s, g)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        store.write(table, counts, "APPEND", batch_id)
+
+    each_batch(source, batch, checkpoint)
