@@ -12,25 +12,27 @@ import regex
 #: Id that ends every document.
 END = (2).to_bytes(4, "little")
 #: Words and pieces a worker remembers; beyond that it starts afresh.
-MAX_WORDS, MAX_PIECES = 400_000, 300_000
+MAX_WORDS, MAX_PIECES = 400_000, 500_000
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
 #: str.split() takes for white space but the tokenizer doesn't.
-_ODD = re.compile("<\\||[\x1c-\x1f]")
-#: Beyond these characters normalisation is left to the library.
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+#: Words of these characters only are lower-cased here; normalisation of others is left to the library.
 _PLAIN = re.compile("[\x00-ɏ]*").fullmatch
+#: Ends a word; never part of ids, whose upper bytes are zero.
+_MARK = b"\xff" * 4
 
 
 class WordEncoder:
     """Encodes texts as the whole-text call of the library would, but each distinct word once.
 
-    This holds for tokenizers whose pieces never span white space; `pieces` is the pre-tokenizer's pattern
-    and is read from the file. Lower-casing and NFC are the identity or str.lower() on plain words.
+    This holds for tokenizers whose pieces never span white space. On plain words NFC changes nothing, and
+    str.lower() lower-cases as the library does.
     """
 
     def __init__(self, path: str):
         import json
 
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -38,12 +40,13 @@ class WordEncoder:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
             raise ValueError(f"{path}: only tokenizers that lower-case and drop white space are supported")
-        self.find = regex.compile(steps[0]["pattern"]["Regex"]).findall
+        self.find = regex.compile(steps[0]["pattern"]["Regex"] + "|\n").findall
         self.whole = Tokenizer.from_file(path)
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
+        self.piece = Tokenizer.from_file(path)  # of one piece: it is neither normalised nor split
+        self.piece.normalizer = normalizers.Sequence([])
+        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": _MARK}
 
     @staticmethod
     def of(path: str) -> WordEncoder:
@@ -54,22 +57,24 @@ class WordEncoder:
         return made[path]
 
     def _learn(self, words: list[str]) -> None:
-        plain = {w: self.find(w.lower()) for w in words if _PLAIN(w)}
-        new = list(set(chain.from_iterable(plain.values())).difference(self.pieces))
+        """Plain words are taken apart together; each distinct piece is encoded once."""
+        plain = [w for w in words if w.isascii() or _PLAIN(w)]
+        found = self.find("\n".join([*plain, ""]).lower())
+        new = list(set(found).difference(self.pieces))
         if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces.clear()
-            new = list(set(chain.from_iterable(plain.values())))
-        for piece, found in zip(new, self.bare.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[piece] = array("I", found.ids).tobytes()
-        for w, parts in plain.items():
-            self.words[w] = b"".join([self.pieces[p] for p in parts])
-        rest = [w for w in words if w not in plain]
+            self.pieces = {"\n": _MARK}
+            new = list(set(found).difference(self.pieces))
+        for p, coded in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False)):
+            self.pieces[p] = array("I", coded.ids).tobytes()
+        self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(_MARK)))
+        rest = set(words).difference(plain) if len(plain) < len(words) else ()
+        rest = list(rest)
         for w, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
             self.words[w] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, each with the end id; null is empty."""
-        split = [None if t and _ODD.search(t) else (t or "").split() for t in texts]
+        split = [None if t and any(x in t for x in _ODD) else (t or "").split() for t in texts]
         needed = set(chain.from_iterable(s for s in split if s))
         new = needed.difference(self.words)
         if len(self.words) + len(new) > MAX_WORDS:
