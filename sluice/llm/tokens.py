@@ -12,7 +12,7 @@ import regex
 #: Id that ends every document.
 END = (2).to_bytes(4, "little")
 #: Words and pieces a worker remembers; beyond that it starts afresh.
-MAX_WORDS, MAX_PIECES = 400_000, 500_000
+MAX_WORDS, MAX_PIECES = 800_000, 600_000
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
 #: str.split() takes for white space but the tokenizer doesn't.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
