@@ -200,7 +200,7 @@ def test_lm(spark, docs, texts, odd, none):
 
 def test_quality_odd(odd, none):
     got = {(r.doc_id, r.n_words): r for r in quality.quality_rules(odd).collect()}
-    assert len(got) == len(ODD) - 1 and got[1, 0].kept is False and got[5, 10].kept is True and got[6, 40000].n_repeat_words == 40000
+    assert len(got) == len(ODD) - 1 and got[1, 0].kept is False and got[5, len(WS.findall(ODD[4][1]))].kept is True and got[6, 40000].n_repeat_words == 40000
     assert quality.quality_rules(none).count() == 0
     cleaned = quality.clean_documents(odd.sparkSession.createDataFrame([(1, "a fine line of ten words that stays as it is\nAll rights reserved.")], ["doc_id", "text"]))
     assert cleaned.first().text == "a fine line of ten words that stays as it is"
@@ -209,7 +209,7 @@ def test_quality_odd(odd, none):
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "same text here"), (2, None), (3, ""), (4, "ONE"), (4, "ONE")], "item_id long, text string")
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(odd, items).collect())
-    assert got == sorted([("1", 0, 0, 0, False), ("2", 0, 0, 0, False), ("3", 0, 0, 0, False), ("4", 1, 1, 1, True), ("5", 10, 3, 1, True), ("5", 10, 3, 1, True), ("6", 40000, 0, 0, False), ("7", 6, 0, 0, False), ("None", 11, 0, 0, False)])
+    assert got == sorted([("1", 0, 0, 0, False), ("2", 0, 0, 0, False), ("3", 0, 0, 0, False), ("4", 1, 1, 1, True), ("5", 11, 3, 1, True), ("5", 11, 3, 1, True), ("6", 40000, 0, 0, False), ("7", 6, 0, 0, False), ("None", 12, 0, 0, False)])
     left = decontam.remove_contaminated(odd, items, Workspace(spark, "t"))
     assert left.columns == odd.columns and left.count() == 6
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(odd, items.limit(0)).count() == len(ODD)
