@@ -87,7 +87,7 @@ def brute_components(texts, n, percent):
 
 @pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
 def test_jaccard(spark, docs, texts, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "REGION", 2)  # so that both kinds of recursion run
+    monkeypatch.setattr(jaccard_join, "REGION", 8)  # so that regions are overfull
     got = jaccard_join.jaccard_components(docs, Workspace(spark, "t"), n, percent).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(list(texts.items()), n, percent)
 
