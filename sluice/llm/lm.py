@@ -8,7 +8,7 @@ map into memory. A query finds the word by successor search in level 1, then the
 context's successors by successor search relative to the context.
 
 Probabilities: p(w) = (c + 1) / (N + V + 1), the contract's base; p(w | v) = max(c(vw) - D, 0) / c(v) +
-b(v) p(w), where b(v) is what discounting and pruning leave. Bigrams seen once are pruned by default.
+b(v) p(w), where b(v) is what discounting (and pruning, if min_bigram asks for it) leaves. By default every bigram is kept.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .common import Workspace
 from .elias_fano import EliasFano, from_buffer, to_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-DISCOUNT, MIN_BIGRAM = 0.5, 2
+DISCOUNT, MIN_BIGRAM = 0.5, 1
 #: One byte holds a log10 probability of 0 to -8 in equal steps.
 QUANTA = 8.0 / 255
 #: Tokens a counting task holds before it sends on what it has counted.

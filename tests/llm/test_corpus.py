@@ -198,6 +198,22 @@ def test_lm(spark, docs, texts, odd, none):
     assert lm.train_and_score(spark, odd).count() == len(ODD) and lm.train_and_score(spark, none).count() == 0
 
 
+def test_lm_keeps_pairs_seen_once(spark):
+    """A pair seen once in training is no back-off, whether its words are frequent or seen once themselves."""
+    training = spark.createDataFrame([(1, "a b a c a d"), (2, "rare odd")], "doc_id long, text string")
+    model = lm.train(training, Workspace(spark, "t").at("model"))
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame([(1, "a b"), (2, "rare odd"), (3, "b c")], "doc_id long, text string"), model).collect()}
+    one, total = Counter("a b a c a d rare odd".split()), 10  # with two ends
+    one[None] = 2
+    pairs = Counter([(None, "a"), ("a", "b"), ("b", "a"), ("a", "c"), ("c", "a"), ("a", "d"), ("d", None), (None, "rare"), ("rare", "odd"), ("odd", None)])
+    q = lambda p: float(lm.dequantise(lm.quantise(np.array([p])))[0])
+    left = lambda v: q(1 - sum((n - lm.DISCOUNT) / one[v] for (x, _), n in pairs.items() if x == v))
+    def p(v, w):
+        return (q((pairs[v, w] - lm.DISCOUNT) / one[v]) if (v, w) in pairs else 0) + left(v) * (one[w] + 1) / (total + len(one) + 1)
+    for d, t in ((1, ["a", "b", None]), (2, ["rare", "odd", None]), (3, ["b", "c", None])):
+        assert got[d] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip([None, *t[:-1]], t)))
+
+
 def test_quality_odd(odd, none):
     got = {(r.doc_id, r.n_words): r for r in quality.quality_rules(odd).collect()}
     assert len(got) == len(ODD) - 1 and got[1, 0].kept is False and got[5, len(WS.findall(ODD[4][1]))].kept is True and got[6, 40000].n_repeat_words == 40000
