@@ -1,14 +1,16 @@
 """Word n-gram language model in an Elias-Fano trie.
 
-Level 1 holds every training token's hash, count and (as context) back-off weight; level 2 holds, for every
-context word, its successors: monotone pointers into one sequence of successor ids made monotone by adding
-the last value of the context before, and one byte of quantised log probability each. Words are numbered by
-hash, both levels are dealt to shards by ranges of that number, and a shard is one flat file that workers
-map into memory. A query finds the word by successor search in level 1, then the next word among the
-context's successors by successor search relative to the context.
+Level 1 holds every training token's hash and count; level k holds, for every node of level k - 1 as
+context, its back-off weight and its successors: monotone pointers into one sequence of successor ids made
+monotone by adding the last value of the context before, and one byte of quantised log probability each. A
+successor's place is its node for level k + 1. Words are numbered by hash, all levels are dealt to shards by
+ranges of the first word's number, and a shard is one flat file a level that workers map into memory. A query
+finds the word by successor search in level 1, then each next word among the context's successors by
+successor search relative to the context.
 
 Probabilities: p(w) = (c + 1) / (N + V + 1), the contract's base; p(w | v) = max(c(vw) - D, 0) / c(v) +
-b(v) p(w), where b(v) is what discounting (and pruning, if min_bigram asks for it) leaves. By default every bigram is kept.
+b(v) p(w), and p(w | uv) from p(w | v) likewise up to the model's order. Contexts start at the end before the
+text, so its first word has one word of context. b(v) is what discounting (and pruning, if min_bigram asks for it) leaves. By default every bigram is kept.
 """
 
 from __future__ import annotations
@@ -32,11 +34,12 @@ from .common import Workspace
 from .elias_fano import EliasFano, from_buffer, to_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
-DISCOUNT, MIN_BIGRAM = 0.5, 1
+DISCOUNT, MIN_BIGRAM, ORDER = 0.5, 1, 2
 #: One byte holds a log10 probability of 0 to -8 in equal steps.
 QUANTA = 8.0 / 255
 #: Tokens a counting task holds before it sends on what it has counted.
 FLUSH = 6_000_000
+_VALUES = 10.0 ** (np.arange(256) * -QUANTA)
 _U = np.uint64
 
 
@@ -45,7 +48,7 @@ def quantise(p: np.ndarray) -> np.ndarray:
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(np.float64) * -QUANTA)
+    return _VALUES[code]
 
 
 def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,14 +154,15 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Trie(Words):
-    """Both levels."""
+    """All levels."""
 
     def __init__(self, model: dict):
-        super().__init__(model["words"], model["first"])
-        self.model, self.vocabulary = model, model["first"][-1]
-        self.level = [_mapped(f) if f else None for f in model["pairs"]]
-        self.pointers = [EliasFano.of(s, "pointer") if s else None for s in self.level]
-        self.successors = [EliasFano.of(s, "successor") if s else None for s in self.level]
+        super().__init__(model["words"], model["nodes"][0])
+        self.model, self.vocabulary = model, model["nodes"][0][-1]
+        self.nodes = [np.array(n, np.int64) for n in model["nodes"]]
+        self.levels = [[_mapped(f) if f else None for f in files] for files in model["levels"]]
+        self.pointers = [[EliasFano.of(s, "pointer") if s else None for s in level] for level in self.levels]
+        self.successors = [[EliasFano.of(s, "successor") if s else None for s in level] for level in self.levels]
 
     @staticmethod
     def of(model: dict) -> Trie:
@@ -169,27 +173,50 @@ class Trie(Words):
             held[key] = Trie(model)
         return held[key]
 
-    def pairs(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(discounted probability, back-off weight) of known pairs, ordered by context."""
-        direct, weight = np.zeros(len(word)), np.ones(len(word))
-        at = np.searchsorted(context, self.first)
+    def _look(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(discounted probability, back-off weight, node or -1) of successors in the k-th level of contexts, ordered by context."""
+        direct, weight, node = np.zeros(len(word)), np.ones(len(word)), np.full(len(word), -1, np.int64)
+        first = self.nodes[k]
+        at = np.searchsorted(context, first)
         for b, (s, e) in enumerate(zip(at, at[1:])):
-            if e > s and self.level[b]:
-                local = context[s:e] - self.first[b]
-                weight[s:e] = dequantise(self.level[b]["weight"][local])
-                start, end = (self.pointers[b].get(local + k).astype(np.int64) for k in (0, 1))
-                some = np.flatnonzero(end > start)
+            if e > s and (level := self.levels[k][b]):
+                local = context[s:e] - first[b]
+                weight[s:e] = dequantise(level["weight"][local])
+                start, end = (self.pointers[k][b].get(local + i).astype(np.int64) for i in (0, 1))
+                some = np.flatnonzero((end > start) & (word[s:e] >= 0))
                 start, end = start[some], end[some]
-                base = np.where(start > 0, self.successors[b].get(np.maximum(start - 1, 0)), _U(0)) if len(some) else np.empty(0, np.uint64)
-                i = self.successors[b].find(base + word[s:e][some].astype(np.uint64), start, end)
+                base = np.where(start > 0, self.successors[k][b].get(np.maximum(start - 1, 0)), _U(0)) if len(some) else np.empty(0, np.uint64)
+                i = self.successors[k][b].find(base + word[s:e][some].astype(np.uint64), start, end)
                 hit = np.flatnonzero(i >= 0)
-                direct[s + some[hit]] = dequantise(self.level[b]["probability"][i[hit]])
-        return direct, weight
+                direct[s + some[hit]] = dequantise(level["probability"][i[hit]])
+                if k + 1 < len(self.nodes):
+                    node[s + some[hit]] = i[hit] + self.nodes[k + 1][b]
+        return direct, weight, node
+
+    def follow(self, k: int, context: np.ndarray, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(places with a known context, their discounted probability, their back-off weight, contexts of the next level)."""
+        at = np.flatnonzero(context >= 0)
+        key = context[at].astype(np.uint64) * _U(self.vocabulary + 1) + (word[at] + 1).astype(np.uint64)
+        distinct, again = np.unique(key, return_inverse=True)
+        last = (distinct % _U(self.vocabulary + 1)).astype(np.int64) - 1  # -1: an unknown word; the back-off weight still counts
+        direct, weight, node = self._look(k, (distinct // _U(self.vocabulary + 1)).astype(np.int64), last)
+        after = np.full(len(word) + 1, -1, np.int64)
+        after[at + 1] = node[again]
+        after[starts] = -1
+        return at, direct[again], weight[again], after[:-1]
+
+    @staticmethod
+    def first_contexts(word: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+        context = np.concatenate([[-1], word[:-1]])
+        context[starts] = end
+        return context
 
 
-def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM) -> dict:
+def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM, order: int = ORDER) -> dict:
     """Counts all of docs.text and writes the trie's files to folder; returns the model's directory.
 
+    The model's longest n-grams have `order` words, 2 or more; n-grams seen less than min_bigram times are pruned.
+
     The directory names one file per shard and level (their number follows spark.sql.shuffle.partitions, not
     the corpus) and the totals; all counts stay in the files.
     """
@@ -225,23 +252,45 @@ def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram:
     first = np.concatenate([[0], np.cumsum([made[b]["n"] if b in made else 0 for b in range(buckets)])]).tolist()
     vocabulary, total = first[-1], sum(r["total"] for r in made.values())
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level, bounds = Words(words, first), np.array(first, np.int64)
+    nodes, levels = [first], []
+    for k in range(order - 1) if vocabulary else ():
+        files, sizes = _train_level(text, folder, work, {"words": words, "nodes": nodes, "levels": levels, "total": total}, discount, min_bigram)
+        levels = [*levels, files]
+        if k < order - 2:
+            nodes = [*nodes, np.concatenate([[0], np.cumsum(sizes)]).tolist()]
+    work.drop()
+    return {"words": words, "nodes": nodes, "levels": levels, "total": total}
+
+
+def _train_level(text: DataFrame, folder: str, work: Workspace, model: dict, discount: float, min_bigram: int) -> tuple[list[str | None], list[int]]:
+    """Counts the successors of the last level's nodes; returns the next level's files and their numbers of nodes."""
+    words, first, depth = model["words"], model["nodes"][-1], len(model["levels"])
+    buckets, vocabulary, name = len(words), model["nodes"][0][-1], f"level{depth + 2}"
+    if first[-1] * (vocabulary + 1) >= 2**64:
+        raise ValueError(f"{first[-1]} contexts of {vocabulary} words are too many for keys of 64 bits")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, bounds = Trie.of(model), np.array(first, np.uint64) * _U(vocabulary)
 
         def send(keys: list[np.ndarray]) -> pa.RecordBatch:
             key, n = _counted(keys)
-            at = np.searchsorted(key, bounds.astype(np.uint64) * _U(vocabulary))
-            return _rows([(b, _blob(key[s:e] - _U(first[b] * vocabulary), n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
+            at = np.searchsorted(key, bounds)
+            return _rows([(b, _blob(key[s:e] - bounds[b], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
 
         held: list[np.ndarray] = []
         for _, texts in _slices(batches, 0):
-            hashes, _ = token_hashes(texts)
+            hashes, sizes = token_hashes(texts)
+            starts = np.cumsum(sizes) - sizes
             distinct, back = np.unique(hashes, return_inverse=True)
-            ids, counts = level.find(distinct)
-            end = ids[np.searchsorted(distinct, END)]
+            ids, counts = trie.find(distinct)
             word = ids[back]
-            often = counts[back] >= min_bigram  # a rarer word is in no pair that stays
-            context, ok = np.concatenate([[end], word[:-1]]), np.concatenate([[True], often[:-1]]) & often
+            context = trie.first_contexts(word, starts, ids[np.searchsorted(distinct, END)])
+            for k in range(depth):
+                context = trie.follow(k, context, word, starts)[3]
+            ok = context >= 0
+            if depth == 0:
+                often = counts[back] >= min_bigram  # a rarer word is in no pair that stays
+                ok = often & np.concatenate([[True], often[:-1]])
             held.append(context[ok].astype(np.uint64) * _U(vocabulary) + word[ok].astype(np.uint64))
             if sum(map(len, held)) > FLUSH:
                 yield send(held)
@@ -249,14 +298,16 @@ def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram:
         if held:
             yield send(held)
 
-    def merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
-            stays = n >= min_bigram
-            key, n = key[stays], n[stays]
             size = first[b + 1] - first[b]
-            context, word = (key // _U(vocabulary)).astype(np.int64), key % _U(vocabulary)
-            of_context = _mapped(words[b])["count"].astype(np.float64)
+            context = (key // _U(vocabulary)).astype(np.int64)
+            # Every context but a text's end has a successor wherever it occurs, so longer contexts' counts are sums.
+            of_context = np.bincount(context, n, minlength=size) if depth else _mapped(words[b])["count"].astype(np.float64)
+            stays = n >= min_bigram
+            key, n, context = key[stays], n[stays], context[stays]
+            word = key % _U(vocabulary)
             direct = (n - discount) / of_context[context]
             weight = np.maximum(1.0 - np.bincount(context, direct, minlength=size), 1e-8)
             pointer = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=size))])
@@ -269,14 +320,12 @@ def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram:
                 **EliasFano.encode(pointer).arrays("pointer"), **EliasFano.encode(successor).arrays("successor"),
                 "probability": quantise(direct), "weight": quantise(weight),
             }
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_put(folder, f"pairs-{b}", to_bytes(arrays))]), pa.array([len(key)])], ["bucket", "file", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_put(folder, f"{name}-{b}", to_bytes(arrays))]), pa.array([len(key)])], ["bucket", "file", "n"])
 
-    pairs: dict[int, str] = {}
-    if vocabulary:
-        merged = text.mapInArrow(count_pairs, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge_pairs, "bucket long, file string, n long")
-        pairs = {r["bucket"]: r["file"] for r in work.save(merged, "pairs").collect()}
-    work.drop()
-    return {"words": words, "first": first, "pairs": [pairs.get(b) for b in range(buckets)], "total": total}
+    parts = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = text.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long")
+    made = {r["bucket"]: r for r in work.save(merged, name).collect()}
+    return [made[b]["file"] if b in made else None for b in range(buckets)], [made[b]["n"] if b in made else 0 for b in range(buckets)]
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -297,18 +346,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             distinct, back = np.unique(hashes, return_inverse=True)
             ids, counts = trie.find(distinct)
             word, base = ids[back], ((counts + 1) / denominator)[back]
-            context = np.concatenate([[-1], word[:-1]])
-            context[starts] = ids[np.searchsorted(distinct, END)]
-            known = np.flatnonzero((context >= 0) & (word >= 0))
-            probability = base.copy()
-            if len(known):
-                pair, again = np.unique(context[known].astype(np.uint64) * _U(trie.vocabulary) + word[known].astype(np.uint64), return_inverse=True)
-                direct, weight = trie.pairs((pair // _U(trie.vocabulary)).astype(np.int64), (pair % _U(trie.vocabulary)).astype(np.int64))
-                probability[known] = direct[again] + weight[again] * base[known]
-            alone = np.flatnonzero((context >= 0) & (word < 0))
-            if len(alone):  # an unknown word after a known context: the back-off weight still counts
-                seen, again = np.unique(context[alone], return_inverse=True)
-                probability[alone] *= trie.pairs(seen, np.zeros(len(seen), np.int64))[1][again]
+            probability, context = base.copy(), trie.first_contexts(word, starts, ids[np.searchsorted(distinct, END)])
+            for k in range(len(trie.levels)):
+                at, direct, weight, context = trie.follow(k, context, word, starts)
+                probability[at] = direct + weight * probability[at]
             total = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -327,7 +368,7 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def train_and_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def train_and_score(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> DataFrame:
     """Learns from the documents that are not held out and scores all of them."""
-    model = train(docs.filter(~held_out()), Workspace(spark, "trie").at("model"))
+    model = train(docs.filter(~held_out()), Workspace(spark, "trie").at("model"), order=order)
     return score(docs, model).withColumn("held_out", held_out())

@@ -44,7 +44,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.train_and_score(spark, table(spark, sf_dir, "documents"))
+    scored = lm.train_and_score(spark, table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

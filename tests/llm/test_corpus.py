@@ -214,6 +214,38 @@ def test_lm_keeps_pairs_seen_once(spark):
         assert got[d] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip([None, *t[:-1]], t)))
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_of_higher_order(spark, docs, texts, odd, none, order):
+    """Every n-gram up to the order, discounted and interpolated, against counts in dictionaries."""
+    tokens = {d: [*t.encode().lower().split(), None] for d, t in texts.items()}
+    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
+    grams, one = Counter(), Counter()
+    for d, t in tokens.items():
+        if not out[d]:
+            one.update(t)
+            s = [None, *t]
+            grams.update(tuple(s[i - k + 1 : i + 1]) for i in range(1, len(s)) for k in range(2, order + 1) if i - k + 1 >= 0)
+    total, of, mass = sum(one.values()), Counter(), Counter()
+    for g, n in grams.items():
+        of[g[:-1]] += n
+    for g, n in grams.items():
+        mass[g[:-1]] += (n - lm.DISCOUNT) / of[g[:-1]]
+    q = lambda p: float(lm.dequantise(lm.quantise(np.array([p])))[0])
+    some = sorted(tokens)[::4]
+    got = {r.doc_id: r.score for r in lm.train_and_score(spark, docs, order).collect()}
+    for d in some:
+        s, score = [None, *tokens[d]], 0.0
+        for i in range(1, len(s)):
+            p = (one[s[i]] + 1) / (total + len(one) + 1)
+            for k in range(2, min(order, i + 1) + 1):
+                g = tuple(s[i - k + 1 : i + 1])
+                if of[g[:-1]]:
+                    p = (q((grams[g] - lm.DISCOUNT) / of[g[:-1]]) if g in grams else 0) + q(max(1 - mass[g[:-1]], 1e-8)) * p
+            score += math.log10(p)
+        assert got[d] == pytest.approx(score)
+    assert len(got) == len(texts) and lm.train_and_score(spark, odd, order).count() == len(ODD) and lm.train_and_score(spark, none, order).count() == 0
+
+
 def test_quality_odd(odd, none):
     got = {(r.doc_id, r.n_words): r for r in quality.quality_rules(odd).collect()}
     assert len(got) == len(ODD) - 1 and got[1, 0].kept is False and got[5, len(WS.findall(ODD[4][1]))].kept is True and got[6, 40000].n_repeat_words == 40000
