@@ -65,8 +65,12 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
     return np.unique(((rank << np.uint64(56)) | (mixed >> np.uint64(8))).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n, fp, shingles) per row; fp is a 128-bit fingerprint of the set, null for an empty one."""
+def shingle_sets(docs: DataFrame, n: int, keyed: bool = False) -> DataFrame:
+    """(doc_id, n, fp, shingles) per row; fp is a 128-bit fingerprint of the set, null for an empty one.
+
+    With keyed also text_key, which tells different texts of one doc_id apart.
+    """
+    added = ["text_key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -82,12 +86,17 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                         pa.array(np.diff(offsets).astype(np.int64)),
                         pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                        *(batch.column(2 + i) for i in range(len(added))),
                     ],
-                    ["doc_id", "n", "fp", "shingles"],
+                    ["doc_id", "n", "fp", "shingles", *added],
                 )
 
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text.mapInArrow(run, "doc_id long, n long, fp binary, shingles array<long>")
+    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[_text_key().alias(c) for c in added])
+    return text.mapInArrow(run, ", ".join(["doc_id long, n long, fp binary, shingles array<long>", *(f"{c} long" for c in added)]))
+
+
+def _text_key():
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def matched(prefixes: DataFrame, parts: int) -> DataFrame:
@@ -206,7 +215,7 @@ def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(keys, column, "left_semi")
 
 
-def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: int = 90, keyed: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Two documents link when 100 * |intersection| >= percent * |union| of their distinct n-word shingles; a
@@ -214,10 +223,14 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
     their own doc_id. Repeated rows and rows that share a doc_id each get a row. A null doc_id never becomes
     a component_id unless all documents of the component have none. Extra columns are ignored, an empty
     table gives an empty result. Long texts count whole.
+
+    With keyed also text_key, a hash of the text, and root, which is the same within a component and nowhere
+    else (null for texts without words); component_ids of different components can be equal where doc_ids repeat.
     """
+    keys, root = (["text_key"], ["root"]) if keyed else ([], [])
     spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = work.save(shingle_sets(docs, n).withColumn("node", F.monotonically_increasing_id()), "sets")
-    narrow = sets.select("doc_id", "n", "fp", "node")
+    sets = work.save(shingle_sets(docs, n, keyed).withColumn("node", F.monotonically_increasing_id()), "sets")
+    narrow = sets.select("doc_id", "n", "fp", "node", *keys)
     classes = work.save(
         narrow.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes"
     )
@@ -244,7 +257,7 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
         work.drop("regions-0", "dealt")
     nodes = work.save(regions.select("node").distinct(), "in-regions")
     held = work.save(_among(sets.select("node", "n", "shingles"), "node", nodes), "held")
-    narrow = work.save(narrow.select("doc_id", "n", "fp"), "documents")
+    narrow = work.save(narrow.select("doc_id", "n", "fp", *keys), "documents")
     work.drop("sets", "prefixes")
 
     links = _links(regions, held, classes.select("node", "n"), work, percent)
@@ -253,8 +266,8 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
         classes.join(roots, "node", "left").select("fp", "doc", F.coalesce("root", "node").alias("root")), "ends"
     )
     smallest = ends.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = ends.join(smallest, "root").select("fp", "component_id")
-    out = narrow.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = ends.join(smallest, "root").select("fp", "component_id", *root)
+    out = narrow.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keys, *root)
     result = Workspace(spark, "components").save(out, "result")
     work.drop()
     return result
@@ -368,21 +381,26 @@ def _recentred(cells: DataFrame, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, work: Workspace, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id. All columns pass through.
 
-    Rows that repeat a doc_id of a group count as copies too; one of them stays, picked by all its columns.
-    Documents without doc_id stay.
+    Rows of a group that share its smallest doc_id count as copies too, and so do repeated rows; one of them
+    stays, picked by all its columns. Rows that share a doc_id but are in different groups are told apart by
+    their texts. Documents without doc_id stay.
     """
-    found = work.save(jaccard_components(docs, Workspace(docs.sparkSession, "join"), n, percent), "found")
-    gone = work.save(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone").toDF("gone")
-    if gone.count() <= MAX_BROADCAST_IDS:
+    found = work.save(jaccard_components(docs, Workspace(docs.sparkSession, "join"), n, percent, keyed=True), "found")
+    here = (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key"))
+    gone = work.save(found.filter("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone").toDF("_id", "_key")
+    if gone.count() <= MAX_BROADCAST_IDS // 2:
         gone = F.broadcast(gone)
-    left = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = work.save(found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice").toDF("twice")
+    left = docs.join(gone, here, "left_anti")
+    # Texts without words are linked with nothing: only the same text again is a copy.
+    first = found.filter("doc_id = component_id").select("doc_id", "text_key", F.struct("root", F.when(F.col("root").isNull(), F.col("text_key")).alias("blank")).alias("group"))
+    several = first.groupBy("doc_id", "group").count().filter("count > 1").select("doc_id", "group")
+    twice = work.save(first.distinct().join(several, ["doc_id", "group"], "left_semi"), "twice").select("doc_id", "text_key", "group").toDF("_id", "_key", "group")
     if twice.isEmpty():
         return left
-    if twice.count() <= MAX_BROADCAST_IDS:
+    if twice.count() <= MAX_BROADCAST_IDS // 4:
         twice = F.broadcast(twice)
-    once = left.join(twice, F.col("doc_id") == F.col("twice"), "left_anti")
-    copies = left.join(twice, F.col("doc_id") == F.col("twice"), "left_semi")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    picked = copies.groupBy("doc_id").agg(F.min(row).alias("row")).select("row.*")
+    once = left.join(twice, here, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    copies = left.select(row, F.col("doc_id").alias("i"), _text_key().alias("k")).join(twice, (F.col("i") == F.col("_id")) & (F.col("k") == F.col("_key")))
+    picked = copies.groupBy("_id", "group").agg(F.min("row").alias("row")).select("row.*")
     return once.unionByName(picked)

@@ -115,6 +115,15 @@ def test_jaccard_odd(spark, odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 2, 3, 4, 5, 6, 7, None]))
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    """Rows that share a doc_id with a copy of something else, or with an unrelated text, are copies of nothing."""
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(3, text("a")), (7, text("a") + " z"), (7, text("b")), (5, text("x")), (5, text("y")), (9, text("p")), (9, text("p") + " z"), (9, text("q")), (9, text("q")), (8, ""), (8, None), (8, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t")).collect()
+    want = [(3, text("a")), (7, text("b")), (5, text("x")), (5, text("y")), (9, text("p")), (9, text("q")), (8, ""), (8, None)]
+    assert Counter(map(tuple, kept)) == Counter(want)
+
+
 def test_packing_and_orc(spark, docs, odd, none, tmp_path):
     e = WordEncoder.of(default_tokenizer())
     for frame in (docs, odd):
