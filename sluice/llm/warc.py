@@ -89,14 +89,18 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(dict(zip(names, values)), payload)
 
 
-def convert(record: ArcRecord) -> list[tuple[str, str]]:
-    """The WARC header of an ARC record, in order. A Location makes it a revisit of that record."""
+def convert(record: ArcRecord, original: str | None = None, key: str | None = None) -> list[tuple[str, str]]:
+    """The WARC header of an ARC record, in order. A given original makes it a revisit of that record.
+
+    The record id is made from the key, by default the record's file name, URL and date. An ARC Location (where
+    a response redirects to) is no mark of a revisit; it is passed on.
+    """
     f, date = record.fields, record.fields["Archive-date"].ljust(14, "0")
     name = lambda key: uuid.uuid5(_NAMESPACE, key).urn
-    found, original = digest(record.payload), f.get("Location", "-")
+    found, location = digest(record.payload), f.get("Location", "-")
     out = [
-        ("WARC-Type", "response" if original == "-" else "revisit"),
-        ("WARC-Record-ID", f"<{name(f.get('Filename', '-') + ' ' + f['URL'] + ' ' + date)}>"),
+        ("WARC-Type", "response" if original is None else "revisit"),
+        ("WARC-Record-ID", f"<{name(key or f.get('Filename', '-') + ' ' + f['URL'] + ' ' + date)}>"),
         ("WARC-Date", f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"),
         ("WARC-Target-URI", f["URL"]),
         ("WARC-IP-Address", f["IP-address"]),
@@ -104,14 +108,16 @@ def convert(record: ArcRecord) -> list[tuple[str, str]]:
         ("WARC-Filename", f.get("Filename", "-")),
         ("X-Payload-Length", str(len(record.payload))),
     ]
-    if original != "-":
+    if location != "-":
+        out.append(("X-ARC-Location", location))
+    if original is not None:
         out += [("WARC-Profile", IDENTICAL), ("X-Refers-To", original)]
-    return [*out, ("Content-Type", f["Content-type"]), ("Content-Length", "0" if original != "-" else str(len(record.payload)))]
+    return [*out, ("Content-Type", f["Content-type"]), ("Content-Length", "0" if original is not None else str(len(record.payload)))]
 
 
-def warc_bytes(record: ArcRecord) -> bytes:
+def warc_bytes(record: ArcRecord, original: str | None = None, key: str | None = None) -> bytes:
     """One record, a gzip member of its own."""
-    head = convert(record)
+    head = convert(record, original, key)
     body = b"" if head[0][1] == "revisit" else record.payload
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -160,14 +166,14 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
             for k in range(0, whole.num_rows, 200):
                 ids, urls, pages_, originals = (whole.slice(k, 200).column(i) for i in range(4))
                 records = [
-                    ArcRecord({"URL": url or "-", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Location": original or "-", "Filename": "null" if id_ is None else str(id_)}, html)
-                    for id_, url, html, original in zip(ids.to_pylist(), urls.to_pylist(), pages_.cast(pa.binary()).to_pylist(), originals.to_pylist())
+                    ArcRecord({"URL": url or "-", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Filename": "null" if id_ is None else str(id_)}, html)
+                    for id_, url, html in zip(ids.to_pylist(), urls.to_pylist(), pages_.cast(pa.binary()).to_pylist())
                 ]
-                for record in parse_arc(write_arc(records, 2)):
+                for record, original in zip(parse_arc(write_arc(records, 2)), originals.to_pylist(), strict=True):
                     if out is None:
                         name, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                         out = fs.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None)
-                    data = warc_bytes(record)
+                    data = warc_bytes(record, original)
                     out.write(data)
                     size, n = size + len(data), n + 1
                     if size >= FILE_BYTES:
@@ -183,15 +189,60 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
     return work.save(written, "manifest")
 
 
+def _plain(data: bytes) -> bytes:
+    """The bytes of an ARC file; a compressed one is a sequence of gzip members."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if not member.eof:
+            raise ValueError("a gzip member has no end")
+        data = member.unused_data
+    return b"".join([*out, data])
+
+
+def convert_archives(arcs: DataFrame, work: Workspace) -> DataFrame:
+    """Converts existing ARC files of both versions, plain or gzipped; returns the manifest (file, records).
+
+    arcs has path and content, as Spark's binaryFile source gives them. Each file becomes one WARC file, each
+    of its records a response with its whole payload. A bad file is an error that names it; a null or empty
+    one has no records and no file; extra columns are ignored.
+    """
+    folder = work.at("archives")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base)
+        for batch in batches:
+            done: list[tuple[str, int]] = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not (data := content.as_py()):
+                    continue
+                name, n = f"{uuid.uuid4().hex}.warc.gz", 0
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    try:
+                        for record in parse_arc(_plain(data)):
+                            out.write(warc_bytes(record, key=f"{path} {n}"))
+                            n += 1
+                    except (ValueError, zlib.error) as e:
+                        raise ValueError(f"{path}: {e}") from e
+                done.append((f"{folder}/{name}", n))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([c for _, c in done], pa.int64())], ["file", "records"])
+
+    written = arcs.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, "file string, records long")
+    return work.save(written, "manifest")
+
+
 def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
     """Per record of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
     Length and digest of a response are those of the payload read; a record whose header tells another
-    digest is an error. Those of a revisit are in its header, as it has no payload.
+    digest is an error. Those of a revisit are in its header, as it has no payload. A file name that is no
+    number (as in archives of other makers) is no page_id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = lambda x: None if x in (None, "null") else int(x)
+        number = lambda x: int(x) if x and x.removeprefix("-").isdecimal() else None
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(uri)

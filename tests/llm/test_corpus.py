@@ -288,6 +288,26 @@ def test_arc_and_warc(spark):
     assert warc.read_archives(warc.write_archives(frame.limit(0), Workspace(spark, "t")), 2).count() == 0
 
 
+def test_arc_files_of_other_makers(spark):
+    """A version-2 Location is where a response redirects to: the record keeps its payload."""
+    import gzip
+
+    fields = {"URL": "http://a/", "IP-address": "1.2.3.4", "Archive-date": "20010203040506", "Content-type": "text/html"}
+    redirect = warc.ArcRecord(fields | {"Result-code": "302", "Location": "http://b/", "Filename": "x.arc"}, b"moved")
+    (back,) = warc.parse_arc(warc.write_arc([redirect], 2))
+    ((head, block),) = warc.parse_warc(warc.warc_bytes(back))
+    assert block == b"moved" and head["WARC-Type"] == "response" and "X-Refers-To" not in head and head["X-ARC-Location"] == "http://b/"
+    one, two = (warc.write_arc([redirect, warc.ArcRecord(fields, b"a\n\nb")], v) for v in (1, 2))
+    files = [("one", one), ("two", two), ("members", gzip.compress(two[:80]) + gzip.compress(two[80:])), ("empty", b""), ("null", None)]
+    frame = spark.createDataFrame(files, "path string, content binary")
+    manifest = warc.convert_archives(frame, Workspace(spark, "t"))
+    assert [r.records for r in manifest.collect()] == [2, 2, 2]
+    got = Counter((r.page_id, r.url, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(manifest, 2).collect())
+    assert got == Counter({(None, "http://a/", len(p), warc.digest(p), "response", None): 3 for p in (b"moved", b"a\n\nb")})
+    with pytest.raises(Exception, match="bad: ARC record"):
+        warc.convert_archives(spark.createDataFrame([("bad", one[:-3])], frame.schema), Workspace(spark, "t"))
+
+
 def test_sharding(spark, docs, odd, none, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, base_bytes=1 << 10)
     store.append(odd.limit(3)), store.append(odd.limit(3))
