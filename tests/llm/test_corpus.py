@@ -107,6 +107,29 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
 
 
+def test_jaccard_recentred_for_the_pipeline(spark, monkeypatch):
+    """The second recursion runs at the pipeline's parameters: near copies around 80 % on five-word shingles."""
+    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    runs, recentred = [], jaccard_join._recentred
+
+    def counted(cells, percent):
+        runs.append((percent, cells.count()))
+        return recentred(cells, percent)
+
+    monkeypatch.setattr(jaccard_join, "_recentred", counted)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.integers(0, 5)):
+            words[rng.integers(0, 120)] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(words[: 120 - int(rng.integers(0, 3))])))
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, ["doc_id", "text"]), Workspace(spark, "t"), 5, 80).collect()
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 5, 80)
+    assert any(percent == 80 and n > 0 for percent, n in runs)
+
+
 def test_jaccard_odd(spark, odd, none):
     got = jaccard_join.jaccard_components(odd, Workspace(spark, "t")).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(ODD, 3, 90)
