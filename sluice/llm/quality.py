@@ -67,66 +67,75 @@ def quality_rules(
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     has_word = r"[^\x20\x09-\x0D]"
 
-    # Each select names what the next one uses more than once, so that nothing is computed twice.
-    d = docs.select(row, F.col(f"`{text}`").alias("original"), whole.alias("t"))
-    d = d.select(
-        "row", "original", "t",
-        F.array_remove(F.split("t", SPACE), "").alias("words"),
-        F.split("t", "\n").alias("all_lines"),
+    # A line's verdict is a function of the line, so each line is judged once and its verdict kept beside it.
+    d = _bind(
+        docs.select(row, F.col(f"`{text}`").alias("original"), whole.alias("t")),
+        words=F.array_remove(F.split("t", SPACE), ""),
+        judged=F.transform(
+            F.split("t", "\n"),
+            lambda x: F.struct(x.alias("line"), x.rlike(has_word).alias("worded"), (x.rlike(has_word) & line_fails(x)).alias("fails")),
+        ),
     )
-    d = d.select(
-        "row", "original", "t", "all_lines",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.filter("all_lines", lambda x: x.rlike(has_word)).alias("lines"),
-        F.when(
+    d = _bind(
+        d,
+        lines=F.transform(F.filter("judged", lambda x: x["worded"]), lambda x: x["line"]),
+        windows=F.when(
             F.size("words") > window,
             F.transform(F.sequence(F.lit(1), F.size("words") - (window - 1)), lambda i: F.xxhash64(F.slice("words", i, window))),
-        ).alias("windows"),
+        ),
     )
     # Only texts with a repeated window pay for the sort that finds which words the repeats cover.
-    d = d.withColumn(
-        "ordered",
-        F.when(
+    d = _bind(
+        d,
+        ordered=F.when(
             F.size(F.array_distinct("windows")) < F.size("windows"),
             F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
         ),
-    ).drop("windows")
+    )
     same = lambda k, j: F.coalesce(F.get("ordered", j)["h"] == F.get("ordered", k)["h"], F.lit(False))
-    d = d.withColumn(
-        "starts",
-        F.sort_array(F.transform(F.filter("ordered", lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"])),
-    ).drop("ordered")
+    d = _bind(d, starts=F.sort_array(F.transform(F.filter("ordered", lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"])))
     covered = F.aggregate(
         F.transform("starts", lambda x, k: F.least(F.coalesce(F.get("starts", k + 1) - x, F.lit(window)), F.lit(window))),
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
-    d = d.select(
-        "row", "original", "t", "all_lines", "lines", "n_words", "word_chars",
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.filter("lines", line_fails).alias("failing"),
-    )
-    d = d.select(
-        "row", "original", "all_lines", "failing", "n_words", "n_repeat_words",
-        "word_chars",
-        F.regexp_count("t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.aggregate("failing", F.lit(0).cast("long"), lambda a, x: a + chars_in_words(x)).alias("lost_chars"),
-        ((F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)).alias("base_failed"),
-    )
-    cleaned = F.when(F.size("failing") == 0, F.col("original")).otherwise(
-        F.concat_ws("\n", F.filter("all_lines", lambda x: ~F.array_contains("failing", x)))
+    d = _bind(
+        d,
+        n_words=F.size("words").cast("long"),
+        word_chars=F.length(F.array_join("words", "")).cast("long"),
+        n_symbols=F.regexp_count("t", F.lit(SYMBOLS)).cast("long"),
+        n_dup_lines=(F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
+        n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"),
+        lost_chars=F.aggregate(F.filter("judged", lambda x: x["fails"]), F.lit(0).cast("long"), lambda a, x: a + chars_in_words(x["line"])),
+        cleaned=F.when(~F.exists("judged", lambda x: x["fails"]), F.col("original")).otherwise(
+            F.concat_ws("\n", F.transform(F.filter("judged", lambda x: ~x["fails"]), lambda x: x["line"]))
+        ),
     )
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     return d.select(
         *[F.col("row").getField(c).alias(c) for c in passed],
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", "base_failed",
-        (~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost_percent)).alias("kept"),
-        cleaned.alias("cleaned"),
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_chars", failed.alias("base_failed"),
+        (~failed & (F.col("lost_chars") * 100 <= F.col("word_chars") * max_lost_percent)).alias("kept"),
+        "cleaned",
     )
 
 
+def _bind(df: DataFrame, **named: Column) -> DataFrame:
+    """df with the named columns, each computed once per row whatever is selected or filtered later.
+
+    They come out of a generator of one row. The optimiser neither merges projections across it nor moves a
+    predicate on its output below it, so no later filter or lambda repeats the work.
+    """
+    values = F.explode(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))).alias("bound")
+    return df.select("*", values).select(*df.columns, *[F.col("bound").getField(n).alias(n) for n in named])
+
+
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """Documents that pass, with their failing lines removed and n_chars (if present) recounted."""
-    out = quality_rules(docs).filter("kept")
+    """Documents that pass, with their failing lines removed and n_chars (if present) recounted.
+
+    Null, empty and blank texts fail the base rules and go. Repeated rows are judged one by one, an empty table
+    stays empty. Other columns pass through, also where they bear a rule column's name.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = quality_rules(docs.select(row, F.col("text"))).filter("kept")
     changed = {c: (F.col("cleaned") if c == "text" else F.length("cleaned").cast(docs.schema[c].dataType)) for c in docs.columns if c in ("text", "n_chars")}
-    return out.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -286,6 +286,25 @@ def test_quality_odd(odd, none):
     assert cleaned.first().text == "a fine line of ten words that stays as it is"
 
 
+def test_quality_under_a_filter(spark, docs, texts):
+    """A filter on the verdict repeats no work: one hash in the plan, and long repeated texts end soon."""
+    plan = quality.clean_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") == 1
+    line = " ".join(f"x{i}" for i in range(1000))
+    rows = [(1, "\n".join([line] * 100)), (2, " ".join(f"y{i}" for i in range(100_000))), (3, "a b c d e f g h i j\n" * 20_000)]
+    kept = quality.clean_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [2] and kept[0].text == rows[1][1]
+    judged = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert {r.doc_id: r.text for r in quality.clean_documents(docs).collect()} == {d: r.cleaned for d, r in judged.items() if r.kept}
+
+
+def test_quality_clashing_columns(spark):
+    text = "a fine line of ten words that stays as it is"
+    frame = spark.createDataFrame([(1, text, 7, True, "z")], "doc_id long, text string, n_words long, kept boolean, row string")
+    assert quality.clean_documents(frame).collect() == frame.collect()
+    assert quality.clean_documents(frame.limit(0)).columns == frame.columns
+
+
 def test_decontamination_odd(spark, odd, none):
     items = spark.createDataFrame([(1, "same text here"), (2, None), (3, ""), (4, "ONE"), (4, "ONE")], "item_id long, text string")
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(odd, items).collect())
