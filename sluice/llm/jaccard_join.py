@@ -1,19 +1,20 @@
 """Exact n-gram Jaccard join in the metric space of shingle sets.
 
-Regions. A pivot may be any set, so the first level takes one-shingle sets as pivots: a document is nearest
-to the pivots whose shingle it holds (all others are at distance 1), and ties go to the pivot that comes
-first in one global order, which is the document's home. The triangle inequality bounds how much of a set a
-partner within distance 1 - t may miss: |x minus y| <= (1 - t) |x|. So x is replicated to as many further
-regions as that window needs, its first floor((1 - t) |x|) + 1 shingles, and every pair within the threshold
-meets in at least one region. Any global order is exact; long shingles come first since they are rare.
-
-Recursion. An overfull region (a passage that many documents share) is split again: its pivot moves to the
-end of the order, and its documents are dealt to regions anew. What then still is overfull consists of
-documents that are mostly shared text. Inside a region a document is the pivot: all others are compared with
-it, those within the threshold join it, and the region recurses on what the triangle inequality leaves,
-until all its documents are in one component or all open pairs of a small region are compared.
-
-Sets are 63-bit hashes of word n-grams; equal sets are one class and take part once.
+Regions. A pivot may be any set, so the first level takes one-shingle sets as pivots: unrelated texts all lie
+at distance 1 from any document, but a document is nearer than that to the pivots whose shingle it holds. Ties
+go to the pivot that comes first in one global order, which is the document's home. The triangle inequality
+bounds how much of a set a partner within distance 1 - t may miss: |x minus y| <= (1 - t) |x|. So x is
+replicated to as many further regions as that window needs, its first floor((1 - t) |x|) + 1 shingles, and every
+pair within the threshold meets in at least one region. Any global order is exact; rare shingles come first,
+by the counts of a fixed number of hashed cells over all documents. In the first region where a pair meets,
+all that it shares stands at or behind that shingle in both documents, which drops most chance meetings.
+
+Recursion. Regions of more than a handful get a document pivot, and what meets at one pivot is one region of
+the second level, however many shingles it met at. Such a region is joined inside a task by further document
+pivots, Voronoi cells and triangle-inequality windows (``voronoi.Region``). A region too large for a task is
+re-centred on its pivot instead, which deals its documents to smaller regions by what they don't share with it.
+
+Sets are 64-bit hashes of word n-grams; equal sets are one class and take part once.
 """
 
 from __future__ import annotations
@@ -26,193 +27,295 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cells, voronoi
 from .common import Workspace, release
 from .components import components
 
-#: A region of more documents than this is overfull.
-REGION = 32
+#: Cells that order the shingles; more of them tell rare from frequent in larger corpora.
+COUNT_CELLS = 1 << 20
+#: Cells that tell which texts are read again; full cells only mean that more texts are.
+TEXT_CELLS = 1 << 24
+#: A key that one task holds more often than this goes on row by row, not to one task.
+HOT = 256
+#: (key, node) pairs that a task sorts at once.
+SORTED_PAIRS = 2_000_000
+#: A second-level region of more documents or shingles than this is re-centred, not joined in one task.
+MAX_MEMBERS, MAX_CODES = 4_096, 4_000_000
 #: Lists of up to this many 8-byte ids are broadcast; longer ones are joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: At most so many pivots are struck, the fullest ones; the order is free, so this bounds memory, not results.
-MAX_STRUCK = 1_000_000
-#: A large region is compared with this many of its documents at once; they are picked by a hash of the node.
-PIVOTS = 16
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_set(text: bytes | None, n: int) -> np.ndarray:
-    """Sorted distinct 63-bit codes of the n-word shingles (one shingle if there are fewer words).
-
-    The top 7 bits fall with the shingle's length in bytes, so that the natural order is rare first.
-    """
+    """Sorted distinct 64-bit codes of the n-word shingles (one shingle if there are fewer words)."""
     words = text.lower().split() if text else []
     if not words:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     k, m = min(n, len(words)), len(words)
     codes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, m)
-    sizes = np.fromiter(map(len, words), np.int64, m)
     end = m - k + 1
-    mixed, length = codes[:end] * _MIX1 + np.uint64(k), sizes[:end].copy()
+    mixed = codes[:end] * _MIX1 + np.uint64(k)
     for j in range(1, k):
         mixed ^= mixed >> np.uint64(29)
         mixed *= _MIX2
         mixed += codes[j : end + j]
-        length += sizes[j : end + j]
     mixed ^= mixed >> np.uint64(32)
     mixed *= _MIX1
     mixed ^= mixed >> np.uint64(29)
-    rank = (127 - np.minimum(length, 127)).astype(np.uint64)
-    return np.unique(((rank << np.uint64(56)) | (mixed >> np.uint64(8))).view(np.int64))
+    return np.unique(mixed)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            yield batch, batch.column(column).cast(pa.binary()).to_pylist()
+
+
+def shingle_counts(docs: DataFrame, n: int, size: int) -> np.ndarray:
+    """How often the shingles of each cell occur in documents, up to 65,535."""
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        total, held, many = None, [], 0
 
+        def add():
+            nonlocal total, held, many
+            counted = np.bincount((np.concatenate(held) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+            total = counted if total is None else total + counted
+            held, many = [], 0
 
-def shingle_sets(docs: DataFrame, n: int, keyed: bool = False) -> DataFrame:
-    """(doc_id, n, fp, shingles) per row; fp is a 128-bit fingerprint of the set, null for an empty one.
+        for _, texts in _texts(batches, 0):
+            held += [shingle_set(t, n) for t in texts]
+            many = sum(map(len, held))
+            if many > size:
+                add()
+        if many:
+            add()
+        return None if total is None else np.minimum(total, 65_535)
+
+    def saturated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(a.astype(np.uint32) + b, 65_535).astype(np.uint16)
+
+    return cells.merged(docs.select(F.col("text").cast("string")), fill, size, saturated, np.uint16)
+
+
+def shingle_windows(docs: DataFrame, n: int, percent: int, counts, keyed: bool = False) -> DataFrame:
+    """(doc_id, n, fp, th, keys) per row: size and 128-bit fingerprint of the set, 128-bit hash of the text, and
+    the first shingles of the set in the global order, as 32-bit keys. fp, th and keys are null for an empty set.
 
     With keyed also text_key, which tells different texts of one doc_id apart.
     """
     added = ["text_key"] if keyed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                sets = [shingle_set(t, n) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-                offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum([len(s) for s in sets], out=offsets[1:])
-                values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(np.diff(offsets).astype(np.int64)),
-                        pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                        *(batch.column(2 + i) for i in range(len(added))),
-                    ],
-                    ["doc_id", "n", "fp", "shingles", *added],
-                )
+        often = counts.value
+        low = np.uint64(len(often) - 1)
+        for batch, texts in _texts(batches, 1):
+            sets, keys = [shingle_set(t, n) for t in texts], []
+            for s in sets:
+                # Codes ascend, so a stable sort by count is one total order.
+                first = np.argsort(often[(s & low).astype(np.int64)], kind="stable")[: len(s) * (100 - percent) // 100 + 1]
+                keys.append((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s) if len(s) else None for s in sets], pa.binary()),
+                    pa.array([xxhash.xxh3_128_digest(t) if len(s) else None for t, s in zip(texts, sets)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int32))),
+                    *(batch.column(2 + i) for i in range(len(added))),
+                ],
+                ["doc_id", "n", "fp", "th", "keys", *added],
+            )
 
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[_text_key().alias(c) for c in added])
-    return text.mapInArrow(run, ", ".join(["doc_id long, n long, fp binary, shingles array<long>", *(f"{c} long" for c in added)]))
+    return text.mapInArrow(run, ", ".join(["doc_id long, n long, fp binary, th binary, keys array<int>", *(f"{c} long" for c in added)]))
 
 
 def _text_key():
     return F.xxhash64(F.col("text").cast("string"))
 
 
-def matched(prefixes: DataFrame, parts: int) -> DataFrame:
-    """(key, node) of all regions with two documents or more, from (node, keys).
+#: One row of a key in one document: the key, the document, its set's size, the key's place in its window.
+_ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("size", "<u4"), ("node", "<i8")])
+
+
+def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Who meets whom, from (node, n, keys): rows (kind, a, b, n).
 
-    Pairs travel as packed arrays, 16 bytes each. A key that a map task holds more than once goes on as one
-    pair, so a key that a third of all documents share adds no more than one pair per task to a bucket.
+    kind 0: document b, of n shingles, belongs to the second-level region of pivot a. kind 1: document b, of n
+    shingles, is in the region of the hot key a. Rows travel packed; the key of a hot region is known to all
+    tasks that its rows meet, and its rows are dealt by turns.
     """
-    schema = "bucket int, kind int, keys binary, nodes binary"
-    single, again, spread = 0, 1, 2  # a task's only row of a key; one of several, which are sent on under 2
+    plain, marker, spread = 0, 1, 2
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = [], []
+        held, many, turn = [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, many, turn
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            begins = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+            often = np.diff(np.concatenate([begins, [len(rows)]]))
+            hot = np.repeat(often > HOT, often)
+            out = []
+            for kind, chosen in ((plain, rows[~hot]), (marker, rows[begins[often > HOT]])):
+                bucket = ((chosen["key"].astype(np.uint64) * _MIX1) >> np.uint64(33)).astype(np.int64) % parts
+                by = np.argsort(bucket, kind="stable")
+                edges = np.searchsorted(bucket[by], np.arange(parts + 1))
+                out += [(b, kind, chosen[by[s:e]].tobytes()) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
+            crowd = rows[hot]
+            for at in range(0, len(crowd), 50_000):
+                out.append(((int(crowd["node"][0] >> 33) + turn) % parts, spread, crowd[at : at + 50_000].tobytes()))
+                turn += 1
+            held, many = [], 0
+            columns = list(zip(*out)) if out else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "rows"])
+
         for batch in batches:
-            lists = batch.column(1)
-            keys.append(lists.flatten().to_numpy(zero_copy_only=False))
-            nodes.append(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())))
-        if not keys:
-            return
-        key, node = np.concatenate(keys), np.concatenate(nodes)
-        order = np.argsort(key, kind="stable")
-        key, node = key[order], node[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        last = np.ones(len(key), bool)
-        last[:-1] = first[1:]
-        rows = []
-        for kind, chosen in ((single, first & last), (again, first & ~last)):
-            k, v = key[chosen], node[chosen]
-            bucket = ((k.view(np.uint64) * _MIX1) >> np.uint64(33)).astype(np.int64) % parts
-            by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(parts + 1))
-            rows += [(b, kind, k[by[s:e]].tobytes(), v[by[s:e]].tobytes()) for b, (s, e) in enumerate(zip(edges, edges[1:])) if e > s]
-        k, v = key[~(first & last)], node[~(first & last)]
-        rows += [(int(at // 50_000 + (node[0] >> 33)) % parts, spread, k[at : at + 50_000].tobytes(), v[at : at + 50_000].tobytes()) for at in range(0, len(k), 50_000)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], ["bucket", "kind", "keys", "nodes"])
+            ends = batch.column(2).offsets.to_numpy()
+            keys = batch.column(2).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            each = np.diff(ends)
+            rows = np.empty(len(keys), _ROW)
+            rows["key"] = keys.view(np.uint32)
+            rows["place"] = np.minimum(np.arange(len(keys)) - np.repeat(ends[:-1] - ends[0], each), 65_535)
+            rows["size"] = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), each)
+            rows["node"] = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), each)
+            held.append(rows)
+            many += len(rows)
+            if many > SORTED_PAIRS:
+                yield from flush()
+        if many:
+            yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(k), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 200_000]), pa.array(v[at : at + 200_000])], ["key", "node"])
+        def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(a), 200_000):
+                some = [pa.array(np.ascontiguousarray(c[at : at + 200_000]).astype(np.int64)) for c in (a, b, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *some], ["kind", "a", "b", "n"])
 
-        keys, nodes, kinds = [], [], []
+        held, hot = [], []
         for batch in batches:
-            for kind, k, v in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                k, v = np.frombuffer(k, np.int64), np.frombuffer(v, np.int64)
+            for kind, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                rows = np.frombuffer(packed, _ROW)
                 if kind == spread:
-                    yield from out(k, v)
+                    yield from out(1, rows["key"], rows["node"], rows["size"])
                 else:
-                    keys.append(k), nodes.append(v), kinds.append(np.full(len(k), kind == single))
-        if keys:
-            key, node, open_ = np.concatenate(keys), np.concatenate(nodes), np.concatenate(kinds)
-            order = np.argsort(key, kind="stable")
-            key, node, open_ = key[order], node[order], open_[order]
-            several = np.zeros(len(key), bool)
-            several[1:] = key[1:] == key[:-1]
-            several[:-1] |= several[1:]
-            yield from out(key[several & open_], node[several & open_])
+                    (held if kind == plain else hot).append(rows)
+        if not held:
+            return
+        rows = np.concatenate(held)
+        if hot:
+            crowd = np.isin(rows["key"], np.unique(np.concatenate(hot)["key"]))
+            yield from out(1, rows["key"][crowd], rows["node"][crowd], rows["size"][crowd])
+            rows = rows[~crowd]
+        a, b, n = second_level(rows, percent)
+        yield from out(0, a, b, n)
 
-    dealt = prefixes.select("node", "keys").mapInArrow(scatter, schema).repartition(parts, "bucket")
-    return dealt.mapInArrow(gather, "key long, node long")
+    dealt = classes.select("node", "n", "keys").mapInArrow(scatter, "bucket int, kind int, rows binary").repartition(parts, "bucket")
+    return dealt.mapInArrow(gather, "kind int, a long, b long, n long")
 
 
-def _overfull(regions: DataFrame) -> DataFrame:
-    return regions.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > REGION)
+def second_level(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pivot, document, its size): distinct members of second-level regions, from all rows of some keys.
 
+    Regions of up to a handful give the pairs that can be within the threshold, the first document as pivot.
+    Larger ones are cut where sizes leave a gap that no pair spans, lose documents without a possible partner,
+    and what is left meets at the document with the smallest hash.
+    """
+    rows = rows[np.lexsort((rows["node"], rows["size"], rows["key"]))]
+    size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
+    if len(rows) < 2:
+        return (np.empty(0, np.int64),) * 3
+    parted = (rows["key"][1:] != rows["key"][:-1]) | (100 * size[:-1] < percent * size[1:])
+    begins = np.concatenate([[0], np.flatnonzero(parted) + 1])
+    length = np.diff(np.concatenate([begins, [len(rows)]]))
+
+    def least(a, b):  # shared shingles of a pair of such sizes within the threshold
+        return -(-percent * (a + b) // (100 + percent))
+
+    def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        shared = np.minimum(size[i] - place[i], size[j] - place[j])
+        return (shared >= least(size[i], size[j])) & (100 * size[i] >= percent * size[j]) & (rows["node"][i] != rows["node"][j])
+
+    pivots, members = [], []
+
+    def pairs(i: np.ndarray, j: np.ndarray) -> None:
+        near = possible(i, j)
+        x, y = i[near], j[near]
+        swap = rows["node"][x] > rows["node"][y]
+        pivots.append(np.where(swap, y, x))
+        members.append(np.where(swap, x, y))
+
+    small = np.flatnonzero((length > 1) & (length <= voronoi.HANDFUL))
+    for lag in range(1, voronoi.HANDFUL):
+        for step in range(voronoi.HANDFUL - lag):
+            first = begins[small[length[small] > step + lag]] + step
+            pairs(first, first + lag)
+    core = size - place >= least(size, size)  # the smaller one of a pair is, the larger one needn't be
+    hashed = (rows["node"].view(np.uint64) * _MIX1) ^ (rows["node"].view(np.uint64) >> np.uint64(7))
+    for k in np.flatnonzero(length > voronoi.HANDFUL).tolist():
+        at = np.arange(begins[k], begins[k] + length[k])
+        s, c = size[at], core[at]
+        low, high = -(-percent * s // 100), 100 * s // percent
+        below = np.searchsorted(s[c], s, "right") - np.searchsorted(s[c], low, "left") - c
+        above = np.searchsorted(s, high, "right") - np.searchsorted(s, s, "left") - 1
+        at = at[(below > 0) | (c & (above > 0))]
+        if len(at) <= voronoi.HANDFUL:
+            x, y = np.triu_indices(len(at), 1)
+            pairs(at[x], at[y])
+            continue
+        pivot = at[hashed[at].argmin()]
+        at = at[rows["node"][at] != rows["node"][pivot]]
+        pivots.append(np.full(len(at), pivot))
+        members.append(at)
+    p, m = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pivots, members))
+    found = np.unique(np.rec.fromarrays([rows["node"][p], rows["node"][m], rows["size"][m].astype(np.int64)], names="a,b,n"))
+    return found["a"], found["b"], found["n"]
 
-def _within(keys: np.ndarray, struck: np.ndarray) -> np.ndarray:
-    if not len(struck):
-        return np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(struck, keys), len(struck) - 1)
-    return struck[at] == keys
 
+def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose column is among the distinct ids; a list of checked size is broadcast."""
+    keys = ids.toDF(column)
+    if keys.count() <= MAX_BROADCAST_IDS:
+        keys = F.broadcast(keys)
+    return df.join(keys, column, "left_semi")
 
-def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy()
-    return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
+def _held(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, codes) of the wanted (th, node): the sets of those texts, read from docs once more.
 
-def _holding(shared):
-    """Nodes (node, p, keys) that hold a struck key."""
+    A table of hashed cells tells the scan which texts to take; one task gives a text once.
+    """
+    spark = docs.sparkSession
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        bits = np.zeros(TEXT_CELLS, np.uint8)
         for batch in batches:
-            keys, offsets = _lists(batch.column(2))
-            before = np.concatenate([[0], np.cumsum(_within(keys, shared.value))])
-            holds = before[offsets[1:]] > before[offsets[:-1]]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(holds))], ["node"])
-
-    return run
+            bits[[int.from_bytes(h[:8], "little") % TEXT_CELLS for h in batch.column(0).to_pylist()]] = 1
+        return np.packbits(bits)
 
-
-def _dealt_anew(shared):
-    """The first p keys of (node, p, shingles) in the order that puts struck keys last."""
+    asked = spark.sparkContext.broadcast(cells.merged(wanted.select("th"), fill, TEXT_CELLS // 8, np.bitwise_or, np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, offsets = _lists(batch.column(2))
-            hot, out = _within(values, shared.value), []
-            for p, s, e in zip(batch.column(1).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
-                keys, last = values[s:e], hot[s:e]
-                cold = keys[~last]
-                out.append(cold[:p] if len(cold) >= p else np.concatenate([cold, keys[last][: p - len(cold)]]))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out) if out else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "dealt"])
-
-    return run
-
-
-def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose column is among the distinct ids; a list of checked size is broadcast."""
-    keys = ids.toDF(column)
-    if keys.count() <= MAX_BROADCAST_IDS:
-        keys = F.broadcast(keys)
-    return df.join(keys, column, "left_semi")
+        bits, seen = asked.value, set()
+        for _, texts in _texts(batches, 0):
+            hashes, sets = [], []
+            for t in texts:
+                h = xxhash.xxh3_128_digest(t) if t else b""
+                cell = int.from_bytes(h[:8], "little") % TEXT_CELLS
+                if h and bits[cell >> 3] >> (7 - (cell & 7)) & 1 and h not in seen:
+                    seen.add(h)
+                    hashes.append(h)
+                    sets.append(shingle_set(t, n).view(np.int64))
+            if hashes:
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["th", "codes"])
+
+    read = docs.select(F.col("text").cast("string")).mapInArrow(run, "th binary, codes array<long>")
+    return read.join(wanted, "th").groupBy("node").agg(F.first("codes").alias("codes"))
 
 
 def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: int = 90, keyed: bool = False) -> DataFrame:
@@ -229,129 +332,98 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
     """
     keys, root = (["text_key"], ["root"]) if keyed else ([], [])
     spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = work.save(shingle_sets(docs, n, keyed).withColumn("node", F.monotonically_increasing_id()), "sets")
-    narrow = sets.select("doc_id", "n", "fp", "node", *keys)
-    classes = work.save(
-        narrow.filter("n > 0").groupBy("fp").agg(F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.first("n").alias("n")), "classes"
+    counts = spark.sparkContext.broadcast(shingle_counts(docs, n, COUNT_CELLS))
+    rows = shingle_windows(docs, n, percent, counts, keyed).withColumn("node", F.monotonically_increasing_id())
+    rows = work.save(rows, "documents")
+    # Rows of one fp have equal n and keys, and any of their texts has the class's set.
+    classes = rows.filter("n > 0").groupBy("fp").agg(
+        F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "th", "keys")]
     )
-    window = (F.col("n") * (100 - percent) / 100 + 1e-9).cast("int") + 1
-    prefixes = sets.filter("n > 0").select("node", window.alias("p"), F.slice("shingles", 1, window).alias("keys"))
-    prefixes = work.save(prefixes.join(classes.select("node"), "node", "left_semi"), "prefixes")
-    regions = work.save(matched(prefixes, parts), "regions-0")
-    release(spark)
-
-    # Recursion, first kind: overfull regions give up their pivot. Documents of such regions are probed four
-    # windows deep, which shows the other shingles that they share.
-    crowd = work.save(_overfull(regions), "overfull-0")
-    if not crowd.isEmpty():
-        touched = work.save(regions.join(crowd, "key", "left_semi").select("node").distinct(), "touched-0")
-        deep = _among(sets.select("node", "n", "shingles"), "node", touched).select("node", F.slice("shingles", 1, 4 * window).alias("keys"))
-        crowd = work.save(crowd.union(_overfull(matched(deep, parts))).groupBy("key").agg(F.max("size").alias("size")), "overfull-1")
-        struck = np.sort(np.array([r["key"] for r in crowd.orderBy(F.desc("size")).limit(MAX_STRUCK).collect()], np.int64))  # bounded
-        shared = spark.sparkContext.broadcast(struck)
-        touched = work.save(prefixes.mapInArrow(_holding(shared), "node long"), "touched-1")
-        rows = _among(sets.select("node", "n", "shingles"), "node", touched).select("node", window.alias("p"), "shingles")
-        dealt = work.save(rows.mapInArrow(_dealt_anew(shared), "node long, dealt array<long>"), "dealt")
-        anew = prefixes.join(dealt, "node", "left").select("node", F.coalesce("dealt", "keys").alias("keys"))
-        regions = work.save(matched(anew, parts), "regions-1")
-        work.drop("regions-0", "dealt")
-    nodes = work.save(regions.select("node").distinct(), "in-regions")
-    held = work.save(_among(sets.select("node", "n", "shingles"), "node", nodes), "held")
-    narrow = work.save(narrow.select("doc_id", "n", "fp", *keys), "documents")
-    work.drop("sets", "prefixes")
-
-    links = _links(regions, held, classes.select("node", "n"), work, percent)
+    classes = work.save(classes, "classes")
+    met = work.save(meetings(classes, percent, parts), "met")
+    links = work.save(_links(docs, met, classes, work, n, percent), "links")
     roots = components(links, work)
-    ends = work.save(
-        classes.join(roots, "node", "left").select("fp", "doc", F.coalesce("root", "node").alias("root")), "ends"
-    )
-    smallest = ends.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = ends.join(smallest, "root").select("fp", "component_id", *root)
-    out = narrow.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *keys, *root)
-    result = Workspace(spark, "components").save(out, "result")
+    release(spark)
+    # Only classes of several documents or with links need anything but their own doc_id and node.
+    named = classes.select("fp", "node", "doc", "copies").join(roots, "node", "left").filter("copies > 1 OR root IS NOT NULL")
+    named = work.save(named.select("fp", "doc", F.coalesce("root", "node").alias("root")), "named")
+    smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    named = named.join(smallest, "root").select("fp", "component_id", "root")
+    out = rows.drop("keys", "th").join(named, "fp", "left")
+    single = F.col("root").isNull()
+    result = Workspace(spark, "components").save(
+        out.select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(single, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+            *keys, *[F.when(F.col("n") > 0, F.coalesce("root", "node")).alias(c) for c in root],
+        ),
+        "result",
+    )
     work.drop()
     return result
 
 
-def _links(regions: DataFrame, held: DataFrame, sizes: DataFrame, work: Workspace, percent: int) -> DataFrame:
+def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly what all pairs within the threshold connect."""
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        """pairs (saved) with the sets of both ends; only the sets of these pairs travel."""
-        for end in "ab":
-            sets = _among(held.select("node", "shingles"), "node", pairs.select(end).distinct())
-            pairs = pairs.join(sets.toDF(end, "s" + end), end)
-        return pairs.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-
-    def near(na: str, nb: str):
-        return F.least(na, nb) * 100 >= F.greatest(na, nb) * percent
-
-    def linked():
-        return F.col("common") * 100 >= (F.col("na") + F.col("nb") - F.col("common")) * percent
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b) of pairs within the threshold; sizes are compared before sets travel."""
-        likely = work.save(sized(pairs).filter(near("na", "nb")), f"{name}-likely")
-        return work.save(with_sets(likely).filter(linked()).select("a", "b"), name)
-
-    def unsettled(regions: DataFrame, label: DataFrame | None) -> DataFrame:
-        """Rows of regions whose documents don't all have one label."""
-        if label is None:
-            return regions.withColumn("label", F.col("node"))
-        rows = regions.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        return rows.join(mixed, "key", "left_semi")
-
-    def labels(links: DataFrame, name: str) -> DataFrame:
-        """(node, label): documents with one label are in one component for sure (not the other way round).
-        A pointer to the smallest linked node, followed a few times."""
-        label = work.save(links.groupBy(F.greatest("a", "b").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), f"{name}-0")
-        for _ in range(3):
-            label = label.alias("x").join(label.alias("y"), F.col("x.label") == F.col("y.node"), "left").select(
-                F.col("x.node").alias("node"), F.coalesce("y.label", "x.label").alias("label")
-            )
-        return work.save(label, name)
-
-    links, label, step = None, None, 0
+    regions = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
+    members = _second(regions).union(met.filter("kind = 0").select("a", "b", "n")).distinct()
+    members = work.save(members, "members-0")
+    nodes = members.select(F.col("a").alias("node")).union(members.select("b")).distinct()
+    wanted = work.save(classes.select("node", "th", "n").join(nodes, "node", "left_semi"), "wanted")
+    held = work.save(_held(docs, wanted, n), "held")
+    release(docs.sparkSession)
+    links, step = [], 0
     while True:
-        rows = work.save(unsettled(regions, label), f"rows-{step}")
-        if rows.isEmpty():
+        size = members.groupBy("a").agg(F.count("*").alias("members"), F.sum("n").alias("codes"))
+        large = work.save(size.filter((F.col("members") > MAX_MEMBERS) | (F.col("codes") > MAX_CODES)).select("a"), f"large-{step}")
+        over = not large.isEmpty()
+        inside = members.join(large, "a", "left_anti") if over else members
+        links.append(work.save(_joined(inside, held, percent), f"links-{step}"))
+        if not over:
             break
-        # The pivot of a region is the document that stands in most regions: it has least text of its own. A
-        # large region takes the best of each of PIVOTS hash classes, which are one row per region to hold.
-        degree = rows.groupBy("node").agg(F.count("*").alias("degree"))
-        best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(PIVOTS)) == i, F.struct("degree", "node"))).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = rows.join(degree, "node").groupBy("key").agg(F.count("*").alias("size"), *best)
-        first = F.greatest(*[f"p{i}" for i in range(PIVOTS)])["node"]
-        several = F.array_compact(F.array(*[F.col(f"p{i}.node") for i in range(PIVOTS)]))
-        pivots = pivots.select("key", "size", first.alias("pivot"), F.when(F.col("size") > REGION, several).otherwise(F.array(first)).alias("pivots"))
-        pivots = work.save(pivots, f"pivots-{step}")
-        star = rows.join(pivots, "key").select(F.explode("pivots").alias("a"), F.col("node").alias("b"), "size", "pivot").filter("a <> b")
-        found = verify(star.filter(f"size <= {REGION} OR a <> pivot").select("a", "b"), f"star-{step}")
-        # Large regions also keep what each document and its pivot do not share.
-        wide = work.save(sized(star.filter(f"size > {REGION} AND a = pivot").select("a", "b")), f"wide-{step}")
-        cells = with_sets(wide).select(
-            "a", "b", "na", "nb", linked().alias("linked"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta")
-        )
-        cells = work.save(cells, f"cells-{step}")
-        found = found.union(cells.filter("linked").select("a", "b"))
-        links = found if links is None else links.union(found)
-        label = labels(links, f"labels-{step}")
-        rest = unsettled(rows.drop("label"), label).join(pivots, "key").filter(~F.array_contains("pivots", F.col("node"))).drop("pivots")
-        rest = work.save(rest.join(sizes, "node"), f"rest-{step}")
-        # Small regions: all pairs that are still open, at most REGION / 2 a row.
-        x, y = (rest.filter(F.col("size") <= REGION).select("key", *[F.col(c).alias(s + c) for c in ("node", "label", "n")]) for s in "ab")
-        pairs = x.join(y, "key").filter((F.col("anode") < F.col("bnode")) & (F.col("alabel") != F.col("blabel")) & near("an", "bn"))
-        links = links.union(verify(pairs.select(F.col("anode").alias("a"), F.col("bnode").alias("b")), f"pairs-{step}"))
-        open_ = rest.filter(F.col("size") > REGION).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        regions = work.save(_recentred(cells.join(open_, ["a", "b"], "left_semi"), percent), f"regions-next-{step}")
+        # Too large for one task: all are compared with the pivot, and what that leaves open is dealt anew.
+        cells_ = work.save(_centred(members.join(large, "a", "left_semi"), held, percent), f"cells-{step}")
+        links.append(cells_.filter("linked").select("a", "b"))
+        open_ = cells_.filter(~F.col("linked")).select("a").distinct()
+        regions = work.save(_recentred(cells_.join(open_, "a", "left_semi"), percent), f"regions-{step}")
         step += 1
-    if links is None:
-        return regions.select(F.col("node").alias("a"), F.col("node").alias("b"))
-    return links
+        members = work.save(_second(regions).distinct(), f"members-{step}")
+        release(docs.sparkSession)
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
+
+
+def _second(regions: DataFrame) -> DataFrame:
+    """Members (a, b, n) of second-level regions, from regions (key, node, n) of any size: the document with the
+    smallest hash is the pivot."""
+    pivots = regions.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("a"))
+    return regions.join(pivots, "key").filter("a <> node").select("a", F.col("node").alias("b"), "n")
+
+
+def _joined(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of all second-level regions, each joined in one task."""
+
+    def join(table: pa.Table) -> pa.Table:
+        nodes, sets = table.column("node").to_numpy(), table.column("codes").combine_chunks()
+        if isinstance(sets, pa.ChunkedArray):
+            sets = sets.chunk(0)
+        ends, codes = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
+        found = voronoi.Region([codes[s:e] for s, e in zip(ends, ends[1:])], percent).join()
+        a, b = nodes[[i for i, _ in found]] if found else [], nodes[[j for _, j in found]] if found else []
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    rows = members.select("a", F.col("b").alias("node")).union(members.select("a", F.col("a").alias("node")).distinct())
+    return rows.join(held, "node").groupBy("a").applyInArrow(join, "a long, b long")
+
+
+def _centred(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Members (a, b) seen from their pivot a: sizes na and nb, whether they link, and what they don't share."""
+    x, y = held.toDF("b", "sb"), held.toDF("a", "sa")
+    common = F.size(F.array_intersect("sa", "sb")).cast("long")
+    linked = common * 100 >= (F.col("na") + F.col("nb") - common) * percent
+    both = members.join(x, "b").join(y, "a").select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), "sa", "sb")
+    return both.select("a", "b", "na", "nb", linked.alias("linked"), F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa")).alias("delta"))
 
 
 def _recentred(cells: DataFrame, percent: int) -> DataFrame:
@@ -370,12 +442,12 @@ def _recentred(cells: DataFrame, percent: int) -> DataFrame:
     # For u: s(v) >= s(u) - widest, so o >= s(u) - widest. For v linked to p: s(u) > c (|u| + |p|).
     least = F.when(F.col("linked"), (s - F.greatest(F.col("nb") - F.col("na"), F.lit(0)) * c) / 2).otherwise(s - widest)
     cells = cells.withColumn("s", s).withColumn("p", s - F.greatest(F.ceil(least - 1e-6), F.lit(1)).cast("int") + 1)
-    exploded = cells.filter("s > 0").select("a", "b", "p", F.explode("delta").alias("shingle"))
+    exploded = cells.filter("s > 0").select("a", "b", "nb", "p", F.explode("delta").alias("shingle"))
     often = exploded.groupBy("a", "shingle").agg(F.count("*").alias("often"))
     order = F.sort_array(F.collect_list(F.struct("often", "shingle")))
-    rarest = exploded.join(often, ["a", "shingle"]).groupBy("a", "b").agg(order.alias("order"), F.first("p").alias("p"))
-    lower = rarest.select("a", "b", F.explode(F.slice("order", 1, F.col("p"))).alias("x")).filter("x.often > 1")
-    return lower.select(F.xxhash64("a", "x.shingle").alias("key"), F.col("b").alias("node"))
+    rarest = exploded.join(often, ["a", "shingle"]).groupBy("a", "b").agg(order.alias("order"), F.first("p").alias("p"), F.first("nb").alias("nb"))
+    lower = rarest.select("a", "b", "nb", F.explode(F.slice("order", 1, F.col("p"))).alias("x")).filter("x.often > 1")
+    return lower.select(F.xxhash64("a", "x.shingle").alias("key"), F.col("b").alias("node"), F.col("nb").alias("n"))
 
 
 def keep_one(docs: DataFrame, work: Workspace, n: int = 5, percent: int = 80) -> DataFrame:

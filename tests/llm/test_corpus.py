@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import decontam, jaccard_join, langid, licenses, lm, packing, quality, sharding, token_orc, warc
+from sluice.llm import decontam, jaccard_join, langid, licenses, lm, packing, quality, sharding, token_orc, voronoi, warc
 from sluice.llm.common import Workspace
 from sluice.llm.elias_fano import EliasFano, from_buffer, to_bytes
 from sluice.llm.queries import default_tokenizer
@@ -85,16 +85,23 @@ def brute_components(texts, n, percent):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("n,percent", [(3, 90), (5, 80)])
-def test_jaccard(spark, docs, texts, n, percent, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "REGION", 8)  # so that regions are overfull
+def force_recursion(monkeypatch):
+    """Keys are hot from the third row on, and regions of more than three documents are re-centred."""
+    monkeypatch.setattr(jaccard_join, "HOT", 2)
+    monkeypatch.setattr(jaccard_join, "MAX_MEMBERS", 3)
+
+
+@pytest.mark.parametrize("n,percent,forced", [(3, 90, False), (3, 90, True), (5, 80, False), (5, 80, True)])
+def test_jaccard(spark, docs, texts, n, percent, forced, monkeypatch):
+    if forced:
+        force_recursion(monkeypatch)
     got = jaccard_join.jaccard_components(docs, Workspace(spark, "t"), n, percent).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(list(texts.items()), n, percent)
 
 
 def test_jaccard_of_near_copies(spark, monkeypatch):
     """Copies of one text with random edits: similarities on both sides of the threshold."""
-    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    force_recursion(monkeypatch)
     rng = np.random.default_rng(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -107,9 +114,42 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
 
 
+def test_region_joins_like_brute_force():
+    """Voronoi cells, windows and rings connect what all pairs within the threshold connect, and nothing else."""
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        percent, bases, sets = int(rng.choice([90, 80, 50])), [rng.integers(0, 1 << 60, rng.integers(5, 60)) for _ in range(rng.integers(1, 6))], []
+        for _ in range(rng.integers(2, 80)):
+            base = bases[rng.integers(0, len(bases))]
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > rng.choice([0, 0.02, 0.05, 0.1, 0.2])], rng.integers(0, 40, rng.integers(1, 4))])))
+        label = list(range(len(sets)))
+
+        def joined(pairs):
+            for a, b in pairs:
+                x, y = label[a], label[b]
+                label[:] = [min(x, y) if v in (x, y) else v for v in label]
+            return list(label)
+
+        near = [(a, b) for a in range(len(sets)) for b in range(a) if (c := len(np.intersect1d(sets[a], sets[b]))) * 100 >= percent * (len(sets[a]) + len(sets[b]) - c)]
+        links = voronoi.Region(sets, percent).join()
+        assert {(max(x), min(x)) for x in links} <= set(near)
+        got = joined(links)
+        label = list(range(len(sets)))
+        assert got == joined(near)
+
+
+def test_cells_merge_in_a_tree(spark):
+    """Counts of all shingles, whatever the number of tasks."""
+    rows = [(i, f"a b c d{i % 7}") for i in range(150)]
+    want = Counter(int(c) % (1 << 16) for _, t in rows for c in jaccard_join.shingle_set(t.encode(), 2))
+    for tasks in (1, 130):
+        got = jaccard_join.shingle_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks), 2, 1 << 16)
+        assert {i: int(got[i]) for i in np.flatnonzero(got)} == dict(want)
+
+
 def test_jaccard_recentred_for_the_pipeline(spark, monkeypatch):
     """The second recursion runs at the pipeline's parameters: near copies around 80 % on five-word shingles."""
-    monkeypatch.setattr(jaccard_join, "REGION", 4)
+    force_recursion(monkeypatch)
     runs, recentred = [], jaccard_join._recentred
 
     def counted(cells, percent):
