@@ -13,8 +13,8 @@ from ..errors import ShapeError
 KEY, VALUE = "_eng_hash_key", "_eng_hash_value"
 #: Text of a missing value and the separator (fixed by the hash standard).
 NULL_TEXT, SEPARATOR = "__NULL__", "||"
-#: A 64-digit digest falls into lanes of at most 15 hex digits, which fit a signed 64-bit integer.
-LANES = [(1, 15), (16, 15), (31, 15), (46, 15), (61, 4)]
+#: A digest of 32 bytes is folded as so many 64-bit integers.
+SLICES = 4
 
 
 def normalised(column: Column) -> Column:
@@ -34,12 +34,17 @@ def with_hashes(df: DataFrame, keys: Sequence[str], compared: Sequence[str]) ->
     return df.withColumns({KEY: row_hash(keys), VALUE: value})
 
 
-def lanes(digest: Column) -> list[Column]:
-    return [F.coalesce(F.bit_xor(F.conv(F.substring(digest, s, n), 16, 10).cast("bigint")), F.lit(0).cast("bigint")) for s, n in LANES]
+def folded(digest: Column) -> list[Column]:
+    """XOR over all rows of each 8-byte slice of a hex digest; 0 where there is no digest."""
+    text = lambda i: F.substring(digest, 16 * i + 1, 16)
+    # conv reads 64 bits without a sign; the bits are those of the signed integer.
+    number = lambda i: F.conv(text(i), 16, -10).cast("bigint")
+    return [F.coalesce(F.bit_xor(number(i)), F.lit(0).cast("bigint")) for i in range(SLICES)]
 
 
-def join_lanes(values: Sequence[Column]) -> Column:
-    return F.concat(*[F.lower(F.lpad(F.hex(v), n, "0")) for v, (_, n) in zip(values, LANES)])
+def unfolded(values: Sequence[Column]) -> Column:
+    """The hex digits of slices."""
+    return F.concat(*[F.lower(F.lpad(F.hex(v), 16, "0")) for v in values])
 
 
 @dataclass(frozen=True)
@@ -51,14 +56,9 @@ class Fingerprint:
 
 def fingerprint_frame(df: DataFrame) -> DataFrame:
     """One row: row count and the XOR of all key and value hashes. A map-side sum, so only one row per task moves."""
-    made = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[x.alias(f"k{i}") for i, x in enumerate(lanes(F.col(KEY)))],
-        *[x.alias(f"v{i}") for i, x in enumerate(lanes(F.col(VALUE)))],
-    )
-    return made.select(
-        "rows", join_lanes([F.col(f"k{i}") for i in range(5)]).alias("keys"), join_lanes([F.col(f"v{i}") for i in range(5)]).alias("values")
-    )
+    made = df.agg(F.count(F.lit(1)).alias("rows"), F.struct(*folded(F.col(KEY))).alias("k"), F.struct(*folded(F.col(VALUE))).alias("v"))
+    slices = lambda n: [F.col(f"{n}.col{i + 1}") for i in range(SLICES)]
+    return made.select("rows", unfolded(slices("k")).alias("keys"), unfolded(slices("v")).alias("values"))
 
 
 def fingerprint(df: DataFrame) -> Fingerprint:

@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import LoadError
@@ -21,11 +23,19 @@ START, END, SEQ, OP = "__START_AT", "__END_AT", "_eng_seq", "_eng_deleted"
 class Cdc:
     keys: Sequence[str]
     sequence: Sequence[str]
-    deletes: str | None = None  # predicate of a row that deletes its key
+    deletes: str | tuple[str, Sequence[object]] | None = None  # of a row that deletes its key: a predicate, or an operation column and its values
     exclude: Sequence[str] = ()
     track: Sequence[str] | None = None  # SCD2: columns whose change opens a version; default all
     extra: Sequence[str] = field(default=())
 
+    @property
+    def gone(self) -> Column:
+        """Whether a row deletes its key; an unknown operation does not."""
+        if self.deletes is None:
+            return F.lit(False)
+        told = F.expr(self.deletes) if isinstance(self.deletes, str) else F.col(self.deletes[0]).isin(*self.deletes[1])
+        return F.coalesce(told, F.lit(False))
+
     def check(self, df: DataFrame) -> None:
         missing = [c for c in (*self.keys, *self.sequence) if c not in df.columns]
         if not self.keys or missing:
@@ -48,9 +58,8 @@ def truncate_and_load(current: DataFrame | None, source: DataFrame, empty_target
 def _events(changes: DataFrame, cdc: Cdc) -> DataFrame:
     cdc.check(changes)
     seq = F.struct(*[F.col(c) for c in cdc.sequence])
-    gone = F.coalesce(F.expr(cdc.deletes), F.lit(False)) if cdc.deletes else F.lit(False)
-    bad = [F.col(c).isNull() for c in cdc.sequence]
-    guard = F.when(bad[0] if len(bad) == 1 else bad[0] | bad[1], F.raise_error(F.lit("the sequence is null")).cast("boolean")).otherwise(gone)
+    missing = reduce(or_, [F.col(c).isNull() for c in cdc.sequence])
+    guard = F.when(missing, F.raise_error(F.lit("the sequence is null")).cast("boolean")).otherwise(cdc.gone)
     return changes.select("*", seq.alias(SEQ), guard.alias(OP)).drop(*[c for c in cdc.exclude if c not in cdc.sequence])
 
 
@@ -76,7 +85,6 @@ def scd2(changes: DataFrame, cdc: Cdc) -> DataFrame:
     events = _events(changes, cdc)
     values = cdc.values(events)
     tracked = sorted(cdc.track or [c for c in values if c not in cdc.sequence])
-    at = F.col(cdc.sequence[0]) if len(cdc.sequence) == 1 else F.col(SEQ)
     one = F.max_by(F.struct(OP, *values), row_hash(sorted(values)))
     events = events.groupBy(*cdc.keys, SEQ).agg(one.alias("x")).select(*cdc.keys, SEQ, "x.*")
     by = Window.partitionBy(*cdc.keys).orderBy(SEQ)
@@ -87,8 +95,7 @@ def scd2(changes: DataFrame, cdc: Cdc) -> DataFrame:
     version = events.groupBy(*cdc.keys, "_eng_version").agg(F.max_by(F.struct(*values), F.col(SEQ)).alias("x"), F.min(SEQ).alias(START), F.first(OP).alias(OP))
     version = version.withColumn(END, F.lead(START).over(Window.partitionBy(*cdc.keys).orderBy("_eng_version")))
     name = cdc.sequence[0]
-    out = version.filter(~F.col(OP)).select(*cdc.keys, "x.*", F.col(f"{START}.{name}").alias(START), F.col(f"{END}.{name}").alias(END))
-    return out if at is not None else out
+    return version.filter(~F.col(OP)).select(*cdc.keys, "x.*", F.col(f"{START}.{name}").alias(START), F.col(f"{END}.{name}").alias(END))
 
 
 def scd2_current(history: DataFrame) -> DataFrame:
@@ -106,12 +113,12 @@ def scd3(changes: DataFrame, cdc: Cdc, columns: Sequence[str], track_only_checke
     return ranked.groupBy(*cdc.keys).agg(*[x for c in columns for x in (pick(c, 1).alias(f"current_{c}"), pick(c, 2).alias(f"previous_{c}"))])
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], deletes: str | None = None) -> DataFrame:
+def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], deletes: str | tuple[str, Sequence[object]] | None = None) -> DataFrame:
     """Keys with change: insert, update, delete or unchanged; values are those of the newer side."""
     missing = [k for k in keys if k not in new.columns]
     if missing:
         raise LoadError(f"key columns not found: {missing}")
-    new = new.filter(f"NOT coalesce({deletes}, false)") if deletes else new
+    new = new.filter(~Cdc(keys, (), deletes).gone)
     values = [c for c in new.columns if c not in keys]
     digest = row_hash(sorted(values)) if values else F.lit("")
     a, b = (x.select(*keys, F.struct(*values, digest.alias("_eng_digest")).alias(n)) for x, n in ((old, "o"), (new, "n")))
@@ -122,7 +129,7 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str], deletes:
     return both.select(*keys, "change", *[F.col(f"x.{c}").alias(c) for c in values])
 
 
-def full_snapshot(old: DataFrame | None, new: DataFrame, keys: Sequence[str], deletes: str | None = None) -> DataFrame:
+def full_snapshot(old: DataFrame | None, new: DataFrame, keys: Sequence[str], deletes: str | tuple[str, Sequence[object]] | None = None) -> DataFrame:
     """The newest snapshot becomes the table; a key that stands twice in it is an error."""
     if not new.groupBy(*keys).count().filter("count > 1").isEmpty():
         raise LoadError("a key stands twice in the snapshot")
@@ -131,7 +138,8 @@ def full_snapshot(old: DataFrame | None, new: DataFrame, keys: Sequence[str], de
 
 
 def soft_delete(table: DataFrame, key_rows: DataFrame, keys: Sequence[str], indicator: str) -> DataFrame:
-    """is_deleted becomes true for keys whose indicator is true; nothing is un-deleted."""
+    """is_deleted becomes true for keys whose indicator is true; nothing is un-deleted. The table itself comes
+    back, with the column, if no key is marked."""
     marked = key_rows.filter(F.col(indicator).cast("boolean")).select(*keys).distinct().withColumn("_eng_marked", F.lit(True))
     had = F.col("is_deleted") if "is_deleted" in table.columns else F.lit(False)
     joined = table.join(marked, list(keys), "left").withColumn("is_deleted", F.coalesce("_eng_marked", had, F.lit(False)))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import KEY, VALUE, compared_columns, fingerprint, lanes, join_lanes, with_hashes
+from ..errors import ShapeError
+from ..functions.hashing import KEY, VALUE, compared_columns, fingerprint, folded, unfolded, with_hashes
 
+#: Classes of a key; a matching pair of rows beats a differing one, and that a missing side (fixed by the format).
 MATCHED, DRIFT, NO_TARGET, NO_SOURCE = "MATCHED", "VALUE_DRIFT", "MISSING_IN_TARGET", "MISSING_IN_SOURCE"
-#: Of a key's rows the strongest class counts.
-PRIORITY = {MATCHED: 3, DRIFT: 2, NO_TARGET: 1, NO_SOURCE: 1}
 
 
-def prepare(df: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None) -> DataFrame:
-    """df with key and value hash; an empty list compares presence only."""
+def prepare(df: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None, hashed: bool = False) -> DataFrame:
+    """df with key and value hash; an empty list compares presence only. With hashed, df brings its own."""
+    if hashed:
+        if absent := [c for c in (KEY, VALUE) if c not in df.columns]:
+            raise ShapeError(f"precomputed hashes are missing: {absent}")
+        return df
     return with_hashes(df, keys, compared_columns(df.columns, keys) if compare is None else compare)
 
 
@@ -26,14 +31,18 @@ def same(source: DataFrame, target: DataFrame) -> bool:
 
 
 def classify(source: DataFrame, target: DataFrame, presence_only: bool = False) -> DataFrame:
-    """Phase 2: one row per key hash with its class; duplicates on either side do not multiply keys."""
-    s, t = source.select(KEY, F.col(VALUE).alias("s"), F.lit(True).alias("in_s")), target.select(KEY, F.col(VALUE).alias("t"), F.lit(True).alias("in_t"))
-    equal = F.lit(True) if presence_only else F.col("s").eqNullSafe(F.col("t"))
-    kind = F.when(F.col("in_t").isNull(), NO_TARGET).when(F.col("in_s").isNull(), NO_SOURCE).when(equal, MATCHED).otherwise(DRIFT)
-    # Distinct (key, value) pairs first: a key repeated a million times on both sides joins as one row.
-    both = s.distinct().join(t.distinct(), KEY, "full_outer").select(KEY, kind.alias("class"))
-    rank = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])
-    return both.groupBy(KEY).agg(F.max_by("class", F.struct(rank[F.col("class")], F.col("class"))).alias("class"))
+    """Phase 2: one row per key hash with its class; duplicates on either side do not multiply keys.
+
+    Both sides are one table with a flag, summed up by (key, value) and then by key, each with a map-side sum: a
+    key repeated a million times moves as one row per task, and nothing is joined.
+    """
+    value = F.lit(None).cast("string") if presence_only else F.col(VALUE)
+    side = lambda df, s: df.select(KEY, value.alias("v"), F.lit(s).alias("s"), F.lit(not s).alias("t"))
+    rows = side(source, True).union(side(target, False))
+    pairs = rows.groupBy(KEY, "v").agg(F.bool_or("s").alias("s"), F.bool_or("t").alias("t"))
+    keys = pairs.groupBy(KEY).agg(F.bool_or(F.col("s") & F.col("t")).alias("equal"), F.bool_or("s").alias("s"), F.bool_or("t").alias("t"))
+    kind = F.when(F.col("equal"), MATCHED).when(F.col("s") & F.col("t"), DRIFT).when(F.col("s"), NO_TARGET).otherwise(NO_SOURCE)
+    return keys.select(KEY, kind.alias("class"))
 
 
 def counts(classes: DataFrame) -> DataFrame:
@@ -50,7 +59,8 @@ def missing_rows(source: DataFrame, classes: DataFrame) -> DataFrame:
 def mismatches(source: DataFrame, target: DataFrame, classes: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
     """Per key that doesn't match: class, key JSON, and for drift the differing columns with both values."""
     bad = classes.filter(F.col("class") != MATCHED)
-    side = lambda df, n: df.groupBy(KEY).agg(F.min(F.struct(*keys, *compare)).alias(n))
+    # Only rows of keys that don't match are summed up.
+    side = lambda df, n: df.join(bad.select(KEY), KEY, "left_semi").groupBy(KEY).agg(F.min(F.struct(*keys, *compare)).alias(n))
     rows = bad.join(side(source, "s"), KEY, "left").join(side(target, "t"), KEY, "left")
     text = lambda n, c: F.col(f"{n}.{c}").cast("string")
     differs = F.array_compact(F.array(*[F.when(~text("s", c).eqNullSafe(text("t", c)), F.struct(F.lit(c).alias("column"), text("s", c).alias("source"), text("t", c).alias("target"))) for c in compare]))
@@ -60,12 +70,14 @@ def mismatches(source: DataFrame, target: DataFrame, classes: DataFrame, keys: S
 
 def batch_fingerprint(rows: DataFrame) -> DataFrame:
     """Order-independent fingerprint of the distinct keys of a miss set; names a healing batch."""
-    made = rows.select(KEY).distinct().agg(*[x.alias(f"k{i}") for i, x in enumerate(lanes(F.col(KEY)))])
-    return made.select(join_lanes([F.col(f"k{i}") for i in range(5)]).alias("fingerprint"))
+    made = rows.select(KEY).distinct().agg(*[x.alias(f"k{i}") for i, x in enumerate(folded(F.col(KEY)))])
+    return made.select(unfolded([F.col(c) for c in made.columns]).alias("fingerprint"))
 
 
 @dataclass(frozen=True)
 class Outcome:
+    """What one comparison found and did: the metrics record of a reconciliation."""
+
     status: str
     matched: int = 0
     value_drift: int = 0
@@ -73,11 +85,12 @@ class Outcome:
     missing_in_source: int = 0
     appended: int = 0
     fingerprint: str | None = None
+    error: str | None = None
 
 
-def run(source: DataFrame, target: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None, heal=None, ledger: set[str] | None = None, two_tier: bool = True) -> Outcome:
-    """Compares prepared copies of both sides; `heal(rows)` appends the miss set once per fingerprint in `ledger`."""
-    s, t = prepare(source, keys, compare).persist(), prepare(target, keys, compare).persist()
+def run(source: DataFrame, target: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None, heal: Callable[[DataFrame], object] | None = None, ledger: Ledger | None = None, two_tier: bool = True, hashed: bool = False) -> Outcome:
+    """Compares both sides; `heal(rows)` appends the miss set, once per fingerprint that the ledger knows."""
+    s, t = prepare(source, keys, compare, hashed).persist(), prepare(target, keys, compare, hashed).persist()
     try:
         if two_tier and same(s, t):
             return Outcome("MATCHED", matched=s.select(KEY).distinct().count())
@@ -96,3 +109,11 @@ def run(source: DataFrame, target: DataFrame, keys: Sequence[str], compare: Sequ
         return Outcome("SUCCESS", **found, appended=out.count(), fingerprint=mark)
     finally:
         s.unpersist(), t.unpersist()
+
+
+class Ledger(Protocol):
+    """Fingerprints of miss sets that were appended; a set will do, a table outlives the process."""
+
+    def __contains__(self, mark: str) -> bool: ...
+
+    def add(self, mark: str) -> None: ...

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import re
+import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from ..errors import ShapeError
 
 RESERVED = "_eng_"
-MAX_FLATTEN_PASSES = 10
-_FORBIDDEN = re.compile(r"\b(select|from|join|union|insert|update|delete|drop|merge|create|alter|where|group\s+by|having|order\s+by|limit)\b", re.I)
 
 
 def apply_schema(df: DataFrame, columns: Sequence[Mapping[str, str]]) -> DataFrame:
@@ -30,6 +30,7 @@ def apply_schema(df: DataFrame, columns: Sequence[Mapping[str, str]]) -> DataFra
 
 
 def normal_name(name: str, case: str = "lower") -> str:
+    """Trimmed, in the case asked for, with one underscore for each run of other characters (fixed by the naming rule)."""
     text = name.strip()
     text = {"lower": text.lower(), "upper": text.upper(), "preserve": text}[case]
     return re.sub(r"_+", "_", re.sub(r"[^A-Za-z0-9_]", "_", text)).strip("_") or "_"
@@ -68,19 +69,30 @@ def with_ingestion_time(df: DataFrame) -> DataFrame:
 
 
 def parse_json(df: DataFrame, columns: Mapping[str, str | None]) -> DataFrame:
-    """JSON text columns to structs by DDL; without DDL (batch only) it is that of the first value."""
+    """JSON text columns to structs by DDL; without DDL (batch only) by the schema that holds the fields of all rows.
+
+    A column without a value that tells fields becomes a struct without fields.
+    """
     for name, ddl in columns.items():
         if not isinstance(df.schema[name].dataType, StringType):
             raise ShapeError(f"{name} is no string column")
         if ddl is None:
             if df.isStreaming:
                 raise ShapeError(f"{name}: a stream needs the JSON schema")
-            first = df.select(name).filter(F.col(name).isNotNull()).first()
-            ddl = df.sparkSession.range(1).select(F.schema_of_json(F.lit(first[0] if first else "{}"))).first()[0]
+            ddl = _json_schema(df, name)
         df = df.withColumn(name, F.from_json(F.col(name), ddl))
     return df
 
 
+def _json_schema(df: DataFrame, name: str) -> StructType:
+    """One pass of Spark's own inference over every value of the column."""
+    texts = df.select(F.col(f"`{name}`").alias("value")).filter("value IS NOT NULL")
+    spark = df.sparkSession
+    rows = spark._jvm.org.apache.spark.sql.Encoders.STRING()
+    schema = spark._jsparkSession.read().json(getattr(texts._jdf, "as")(rows)).schema()
+    return StructType.fromJson(json.loads(schema.json()))
+
+
 def flatten_struct(df: DataFrame, name: str) -> DataFrame:
     fields = df.schema[name].dataType.fieldNames()
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], *[F.col(f"`{name}`.`{f}`").alias(f"{name}_{f}") for f in fields])
@@ -107,13 +119,31 @@ def explode_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def flatten_all(df: DataFrame) -> DataFrame:
-    for _ in range(MAX_FLATTEN_PASSES):
-        nested = [f for f in df.schema.fields if isinstance(f.dataType, ArrayType | StructType)]
-        if not nested:
+    """All arrays exploded and all structs opened, to any depth; several arrays of a row give all combinations.
+
+    Plain columns come first, then those of nested ones, each named after its path. The schema is walked once per
+    level of arrays: one select opens all structs, and each array that it meets is exploded for the next one.
+    """
+    while True:
+        leaves = [leaf for f in df.schema.fields if not _nested(f.dataType) for leaf in _leaves(F.col(f"`{f.name}`"), f.name, f.dataType)]
+        leaves += [leaf for f in df.schema.fields if _nested(f.dataType) for leaf in _leaves(F.col(f"`{f.name}`"), f.name, f.dataType)]
+        arrays = [name for name, _, kind in leaves if isinstance(kind, ArrayType)]
+        df = df.select(*[column.alias(name) for name, column, _ in leaves])
+        if not arrays:
             return df
-        for f in nested:
-            df = explode_outer(df, f.name) if isinstance(f.dataType, ArrayType) else flatten_struct(df, f.name)
-    return df
+        for name in arrays:
+            df = explode_outer(df, name)
+
+
+def _nested(kind: DataType) -> bool:
+    return isinstance(kind, ArrayType | StructType)
+
+
+def _leaves(column: Column, name: str, kind: DataType) -> list[tuple[str, Column, DataType]]:
+    """(name, column, type) of everything below a column that is no struct."""
+    if not isinstance(kind, StructType):
+        return [(name, column, kind)]
+    return [leaf for f in kind.fields for leaf in _leaves(column.getField(f.name), f"{name}_{f.name}", f.dataType)]
 
 
 def standardise(df: DataFrame, expressions: Sequence[str]) -> DataFrame:
@@ -122,17 +152,34 @@ def standardise(df: DataFrame, expressions: Sequence[str]) -> DataFrame:
         m = re.fullmatch(r"(?is)\s*(.+?)\s+as\s+`?([A-Za-z_]\w*)`?\s*", text)
         if not m:
             raise ShapeError(f"standardisation must end in AS name: {text}")
-        if _FORBIDDEN.search(re.sub(r"'[^']*'", "", m[1])):
-            raise ShapeError(f"standardisation must be a scalar expression: {text}")
+        check_scalar(df.sparkSession, m[1])
         df = df.withColumn(m[2], F.expr(m[1]))
     return df
 
 
+def check_scalar(spark: SparkSession, text: str) -> None:
+    """Raises unless the text is one expression, by Spark's own parser, that holds no query."""
+    try:
+        tree = spark._jsparkSession.sessionState().sqlParser().parseExpression(text)
+    except Exception as e:
+        raise ShapeError(f"not a scalar expression: {text}") from e
+    nodes = [tree]
+    while nodes:
+        node = nodes.pop()
+        if "Subquery" in node.getClass().getSimpleName() or node.getClass().getSimpleName() in ("Exists", "ListQuery"):
+            raise ShapeError(f"must be a scalar expression without a query: {text}")
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+
+
 def dedup(df: DataFrame, watermark: tuple[str, str] | None = None) -> DataFrame:
-    """Drops repeated rows, compared on all but reserved columns; streams with a watermark (column, delay) are bounded by it."""
+    """Drops repeated rows, compared on all but reserved columns; streams with a watermark (column, delay) are
+    bounded by it, and others keep every row in their state, of which a warning tells."""
     columns = [c for c in df.columns if not c.startswith(RESERVED) and c not in ("_rescued_data", "_metadata")]
     if df.isStreaming and watermark:
         return df.withColumn(watermark[0], F.col(watermark[0]).cast("timestamp")).withWatermark(*watermark).dropDuplicatesWithinWatermark(columns)
+    if df.isStreaming:
+        warnings.warn("dedup of a stream without a watermark keeps every distinct row in its state", stacklevel=2)
     return df.dropDuplicates(columns)
 
 

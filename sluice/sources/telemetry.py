@@ -6,14 +6,22 @@ import gzip
 import json
 import os
 import time
-from collections.abc import Callable, Mapping, Sequence
+import urllib.error
+import urllib.request
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.sql.datasource import DataSource, DataSourceStreamWriter, WriterCommitMessage
+
 from ..errors import EngineError
 
-#: Answers after which a delivery is tried again, and the longest pause between tries.
+#: Answers after which a delivery is tried again, and the longest pause between tries (fixed values).
 RETRIED, LONGEST = (429, 500, 502, 503, 504), 30.0
-#: Severity numbers of the log data model.
+#: Seconds that one request may take.
+TIMEOUT = 30.0
+#: Rows of one request of the streaming sink.
+POSTED = 1_000
+#: Severity numbers of the log data model (fixed values).
 SEVERITY = {"INFO": 9, "WARN": 13, "ERROR": 17}
 
 
@@ -55,17 +63,34 @@ def pause(attempt: int, first: float = 1.0, said: str | None = None) -> float:
     return min(LONGEST, float(said) if said and said.replace(".", "", 1).isdigit() else first * 2**attempt)
 
 
-def to_http(logs: Sequence[Mapping], url: str, post: Callable[[str, bytes, dict], tuple[int, dict]], headers: Mapping[str, str] | None = None, tries: int = 5, sleep=time.sleep) -> Delivery:
-    body = json.dumps({"resourceLogs": list(logs)}).encode()
+def to_http(logs: Sequence[Mapping], url: str, post: Callable[[str, bytes, dict], tuple[int, dict]] | None = None, headers: Mapping[str, str] | None = None, tries: int = 5, sleep=time.sleep) -> Delivery:
+    """Posts the logs; answers in RETRIED and network errors are tried again, after a pause that doubles."""
+    body, post, said = json.dumps({"resourceLogs": list(logs)}).encode(), post or http_post, "no try"
     for attempt in range(tries):
-        status, answer = post(url, body, {"Content-Type": "application/json", **(headers or {})})
-        if status < 300:
-            return Delivery(url, True, str(status))
-        if status not in RETRIED:
-            break
+        wait = None
+        try:
+            status, answer = post(url, body, {"Content-Type": "application/json", **(headers or {})})
+        except OSError as e:
+            said = f"{type(e).__name__}: {e}"
+        else:
+            said, wait = str(status), answer.get("Retry-After")
+            if status < 300:
+                return Delivery(url, True, said)
+            if status not in RETRIED:
+                break
         if attempt + 1 < tries:
-            sleep(pause(attempt, said=answer.get("Retry-After")))
-    return Delivery(url, False, str(status))
+            sleep(pause(attempt, said=wait))
+    return Delivery(url, False, said)
+
+
+def http_post(url: str, body: bytes, headers: Mapping[str, str]) -> tuple[int, dict]:
+    """(status, answer's headers) of one request; an error of the network is an OSError."""
+    request = urllib.request.Request(url, data=body, headers=dict(headers), method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=TIMEOUT) as answer:
+            return answer.status, dict(answer.headers)
+    except urllib.error.HTTPError as e:
+        return e.code, dict(e.headers)
 
 
 def deliver(deliveries: Sequence[Callable[[], Delivery]]) -> list[Delivery]:
@@ -79,3 +104,41 @@ def deliver(deliveries: Sequence[Callable[[], Delivery]]) -> list[Delivery]:
     if out and not any(d.ok for d in out):
         raise EngineError(f"no destination took the telemetry: {[d.detail for d in out]}")
     return out
+
+
+class OtlpWriter(DataSourceStreamWriter):
+    """Each task posts its rows, grouped by pipeline, in requests of bounded size; one that fails fails the batch.
+
+    Options: url, header.<name>, tries. The rows have pipeline, level, message, time_ms and further attributes.
+    """
+
+    def __init__(self, schema, options):
+        self.names, self.url, self.tries = schema.names, options["url"], int(options.get("tries", 5))
+        # Option names come in lower case; header names don't depend on it.
+        self.headers = {k.removeprefix("header."): v for k, v in options.items() if k.startswith("header.")}
+        if absent := {"pipeline", "level", "message", "time_ms"} - set(self.names):
+            raise EngineError(f"OTLP sink: columns are missing: {sorted(absent)}")
+
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
+        held: list[dict] = []
+
+        def send() -> None:
+            if held and not (made := to_http(resource_logs(held), self.url, headers=self.headers, tries=self.tries)).ok:
+                raise EngineError(f"{self.url} did not take the telemetry: {made.detail}")
+            held.clear()
+
+        for row in iterator:
+            held.append(dict(zip(self.names, row)))
+            if len(held) >= POSTED:
+                send()
+        send()
+        return WriterCommitMessage()
+
+
+class OtlpSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "otlp"
+
+    def streamWriter(self, schema, overwrite: bool) -> OtlpWriter:  # noqa: N802
+        return OtlpWriter(schema, self.options)

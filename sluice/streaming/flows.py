@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import PlanError
 from ..operators import loads
+from ..sources.commit import Folder
 from ..sources.store import Store
 
 
@@ -25,10 +27,19 @@ def dedup(df: DataFrame, keys: list[str], time: str = "ts", delay: str = "1 day"
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int, delay: str = "1 day") -> DataFrame:
-    """Pairs of one key where the right event is at most so many minutes after the left one."""
-    a = left.withWatermark("ts", delay).select(key, F.col("ts").alias("a_ts"), F.col("event_id").alias("first_id"))
-    b = right.withWatermark("ts", delay).select(F.col(key).alias("b_key"), F.col("ts").alias("b_ts"), F.col("event_id").alias("second_id"))
+def windowed(df: DataFrame, width: str, keys: list[str], aggregates: list[Column], time: str = "ts", delay: str = "1 day", slide: str | None = None, gap: str | None = None) -> DataFrame:
+    """Aggregates per time window and key, with a watermark: tumbling, sliding with `slide`, sessions with `gap`.
+
+    A row later than the watermark is dropped; a window comes out once the watermark has passed its end.
+    """
+    kind = F.session_window(time, gap) if gap else F.window(time, width, slide)
+    return df.withWatermark(time, delay).groupBy(kind.alias("window"), *keys).agg(*aggregates)
+
+
+def interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int, delay: str = "1 day", time: str = "ts", row: str = "event_id") -> DataFrame:
+    """Pairs (first_id, second_id) of one key where the right row is at most so many minutes after the left one."""
+    a = left.withWatermark(time, delay).select(key, F.col(time).alias("a_ts"), F.col(row).alias("first_id"))
+    b = right.withWatermark(time, delay).select(F.col(key).alias("b_key"), F.col(time).alias("b_ts"), F.col(row).alias("second_id"))
     near = (F.col("b_ts") >= F.col("a_ts")) & (F.col("b_ts") <= F.col("a_ts") + F.expr(f"INTERVAL {minutes} MINUTES"))
     return a.join(b, (F.col(key) == F.col("b_key")) & near & (F.col("first_id") != F.col("second_id"))).select("first_id", "second_id")
 
@@ -51,25 +62,36 @@ def run_once(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
 
 
 def load_scd1(df: DataFrame, store: Store, table: str, cdc: loads.Cdc, checkpoint: str) -> None:
-    """Micro-batches into an SCD1 state; a batch that is replayed after a failure is committed once."""
+    """Micro-batches into an SCD1 state, of which only the buckets that a batch touches are written again; a batch
+    that is replayed after a failure is committed once."""
 
-    def batch(changes: DataFrame, batch_id: int) -> None:
-        store.write(table, loads.scd1_state(store.read(table), changes, cdc), "SCD1", batch_id)
+    def batch(changes: DataFrame, number: tuple[str, int]) -> None:
+        store.merge(table, changes, cdc.keys, lambda state, new: loads.scd1_state(state, new, cdc), "SCD1", number)
 
     each_batch(df, batch, checkpoint)
 
 
-def each_batch(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    df.writeStream.foreachBatch(handler).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+def each_batch(df: DataFrame, handler: Callable[[DataFrame, tuple[str, int]], None], checkpoint: str) -> None:
+    """Calls handler(rows, (query id, batch number)) for all there is. The query id belongs to the checkpoint, so a
+    new checkpoint's batches, which are numbered from 0 again, are other batches."""
+    folder = Folder(df.sparkSession, checkpoint)
+
+    def numbered(batch: DataFrame, batch_id: int) -> None:
+        handler(batch, (folder.read_json("metadata")["id"], batch_id))
+
+    df.writeStream.foreachBatch(numbered).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def reconcile_stream(source: DataFrame, target: Callable[[], DataFrame], keys: list[str], compare: list[str], store: Store, table: str, checkpoint: str) -> None:
     """Each micro-batch of source is compared with the target as it is then; class counts are appended once a batch."""
     from ..operators import reconcile
 
-    def batch(changes: DataFrame, batch_id: int) -> None:
+    if target().isStreaming:
+        raise PlanError("at most one side of a reconciliation can be a stream")
+
+    def batch(changes: DataFrame, number: tuple[str, int]) -> None:
         s, g = reconcile.prepare(changes, keys, compare), reconcile.prepare(target(), keys, compare)
-        counts = reconcile.counts(reconcile.classify(s, g)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        store.write(table, counts, "APPEND", batch_id)
+        counts = reconcile.counts(reconcile.classify(s, g)).withColumn("batch_id", F.lit(number[1]).cast("bigint"))
+        store.write(table, counts, "APPEND", number)
 
     each_batch(source, batch, checkpoint)

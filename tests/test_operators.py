@@ -39,7 +39,8 @@ def test_explode_keeps_empty_rows(spark):
 def test_standardise_is_sequential_and_scalar(spark):
     df = spark.createDataFrame([(" x ",)], ["a"])
     assert shape.standardise(df, ["trim(a) AS a", "concat(a, '!') AS b"]).first()[:] == ("x", "x!")
-    for bad in ("trim(a)", "(select 1) AS c"):
+    assert shape.standardise(df, ["if(a = 'where', 'group by', 'select') AS c"]).first().c == "select"  # words in text are no query
+    for bad in ("trim(a)", "(select 1) AS c", "a in (select 1) AS c", "exists(select 1) AS c", "a, 1 AS c", "a from t AS c"):
         with pytest.raises(ShapeError):
             shape.standardise(df, [bad])
 
@@ -51,6 +52,24 @@ def test_json_inferred_and_declared(spark):
         shape.parse_json(spark.createDataFrame([(1,)], ["j"]), {"j": "k int"})
 
 
+def test_json_schema_has_the_fields_of_all_rows(spark):
+    df = spark.createDataFrame([('{"a": 1}',), ('{"a": 2, "b": {"c": [1]}}',), (None,)], ["j"]).repartition(3)
+    assert shape.parse_json(df, {"j": None}).schema["j"].dataType.simpleString() == "struct<a:bigint,b:struct<c:array<bigint>>>"
+    assert shape.parse_json(df.limit(0), {"j": None}).count() == 0
+
+
+def test_flatten_to_any_depth(spark):
+    deep, ddl = (1,), "v:int"
+    for i in range(14):
+        deep, ddl = (deep,), f"s{i}:struct<{ddl}>"
+    df = spark.createDataFrame([(0, deep)], f"id int, x struct<{ddl}>")
+    out = shape.flatten_all(df)
+    assert out.columns == ["id", "x_" + "_".join(f"s{i}" for i in reversed(range(14))) + "_v"] and out.first()[1] == 1
+    df = spark.createDataFrame([(1, [[1, 2], [3]], [("p", [4, 5])]), (2, None, [])], "id int, a array<array<int>>, b array<struct<n:string,q:array<int>>>")
+    out = shape.flatten_all(df)
+    assert out.columns == ["id", "a", "b_n", "b_q"] and out.count() == 3 * 2 + 1
+
+
 def test_quarantine_ignores_null_and_drop_does_not(spark):
     df = spark.createDataFrame([(1, 5), (2, -5), (3, None)], ["id", "v"])
     marked = quality_rules.with_quarantine(df, [Rule("pos", "v > 0", "quarantine")])
@@ -100,6 +119,14 @@ def test_scd2_and_scd3(spark):
         loads.scd2(df, loads.Cdc([], ["s"]))
 
 
+def test_delete_by_operation_column(spark):
+    df = spark.createDataFrame(EVENTS, "k string, s int, v string, op string")
+    listed = loads.Cdc(["k"], ["s"], ("op", ["D", "X"]))
+    assert rows(loads.scd1(loads.scd1_state(None, df, listed)).select("k", "v"), "k") == [("a", "z"), ("c", "q")]
+    with pytest.raises(Exception, match="sequence is null"):
+        loads.scd1_state(None, spark.createDataFrame([("a", 1, 2, None)], "k string, s int, t int, u int"), loads.Cdc(["k"], ["s", "t", "u"])).collect()
+
+
 def test_snapshot_and_soft_delete(spark):
     old, new = (spark.createDataFrame(d, ["k", "v"]) for d in ([(1, "a"), (2, "b"), (3, "c")], [(2, "b"), (3, "x"), (4, "d")]))
     assert rows(loads.snapshot_diff(old, new, ["k"]).select("k", "change"), "k") == [(1, "delete"), (2, "unchanged"), (3, "update"), (4, "insert")]
