@@ -284,29 +284,33 @@ def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     return df.join(keys, column, "left_semi")
 
 
-def _held(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, codes) of the wanted (th, node): the sets of those texts, read from docs once more.
+def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(th, codes) of the wanted (th, doc): the sets of those texts, read from docs once more.
 
-    A table of hashed cells tells the scan which texts to take; one task gives a text once.
+    A table of hashed cells tells the scan which rows to take, so copies with other ids are passed over; what a
+    full cell lets through besides is for the caller to drop. A task gives a text once.
     """
     spark = docs.sparkSession
 
+    def cell(h: bytes, doc: int | None) -> int:
+        return (int.from_bytes(h[:8], "little") ^ (doc or 0) & 0xFFFFFFFFFFFFFFFF) % TEXT_CELLS
+
     def fill(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         bits = np.zeros(TEXT_CELLS, np.uint8)
         for batch in batches:
-            bits[[int.from_bytes(h[:8], "little") % TEXT_CELLS for h in batch.column(0).to_pylist()]] = 1
+            bits[[cell(h, d) for h, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]] = 1
         return np.packbits(bits)
 
-    asked = spark.sparkContext.broadcast(cells.merged(wanted.select("th"), fill, TEXT_CELLS // 8, np.bitwise_or, np.uint8))
+    asked = spark.sparkContext.broadcast(cells.merged(wanted.select("th", "doc"), fill, TEXT_CELLS // 8, np.bitwise_or, np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = asked.value, set()
-        for _, texts in _texts(batches, 0):
+        for batch, texts in _texts(batches, 1):
             hashes, sets = [], []
-            for t in texts:
+            for doc, t in zip(batch.column(0).to_pylist(), texts):
                 h = xxhash.xxh3_128_digest(t) if t else b""
-                cell = int.from_bytes(h[:8], "little") % TEXT_CELLS
-                if h and bits[cell >> 3] >> (7 - (cell & 7)) & 1 and h not in seen:
+                at = cell(h, doc)
+                if h and bits[at >> 3] >> (7 - (at & 7)) & 1 and h not in seen:
                     seen.add(h)
                     hashes.append(h)
                     sets.append(shingle_set(t, n).view(np.int64))
@@ -314,8 +318,7 @@ def _held(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["th", "codes"])
 
-    read = docs.select(F.col("text").cast("string")).mapInArrow(run, "th binary, codes array<long>")
-    return read.join(wanted, "th").groupBy("node").agg(F.first("codes").alias("codes"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "th binary, codes array<long>")
 
 
 def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: int = 90, keyed: bool = False) -> DataFrame:
@@ -335,10 +338,12 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
     counts = spark.sparkContext.broadcast(shingle_counts(docs, n, COUNT_CELLS))
     rows = shingle_windows(docs, n, percent, counts, keyed).withColumn("node", F.monotonically_increasing_id())
     rows = work.save(rows, "documents")
-    # Rows of one fp have equal n and keys, and any of their texts has the class's set.
+    # Rows of one fp have equal n and keys, and any of their texts has the class's set: that of the smallest doc_id.
+    named = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "th")))
     classes = rows.filter("n > 0").groupBy("fp").agg(
-        F.min("node").alias("node"), F.min("doc_id").alias("doc"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "th", "keys")]
-    )
+        F.min("node").alias("node"), named["doc_id"].alias("doc"), F.coalesce(named["th"], F.min("th")).alias("th"), F.count("*").alias("copies"),
+        F.first("n").alias("n"), F.first("keys").alias("keys"),
+    )
     classes = work.save(classes, "classes")
     met = work.save(meetings(classes, percent, parts), "met")
     links = work.save(_links(docs, met, classes, work, n, percent), "links")
@@ -367,20 +372,23 @@ def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace,
     regions = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
     members = _second(regions).union(met.filter("kind = 0").select("a", "b", "n")).distinct()
     members = work.save(members, "members-0")
-    nodes = members.select(F.col("a").alias("node")).union(members.select("b")).distinct()
-    wanted = work.save(classes.select("node", "th", "n").join(nodes, "node", "left_semi"), "wanted")
-    held = work.save(_held(docs, wanted, n), "held")
-    release(docs.sparkSession)
-    links, step = [], 0
+    texts = classes.select("node", "th", "doc")
+    links, held, step = [], None, 0
     while True:
         size = members.groupBy("a").agg(F.count("*").alias("members"), F.sum("n").alias("codes"))
         large = work.save(size.filter((F.col("members") > MAX_MEMBERS) | (F.col("codes") > MAX_CODES)).select("a"), f"large-{step}")
         over = not large.isEmpty()
         inside = members.join(large, "a", "left_anti") if over else members
-        links.append(work.save(_joined(inside, held, percent), f"links-{step}"))
+        inside = inside.select("a", F.col("b").alias("node")).union(inside.select("a", F.col("a").alias("node")).distinct())
+        inside = work.save(inside.join(texts, "node"), f"inside-{step}")
+        links.append(work.save(_joined(docs, inside, n, percent), f"links-{step}"))
         if not over:
             break
         # Too large for one task: all are compared with the pivot, and what that leaves open is dealt anew.
+        if held is None:
+            nodes = members.select(F.col("a").alias("node")).union(members.select("b")).distinct().join(texts, "node")
+            nodes = work.save(nodes, "nodes")
+            held = work.save(_read_again(docs, nodes, n).join(nodes, "th").groupBy("node").agg(F.first("codes").alias("codes")), "held")
         cells_ = work.save(_centred(members.join(large, "a", "left_semi"), held, percent), f"cells-{step}")
         links.append(cells_.filter("linked").select("a", "b"))
         open_ = cells_.filter(~F.col("linked")).select("a").distinct()
@@ -401,20 +409,22 @@ def _second(regions: DataFrame) -> DataFrame:
     return regions.join(pivots, "key").filter("a <> node").select("a", F.col("node").alias("b"), "n")
 
 
-def _joined(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of all second-level regions, each joined in one task."""
+def _joined(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of all second-level regions, from their members (a, node, th, doc), each joined in one task."""
 
     def join(table: pa.Table) -> pa.Table:
-        nodes, sets = table.column("node").to_numpy(), table.column("codes").combine_chunks()
-        if isinstance(sets, pa.ChunkedArray):
-            sets = sets.chunk(0)
-        ends, codes = sets.offsets.to_numpy(), sets.values.to_numpy(zero_copy_only=False)
-        found = voronoi.Region([codes[s:e] for s, e in zip(ends, ends[1:])], percent).join()
-        a, b = nodes[[i for i, _ in found]] if found else [], nodes[[j for _, j in found]] if found else []
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    rows = members.select("a", F.col("b").alias("node")).union(members.select("a", F.col("a").alias("node")).distinct())
-    return rows.join(held, "node").groupBy("a").applyInArrow(join, "a long, b long")
+        nodes, first = np.unique(table.column("node").to_numpy(), return_index=True)
+        lists = table.column("codes").combine_chunks()
+        ends, codes = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        found = voronoi.Region([codes[ends[i] : ends[i + 1]] for i in first.tolist()], percent).join()
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(nodes[pairs[:, 0]], pa.int64()), "b": pa.array(nodes[pairs[:, 1]], pa.int64())})
+
+    placed = members.select("th", "a", "node")
+    if members.count() <= MAX_BROADCAST_IDS // 2:
+        placed = F.broadcast(placed)
+    rows = _read_again(docs, members, n).join(placed, "th").select("a", "node", "codes")
+    return rows.groupBy("a").applyInArrow(join, "a long, b long")
 
 
 def _centred(members: DataFrame, held: DataFrame, percent: int) -> DataFrame:
