@@ -65,5 +65,17 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def bind(df: DataFrame, **named: Column) -> DataFrame:
+    """df with the named columns (those of the same name replaced), each computed once per row whatever is
+    selected or filtered later.
+
+    They come out of a generator of one row. The optimiser neither merges projections across it nor moves a
+    predicate on its output below it, so no later filter or lambda repeats the work.
+    """
+    values = F.explode(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))).alias("bound")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in named]
+    return df.select("*", values).select(*kept, *[F.col("bound").getField(n).alias(n) for n in named])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, bind
 
 #: Characters that count as symbols (fixed by the query's contract).
 SYMBOLS = r"[#*$%&|<>]"
@@ -68,7 +68,7 @@ def quality_rules(
     has_word = r"[^\x20\x09-\x0D]"
 
     # A line's verdict is a function of the line, so each line is judged once and its verdict kept beside it.
-    d = _bind(
+    d = bind(
         docs.select(row, F.col(f"`{text}`").alias("original"), whole.alias("t")),
         words=F.array_remove(F.split("t", SPACE), ""),
         judged=F.transform(
@@ -76,7 +76,7 @@ def quality_rules(
             lambda x: F.struct(x.alias("line"), x.rlike(has_word).alias("worded"), (x.rlike(has_word) & line_fails(x)).alias("fails")),
         ),
     )
-    d = _bind(
+    d = bind(
         d,
         lines=F.transform(F.filter("judged", lambda x: x["worded"]), lambda x: x["line"]),
         windows=F.when(
@@ -85,7 +85,7 @@ def quality_rules(
         ),
     )
     # Only texts with a repeated window pay for the sort that finds which words the repeats cover.
-    d = _bind(
+    d = bind(
         d,
         ordered=F.when(
             F.size(F.array_distinct("windows")) < F.size("windows"),
@@ -93,12 +93,12 @@ def quality_rules(
         ),
     )
     same = lambda k, j: F.coalesce(F.get("ordered", j)["h"] == F.get("ordered", k)["h"], F.lit(False))
-    d = _bind(d, starts=F.sort_array(F.transform(F.filter("ordered", lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"])))
+    d = bind(d, starts=F.sort_array(F.transform(F.filter("ordered", lambda x, k: same(k, k - 1) | same(k, k + 1)), lambda x: x["i"])))
     covered = F.aggregate(
         F.transform("starts", lambda x, k: F.least(F.coalesce(F.get("starts", k + 1) - x, F.lit(window)), F.lit(window))),
         F.lit(0).cast("long"), lambda a, x: a + x,
     )
-    d = _bind(
+    d = bind(
         d,
         n_words=F.size("words").cast("long"),
         word_chars=F.length(F.array_join("words", "")).cast("long"),
@@ -119,16 +119,6 @@ def quality_rules(
     )
 
 
-def _bind(df: DataFrame, **named: Column) -> DataFrame:
-    """df with the named columns, each computed once per row whatever is selected or filtered later.
-
-    They come out of a generator of one row. The optimiser neither merges projections across it nor moves a
-    predicate on its output below it, so no later filter or lambda repeats the work.
-    """
-    values = F.explode(F.array(F.struct(*[c.alias(n) for n, c in named.items()]))).alias("bound")
-    return df.select("*", values).select(*df.columns, *[F.col("bound").getField(n).alias(n) for n in named])
-
-
 def clean_documents(docs: DataFrame) -> DataFrame:
     """Documents that pass, with their failing lines removed and n_chars (if present) recounted.
 
