@@ -10,7 +10,11 @@ successor search relative to the context.
 
 Probabilities: p(w) = (c + 1) / (N + V + 1), the contract's base; p(w | v) = max(c(vw) - D, 0) / c(v) +
 b(v) p(w), and p(w | uv) from p(w | v) likewise up to the model's order. Contexts start at the end before the
-text, so its first word has one word of context. b(v) is what discounting (and pruning, if min_bigram asks for it) leaves. By default every bigram is kept.
+text, so its first word has one word of context. b(v) is what discounting (and pruning, if min_bigram asks for
+it) leaves. By default every n-gram is kept.
+
+Texts are tokenised twice: once to count words, once to number them. The numbers are written, and all further
+levels and the scores are made from them.
 """
 
 from __future__ import annotations
@@ -35,16 +39,18 @@ from .elias_fano import EliasFano, from_buffer, to_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 DISCOUNT, MIN_BIGRAM, ORDER = 0.5, 1, 2
-#: One byte holds a log10 probability of 0 to -8 in equal steps.
-QUANTA = 8.0 / 255
+#: Two bytes hold a log10 probability of 0 to -20 in equal steps, so counts up to 10 ** 20 keep their place.
+QUANTA = 20.0 / 65_535
+#: The least back-off weight.
+LEAST = 1e-8
 #: Tokens a counting task holds before it sends on what it has counted.
 FLUSH = 6_000_000
-_VALUES = 10.0 ** (np.arange(256) * -QUANTA)
+_VALUES = 10.0 ** (np.arange(65_536) * -QUANTA)
 _U = np.uint64
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) / QUANTA), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(-np.log10(np.maximum(p, 1e-30)) / QUANTA), 0, 65_535).astype(np.uint16)
 
 
 def dequantise(code: np.ndarray) -> np.ndarray:
@@ -60,7 +66,7 @@ def token_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, int(sizes.sum())), sizes
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 400) -> Iterator[tuple[pa.RecordBatch, list]]:
+def _slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list]]:
     for whole in batches:
         for at in range(0, whole.num_rows, rows):
             part = whole.slice(at, rows)
@@ -148,6 +154,15 @@ class Words:
         return ids, counts
 
 
+    def counts(self, sorted_ids: np.ndarray) -> np.ndarray:
+        """Counts of ids in ascending order; an id beyond the last is unknown."""
+        counts, at = np.zeros(len(sorted_ids), np.int64), np.searchsorted(sorted_ids, self.first)
+        for b, (s, e) in enumerate(zip(at, at[1:])):
+            if e > s:
+                counts[s:e] = self.shards[b]["count"][sorted_ids[s:e] - self.first[b]]
+        return counts
+
+
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The hash's share of the whole range; ascending with the hash."""
     return ((hashes >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
@@ -212,19 +227,57 @@ class Trie(Words):
         return context
 
 
-def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM, order: int = ORDER) -> dict:
-    """Counts all of docs.text and writes the trie's files to folder; returns the model's directory.
+def _words_of(model: dict) -> Words:
+    """This process's level 1 of the model; one is held at a time."""
+    held, key = sys.__dict__.setdefault("_sluice_words", {}), json.dumps(model["words"])
+    if key not in held:
+        held.clear()
+        held[key] = Words(model["words"], model["nodes"][0])
+    return held[key]
 
-    The model's longest n-grams have `order` words, 2 or more; n-grams seen less than min_bigram times are pruned.
 
-    The directory names one file per shard and level (their number follows spark.sql.shuffle.partitions, not
-    the corpus) and the totals; all counts stay in the files.
-    """
+def numbered(docs: DataFrame, model: dict, passed: tuple[str, ...] = ()) -> DataFrame:
+    """(passed columns, ids) of docs: each token's number as four bytes (eight beyond 2 ** 32 words), the end's
+    last; a token that training did not see has the number of words there are."""
+    vocabulary = model["nodes"][0][-1]
+    kind = _id_type(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _words_of(model)
+        for part, texts in _slices(batches, 0):
+            hashes, sizes = token_hashes(texts)
+            distinct, back = np.unique(hashes, return_inverse=True)
+            ids, _ = words.find(distinct)
+            data = np.where(ids < 0, vocabulary, ids).astype(kind)[back].tobytes()
+            ends = np.concatenate([[0], np.cumsum(sizes)]) * kind.itemsize
+            if ends[-1] < 2**31:
+                blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(data)])
+            else:
+                blobs = pa.array([data[x:y] for x, y in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], blobs], [*part.schema.names[1:], "ids"])
+
+    frame = docs.select(F.col("text").cast("string").alias("text"), *passed)
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[1:]), "ids binary"])
+    return frame.mapInArrow(run, fields)
+
+
+def _id_type(vocabulary: int) -> np.dtype:
+    return np.dtype("<u4" if vocabulary < 2**32 - 1 else "<u8")
+
+
+def _numbers(batches: Iterator[pa.RecordBatch], column: int, kind: np.dtype) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, all their token numbers, tokens of each row)."""
+    for part, blobs in _slices(batches, column):
+        yield part, np.frombuffer(b"".join(blobs), kind).astype(np.int64), np.fromiter(map(len, blobs), np.int64, len(blobs)) // kind.itemsize
+
+
+def count_words(docs: DataFrame, folder: str) -> dict:
+    """A model of level 1 alone: the tokens of docs.text, numbered by hash, and their counts."""
     spark, parts = docs.sparkSession, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(1, parts // 2)
     text = docs.select(F.col("text").cast("string").alias("text"))
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(keys: list[np.ndarray]) -> pa.RecordBatch:
             key, n = _counted(keys)
             at = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
@@ -239,30 +292,49 @@ def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram:
         if held:
             yield send(held)
 
-    def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
             file = _put(folder, f"words-{b}", to_bytes({**EliasFano.encode(key).arrays("hash"), "count": _small(n)}))
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b, file, len(key), int(n.sum()))], ["bucket", "file", "n", "total"])
 
     work = Workspace(spark, "lm")
-    merged = text.mapInArrow(count_words, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge_words, "bucket long, file string, n long, total long")
+    merged = text.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long, total long")
     made = {r["bucket"]: r for r in work.save(merged, "words").collect()}  # one row per shard
     words = [made[b]["file"] if b in made else None for b in range(buckets)]
     first = np.concatenate([[0], np.cumsum([made[b]["n"] if b in made else 0 for b in range(buckets)])]).tolist()
     vocabulary, total = first[-1], sum(r["total"] for r in made.values())
 
-    nodes, levels = [first], []
-    for k in range(order - 1) if vocabulary else ():
-        files, sizes = _train_level(text, folder, work, {"words": words, "nodes": nodes, "levels": levels, "total": total}, discount, min_bigram)
-        levels = [*levels, files]
-        if k < order - 2:
-            nodes = [*nodes, np.concatenate([[0], np.cumsum(sizes)]).tolist()]
     work.drop()
-    return {"words": words, "nodes": nodes, "levels": levels, "total": total}
+    return {"words": words, "nodes": [first], "levels": [], "total": total}
 
 
-def _train_level(text: DataFrame, folder: str, work: Workspace, model: dict, discount: float, min_bigram: int) -> tuple[list[str | None], list[int]]:
+def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM, order: int = ORDER) -> dict:
+    """Counts all of docs.text and writes the trie's files to folder; returns the model's directory.
+
+    The model's longest n-grams have `order` words, 2 or more; n-grams seen less than min_bigram times are pruned.
+
+    The directory names one file per shard and level (their number follows spark.sql.shuffle.partitions, not
+    the corpus) and the totals; all counts stay in the files.
+    """
+    model, work = count_words(docs, folder), Workspace(docs.sparkSession, "lm-ids")
+    model = add_levels(work.save(numbered(docs, model), "ids"), model, folder, discount, min_bigram, order)
+    work.drop()
+    return model
+
+
+def add_levels(ids: DataFrame, model: dict, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM, order: int = ORDER) -> dict:
+    """The model with the levels above words, counted over the numbered training texts."""
+    work = Workspace(ids.sparkSession, "lm")
+    for k in range(order - 1) if model["nodes"][0][-1] else ():
+        files, sizes = _train_level(ids.select("ids"), folder, work, model, discount, min_bigram)
+        nodes = [np.concatenate([[0], np.cumsum(sizes)]).tolist()] if k < order - 2 else []
+        model = model | {"levels": [*model["levels"], files], "nodes": [*model["nodes"], *nodes]}
+    work.drop()
+    return model
+
+
+def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, discount: float, min_bigram: int) -> tuple[list[str | None], list[int]]:
     """Counts the successors of the last level's nodes; returns the next level's files and their numbers of nodes."""
     words, first, depth = model["words"], model["nodes"][-1], len(model["levels"])
     buckets, vocabulary, name = len(words), model["nodes"][0][-1], f"level{depth + 2}"
@@ -278,18 +350,15 @@ def _train_level(text: DataFrame, folder: str, work: Workspace, model: dict, dis
             return _rows([(b, _blob(key[s:e] - bounds[b], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
 
         held: list[np.ndarray] = []
-        for _, texts in _slices(batches, 0):
-            hashes, sizes = token_hashes(texts)
+        for _, word, sizes in _numbers(batches, 0, _id_type(vocabulary)):
             starts = np.cumsum(sizes) - sizes
-            distinct, back = np.unique(hashes, return_inverse=True)
-            ids, counts = trie.find(distinct)
-            word = ids[back]
-            context = trie.first_contexts(word, starts, ids[np.searchsorted(distinct, END)])
+            context = trie.first_contexts(word, starts, int(word[-1]))  # the last token is an end
             for k in range(depth):
                 context = trie.follow(k, context, word, starts)[3]
             ok = context >= 0
-            if depth == 0:
-                often = counts[back] >= min_bigram  # a rarer word is in no pair that stays
+            if depth == 0 and min_bigram > 1:
+                distinct, back = np.unique(word, return_inverse=True)
+                often = trie.counts(distinct)[back] >= min_bigram  # a rarer word is in no pair that stays
                 ok = often & np.concatenate([[True], often[:-1]])
             held.append(context[ok].astype(np.uint64) * _U(vocabulary) + word[ok].astype(np.uint64))
             if sum(map(len, held)) > FLUSH:
@@ -309,7 +378,7 @@ def _train_level(text: DataFrame, folder: str, work: Workspace, model: dict, dis
             key, n, context = key[stays], n[stays], context[stays]
             word = key % _U(vocabulary)
             direct = (n - discount) / of_context[context]
-            weight = np.maximum(1.0 - np.bincount(context, direct, minlength=size), 1e-8)
+            weight = np.maximum(1.0 - np.bincount(context, direct, minlength=size), LEAST)
             pointer = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=size))])
             # Context-relative: a context's ids start at the last value of the context before.
             heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -322,8 +391,8 @@ def _train_level(text: DataFrame, folder: str, work: Workspace, model: dict, dis
             }
             yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_put(folder, f"{name}-{b}", to_bytes(arrays))]), pa.array([len(key)])], ["bucket", "file", "n"])
 
-    parts = int(text.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = text.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long")
+    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    merged = ids.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long")
     made = {r["bucket"]: r for r in work.save(merged, name).collect()}
     return [made[b]["file"] if b in made else None for b in range(buckets)], [made[b]["n"] if b in made else 0 for b in range(buckets)]
 
@@ -335,32 +404,35 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     texts count whole; other columns are ignored; an empty table gives an empty result. A model of an empty
     training set knows no token.
     """
+    return score_numbered(numbered(docs.select(F.col("doc_id").cast("long"), "text"), model, ("doc_id",)), model)
+
+
+def score_numbered(ids: DataFrame, model: dict) -> DataFrame:
+    """score() of texts that `numbered` has numbered, from (doc_id, ids)."""
+    vocabulary = model["nodes"][0][-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie.of(model)
-        denominator = trie.model["total"] + trie.vocabulary + 1
-        for part, texts in _slices(batches, 1):
-            hashes, sizes = token_hashes(texts)
-            ends = np.cumsum(sizes)
-            starts = ends - sizes
-            distinct, back = np.unique(hashes, return_inverse=True)
-            ids, counts = trie.find(distinct)
-            word, base = ids[back], ((counts + 1) / denominator)[back]
-            probability, context = base.copy(), trie.first_contexts(word, starts, ids[np.searchsorted(distinct, END)])
+        denominator = model["total"] + vocabulary + 1
+        for part, token, sizes in _numbers(batches, 1, _id_type(vocabulary)):
+            starts = np.cumsum(sizes) - sizes
+            distinct, back = np.unique(token, return_inverse=True)
+            counts = trie.counts(distinct)[back]
+            base, word = (counts + 1) / denominator, np.where(token == vocabulary, -1, token)
+            probability, context = base.copy(), trie.first_contexts(word, starts, int(word[-1]))
             for k in range(len(trie.levels)):
                 at, direct, weight, context = trie.follow(k, context, word, starts)
                 probability[at] = direct + weight * probability[at]
             total = lambda x: np.add.reduceat(x, starts)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(sizes), pa.array(total((counts[back] > 0).astype(np.int64))), pa.array(np.full(len(sizes), trie.model["total"], np.int64)),
+                    part.column(0), pa.array(sizes), pa.array(total((counts > 0).astype(np.int64))), pa.array(np.full(len(sizes), model["total"], np.int64)),
                     pa.array(total(np.log10(base))), pa.array(total(np.log10(probability))),
                 ],
                 ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            )
 
-    text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return text.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
@@ -369,6 +441,10 @@ def held_out(doc_id: str = "doc_id", folds: int = 7, fold: int = 2):
 
 
 def train_and_score(spark: SparkSession, docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Learns from the documents that are not held out and scores all of them."""
-    model = train(docs.filter(~held_out()), Workspace(spark, "trie").at("model"), order=order)
-    return score(docs, model).withColumn("held_out", held_out())
+    """Learns from the documents that are not held out and scores all of them; each text is numbered once."""
+    folder, work = Workspace(spark, "trie").at("model"), Workspace(spark, "numbered")
+    docs = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held", held_out())
+    model = count_words(docs.filter("NOT held"), folder)
+    ids = work.save(numbered(docs, model, ("doc_id", "held")), "ids")
+    model = add_levels(ids.filter("NOT held"), model, folder, order=order)
+    return score_numbered(ids, model).withColumn("held_out", held_out())
