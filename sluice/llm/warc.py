@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs
@@ -29,8 +31,12 @@ FIELDS = {
 IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: An archive file is closed once it holds this many bytes; at most one record more.
 FILE_BYTES = 16 << 20
-#: A list of revisits of up to this many rows is broadcast; a longer one is joined by shuffle.
-MAX_BROADCAST_REVISITS = 500_000
+#: Bytes of an archive that are read at once.
+READ_BYTES = 1 << 16
+#: What stands before a page's bytes in an ARC record.
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Up to so many payloads that occur more than once are broadcast with their first rows; more are joined by shuffle.
+MAX_BROADCAST_GROUPS = 200_000
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL namespace of RFC 4122
 
 
@@ -54,7 +60,10 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "archive.arc",
 
 
 def _arc_line(fields: dict[str, str], version: int) -> bytes:
-    return (" ".join("".join(fields.get(k, "-").split()) or "-" for k in FIELDS[version]) + "\n").encode()
+    """A header line. Fields are parted by blanks, so only the first, the URL, may hold some; other white space
+    and control characters of a URL are percent-encoded, and blanks in other fields dropped."""
+    url = "".join(c if c > "\x20" and c != "\x7f" or c == " " else f"%{ord(c):02X}" for c in fields["URL"]).strip(" ")
+    return (" ".join([url or "-", *("".join(fields.get(k, "-").split()) or "-" for k in FIELDS[version][1:])]) + "\n").encode()
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
@@ -68,8 +77,8 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         if not line.strip():
             at = end + 1
             continue
-        values = line.split(" ")
-        first = at == 0 and values[0].startswith("filedesc:")
+        first = at == 0 and line.startswith("filedesc:")
+        values = line.split(" ") if first else line.rsplit(" ", len(names) - 1)  # only the URL may hold blanks
         if not first and len(values) != len(names) or first and not values[-1].isdigit():
             raise ValueError(f"ARC header line at byte {at} has {len(values)} fields")
         try:
@@ -89,46 +98,92 @@ def parse_arc(data: bytes) -> Iterator[ArcRecord]:
         yield ArcRecord(dict(zip(names, values)), payload)
 
 
-def convert(record: ArcRecord, original: str | None = None, key: str | None = None) -> list[tuple[str, str]]:
+def entity(payload: bytes) -> bytes:
+    """What follows the HTTP head of a payload that begins with one, else all of it."""
+    if not payload.startswith(b"HTTP/"):
+        return payload
+    ends = [(at, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (at := payload.find(mark)) >= 0]
+    return payload[sum(min(ends)) :] if ends else b""
+
+
+def convert(record: ArcRecord, original: Original | None = None, key: str | None = None, extra: tuple[tuple[str, str], ...] = ()) -> list[tuple[str, str]]:
     """The WARC header of an ARC record, in order. A given original makes it a revisit of that record.
 
-    The record id is made from the key, by default the record's file name, URL and date. An ARC Location (where
-    a response redirects to) is no mark of a revisit; it is passed on.
+    The record id is made from the key, by default the record's file name, URL and date. The payload digest is
+    that of the entity, without an HTTP head; the block digest is that of the whole block. An ARC Location
+    (where a response redirects to) is no mark of a revisit; it is passed on.
     """
-    f, date = record.fields, record.fields["Archive-date"].ljust(14, "0")
-    name = lambda key: uuid.uuid5(_NAMESPACE, key).urn
-    found, location = digest(record.payload), f.get("Location", "-")
+    f = record.fields
+    block = record.payload if original is None else http_head(record.payload)
+    http = record.payload.startswith(b"HTTP/")
     out = [
         ("WARC-Type", "response" if original is None else "revisit"),
-        ("WARC-Record-ID", f"<{name(key or f.get('Filename', '-') + ' ' + f['URL'] + ' ' + date)}>"),
-        ("WARC-Date", f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"),
+        ("WARC-Record-ID", record_id(key or f"{f.get('Filename', '-')} {f['URL']} {f['Archive-date']}")),
+        ("WARC-Date", iso_date(f["Archive-date"])),
         ("WARC-Target-URI", f["URL"]),
         ("WARC-IP-Address", f["IP-address"]),
-        ("WARC-Payload-Digest", f"sha1:{found}"),
-        ("WARC-Filename", f.get("Filename", "-")),
-        ("X-Payload-Length", str(len(record.payload))),
+        ("WARC-Payload-Digest", f"sha1:{digest(entity(record.payload))}"),
+        ("WARC-Block-Digest", f"sha1:{digest(block)}"),
+        ("X-Payload-Length", str(len(entity(record.payload)))),
     ]
-    if location != "-":
-        out.append(("X-ARC-Location", location))
+    if f.get("Location", "-") != "-":
+        out.append(("X-ARC-Location", f["Location"]))
     if original is not None:
-        out += [("WARC-Profile", IDENTICAL), ("X-Refers-To", original)]
-    return [*out, ("Content-Type", f["Content-type"]), ("Content-Length", "0" if original is not None else str(len(record.payload)))]
+        out += [("WARC-Profile", IDENTICAL), ("WARC-Refers-To", original.record), ("WARC-Refers-To-Target-URI", original.url), ("WARC-Refers-To-Date", original.date)]
+    return [*out, *extra, ("Content-Type", "application/http; msgtype=response" if http else f["Content-type"]), ("Content-Length", str(len(block)))]
+
+
+@dataclass
+class Original:
+    """The response that a revisit refers to: its record id, URL and date."""
+
+    record: str
+    url: str
+    date: str
+
+
+def record_id(key: str) -> str:
+    return f"<{uuid.uuid5(_NAMESPACE, key).urn}>"
+
 
+def iso_date(date: str) -> str:
+    d = date.ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
-def warc_bytes(record: ArcRecord, original: str | None = None, key: str | None = None) -> bytes:
-    """One record, a gzip member of its own."""
-    head = convert(record, original, key)
-    body = b"" if head[0][1] == "revisit" else record.payload
+
+def http_head(payload: bytes) -> bytes:
+    return payload[: len(payload) - len(entity(payload))]
+
+
+def warc_bytes(record: ArcRecord, original: Original | None = None, key: str | None = None, extra: tuple[tuple[str, str], ...] = ()) -> bytes:
+    """One record, a gzip member of its own; a revisit holds no more than the HTTP head."""
+    head = convert(record, original, key, extra)
+    body = record.payload if original is None else http_head(record.payload)
     text = "WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n"
     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
     return pack.compress(text.encode() + body + b"\r\n\r\n") + pack.flush()
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of all gzip members."""
-    while data:
-        member = zlib.decompressobj(31)
-        record, data = member.decompress(data), member.unused_data
+def _members(file: BinaryIO) -> Iterator[bytes]:
+    """The gzip members of a stream, one at a time; each byte is read and inflated once."""
+    held, member, out = b"", None, []
+    while True:
+        data = held or file.read(READ_BYTES)
+        held = b""
+        if not data:
+            break
+        member = member or zlib.decompressobj(31)
+        out.append(member.decompress(data))
+        if member.eof:
+            yield b"".join(out)
+            held, member, out = member.unused_data, None, []
+    if member is not None:
+        raise ValueError("a gzip member has no end")
+
+
+def parse_warc(file: BinaryIO | bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header, block) of all gzip members of a stream or of bytes."""
+    for record in _members(io.BytesIO(file) if isinstance(file, bytes) else file):
         end = record.index(b"\r\n\r\n")
         lines = record[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
@@ -140,52 +195,68 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 def write_archives(pages: DataFrame, work: Workspace, date: str = "19980101000000") -> DataFrame:
     """Writes a WARC record per row of pages (page_id, url, html); returns the manifest (file, records).
 
-    Records pass through a version-2 ARC in memory, so the converter makes every record. Of equal payloads
+    A page becomes an ARC payload with an HTTP head; a null URL is written as a dash. Records pass through a version-2 ARC in memory, so the converter makes every record. Of equal payloads
     the row with the smallest page_id (repeated rows: one of them) is the response, the others are revisits;
     null html is the empty payload, and a null page_id comes after all others. Files have names of their
     own, and only those that the committed manifest names count, so tasks may run again. Extra columns are
     ignored; an empty table gives an empty manifest.
     """
     folder = work.at("archives")
-    rows = pages.select(
-        F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.monotonically_increasing_id().alias("row")
-    )
-    keys = rows.select("page_id", "row", F.sha1("html").alias("key"))
-    groups = keys.groupBy("key").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "row")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    later = keys.join(groups, "key").filter(F.col("row") != F.col("first.row")).select("row", F.coalesce(F.col("first.page_id").cast("string"), F.lit("null")).alias("original"))
-    later = work.save(later, "revisits")
-    if later.count() <= MAX_BROADCAST_REVISITS:
-        later = F.broadcast(later)
+    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("key", F.sha1("html"))
+    keys = rows.select("key", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url").alias("row"))
+    groups = work.save(keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
+    # Rows are told apart by what they hold, not by their place in a scan, which another scan need not repeat.
+    alike = keys.groupBy("key", "row").count().filter("count > 1").join(groups, "key").filter(F.col("row").eqNullSafe(F.col("first")))
+    alike = work.save(alike.select(F.col("key").alias("k"), F.col("first").alias("f"), "count"), "alike")
+    row = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
+    several = (F.col("key") == F.col("k")) & row.eqNullSafe(F.col("f"))
+    original = F.when(~F.col("first").eqNullSafe(row), F.struct("first.page_id", "first.url"))
+    first_of = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
+    told = rows.join(first_of, "key", "left").select("page_id", "url", "html", "key", F.lit(1).alias("copy"), F.when(F.col("first").isNotNull(), original).alias("original"))
+    if not alike.isEmpty():
+        # Of rows that are alike in everything one is the response, the others are revisits of it.
+        same = rows.join(alike, several).dropDuplicates(["key", "page_id", "url"]).select("page_id", "url", "html", "key", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
+        same = same.withColumn("original", F.when(F.col("copy") > 1, F.struct("page_id", "url")))
+        told = told.join(alike, several, "left_anti").unionByName(same)
+    run_id = work.path
+    name = lambda id_, url, key, copy: f"{run_id} {id_} {url} {key} {copy}"
+    shown = lambda url: "-" if url is None else url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base)
-        out, name, size, n = None, "", 0, 0
+        out, file, size, n = None, "", 0, 0
         done: list[tuple[str, int]] = []
         for whole in batches:
             for k in range(0, whole.num_rows, 200):
-                ids, urls, pages_, originals = (whole.slice(k, 200).column(i) for i in range(4))
+                ids, urls, keys_, copies, originals = (whole.slice(k, 200).column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+                bodies = whole.slice(k, 200).column(2).cast(pa.binary()).to_pylist()
                 records = [
-                    ArcRecord({"URL": url or "-", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200", "Filename": "null" if id_ is None else str(id_)}, html)
-                    for id_, url, html in zip(ids.to_pylist(), urls.to_pylist(), pages_.cast(pa.binary()).to_pylist())
+                    ArcRecord({"URL": shown(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200"}, HTTP_HEAD % len(body) + body)
+                    for url, body in zip(urls, bodies)
                 ]
-                for record, original in zip(parse_arc(write_arc(records, 2)), originals.to_pylist(), strict=True):
+                for record, id_, url, key, copy, first in zip(parse_arc(write_arc(records, 2)), ids, urls, keys_, copies, originals, strict=True):
                     if out is None:
-                        name, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
-                        out = fs.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None)
-                    data = warc_bytes(record, original)
+                        file, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
+                        out = fs.open_output_stream(f"{base}/{file.rpartition('/')[2]}", compression=None)
+                    extra = (("X-Page-ID", "null" if id_ is None else str(id_)),)
+                    original = None
+                    if first is not None:
+                        original = Original(record_id(name(first["page_id"], first["url"], key, 1)), shown(first["url"]), iso_date(date))
+                        extra += (("X-Refers-To-Page-ID", "null" if first["page_id"] is None else str(first["page_id"])),)
+                    data = warc_bytes(record, original, name(id_, url, key, copy), extra)
                     out.write(data)
                     size, n = size + len(data), n + 1
                     if size >= FILE_BYTES:
                         out.close()
-                        done.append((name, n))
+                        done.append((file, n))
                         out = None
         if out is not None:
             out.close()
-            done.append((name, n))
+            done.append((file, n))
         yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([c for _, c in done], pa.int64())], ["file", "records"])
 
-    written = rows.join(later, "row", "left").select("page_id", "url", "html", "original").mapInArrow(run, "file string, records long")
+    written = told.select("page_id", "url", "html", "key", "copy", "original").mapInArrow(run, "file string, records long")
     return work.save(written, "manifest")
 
 
@@ -236,9 +307,9 @@ def convert_archives(arcs: DataFrame, work: Workspace) -> DataFrame:
 def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
     """Per record of the manifest's files: page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    Length and digest of a response are those of the payload read; a record whose header tells another
-    digest is an error. Those of a revisit are in its header, as it has no payload. A file name that is no
-    number (as in archives of other makers) is no page_id.
+    Length and digest of a response are those of the payload read, without an HTTP head; a record whose header
+    tells another digest is an error. Those of a revisit are in its header, as it has no payload. Records of
+    other makers have no page_id. Files are streamed record by record.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,15 +317,16 @@ def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = pa.fs.FileSystem.from_uri(uri)
-                with fs.open_input_stream(path, compression=None) as f:
-                    data = f.read()
                 rows = []
-                for head, block in parse_warc(data):
-                    kind, found = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and digest(block) != found:
-                        raise ValueError(f"{uri}: the payload of {head['WARC-Record-ID']} has another digest")
-                    length = len(block) if kind == "response" else int(head["X-Payload-Length"])
-                    rows.append((number(head["WARC-Filename"]), head["WARC-Target-URI"], length, found, kind, number(head.get("X-Refers-To"))))
+                with fs.open_input_stream(path, compression=None) as f:
+                    for head, block in parse_warc(f):
+                        kind, found = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+                        payload = entity(block)
+                        if kind == "response" and digest(payload) != found:
+                            raise ValueError(f"{uri}: the payload of {head['WARC-Record-ID']} has another digest")
+                        length = len(payload) if kind == "response" else int(head["X-Payload-Length"])
+                        url = head["WARC-Target-URI"]
+                        rows.append((number(head.get("X-Page-ID")), None if url == "-" else url, length, found, kind, number(head.get("X-Refers-To-Page-ID"))))
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
