@@ -2,7 +2,7 @@
 
 Arrivals are appended as small Parquet shards. Compaction sorts the shards into tiers by size; a tier with
 enough shards is a run of similarly sized ones, which is merged into files of the target size without any
-shuffle. Every change is one new manifest, moved into place under its version's name; readers only see
+shuffle. Every change is one new manifest, committed under its version's name unless that is taken; readers only see
 shards that a manifest names, so a job that dies leaves nothing but unnamed files for vacuum().
 """
 
@@ -16,6 +16,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..sources.commit import Folder
 from .common import shared_root
 
 
@@ -30,46 +31,30 @@ class ShardStore:
 
     def __init__(self, spark: SparkSession, path: str, target_bytes: int = 128 << 20, fan_in: int = 4, base_bytes: int = 64 << 10):
         self.spark, self.path, self.target, self.fan_in, self.base = spark, path.rstrip("/"), target_bytes, fan_in, base_bytes
-        self._jvm = spark._jvm
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        self._folder = Folder(spark, self.path)
 
     def versions(self) -> list[int]:
-        folder = self._at("_manifests")
-        if not self._fs.exists(folder):
-            return []
-        return sorted(int(f.getPath().getName()[1:-5]) for f in self._fs.listStatus(folder) if f.getPath().getName().endswith(".json"))
+        return [int(n[1:-5]) for n in self._folder.names("_manifests") if n.startswith("v") and n.endswith(".json")]
 
     def manifest(self, version: int | None = None) -> dict:
         """{"version", "schema", "shards"} of a version, by default the newest; version 0 is empty."""
         version = version if version is not None else max(self.versions(), default=0)
         if version == 0:
             return {"version": 0, "schema": None, "shards": []}
-        stream = self._fs.open(self._at(f"_manifests/v{version:08d}.json"))
-        try:
-            found = json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        found = self._folder.read_json(f"_manifests/v{version:08d}.json")
         return found | {"shards": [Shard(**s) for s in found["shards"]]}
 
     def _commit(self, old: dict, schema: str, shards: list[Shard]) -> int:
-        """Moves the next manifest into place; if another writer was first, nothing changes and it fails."""
+        """Commits the next manifest; if another writer was first, nothing changes and it fails."""
         version = old["version"] + 1
-        draft, final = self._at(f"_manifests/draft-{uuid.uuid4().hex}"), self._at(f"_manifests/v{version:08d}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}).encode()))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
+        if not self._folder.commit_json(f"_manifests/v{version:08d}.json", {"version": version, "schema": schema, "shards": [asdict(s) for s in shards]}):
             raise RuntimeError(f"{self.path}: version {version} was committed by another writer")
         return version
 
     def _write(self, df: DataFrame, rows_per_shard: int = 0) -> list[Shard]:
         name = f"shards/{uuid.uuid4().hex}"
-        df.write.option("maxRecordsPerFile", rows_per_shard).parquet(self._at(name).toString())
-        listed = self._fs.listStatus(self._at(name))
+        df.write.option("maxRecordsPerFile", rows_per_shard).parquet(self._folder.at(name).toString())
+        listed = self._folder.fs.listStatus(self._folder.at(name))
         return [Shard(f"{name}/{f.getPath().getName()}", f.getLen()) for f in listed if f.getPath().getName().startswith("part-")]
 
     def append(self, arrivals: DataFrame, rows_per_shard: int = 2000) -> int:
@@ -84,30 +69,30 @@ class ShardStore:
         """Tier t holds shards of base * fan_in ** (t - 1) up to base * fan_in ** t bytes."""
         return 0 if size <= self.base else math.ceil(math.log(size / self.base, self.fan_in) - 1e-9)
 
-    def runs(self) -> list[list[Shard]]:
+    def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs to merge: the shards of each tier with at least fan_in shards below the target size."""
         tiers: dict[int, list[Shard]] = {}
-        for s in self.manifest()["shards"]:
+        for s in shards:
             if s.bytes < self.target // 2:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         return [run for _, run in sorted(tiers.items()) if len(run) >= self.fan_in]
 
     def compact(self) -> int:
-        """Merges runs until no tier has one; returns the newest version. Each round is one commit."""
-        while runs := self.runs():
-            old = self.manifest()
+        """Merges runs until no tier has one; returns the newest version. Each round is one commit, made on the
+        manifest that its runs were chosen from; another commit in between makes it fail and changes nothing."""
+        while runs := self.runs((old := self.manifest())["shards"]):
             merged, gone = [], {s.path for run in runs for s in run}
             for run in runs:
                 files = max(1, math.ceil(sum(s.bytes for s in run) / self.target))
                 merged += self._write(self._read(run, old["schema"]).coalesce(files))
             self._commit(old, old["schema"], [s for s in old["shards"] if s.path not in gone] + merged)
-        return self.manifest()["version"]
+        return old["version"]
 
     def _read(self, shards: list[Shard], schema: str) -> DataFrame:
         kind = StructType.fromJson(json.loads(schema))
         if not shards:
             return self.spark.createDataFrame([], kind)
-        return self.spark.read.schema(kind).parquet(*[self._at(s.path).toString() for s in shards])
+        return self.spark.read.schema(kind).parquet(*[self._folder.at(s.path).toString() for s in shards])
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
@@ -118,16 +103,16 @@ class ShardStore:
         """Deletes shards that the newest manifest doesn't name (older versions can't be read then)."""
         named = {s.path for s in self.manifest()["shards"]}
         gone = 0
-        for folder in self._fs.listStatus(self._at("shards")):
+        for folder in self._folder.fs.listStatus(self._folder.at("shards")):
             name = f"shards/{folder.getPath().getName()}"
-            files = [f for f in self._fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+            files = [f for f in self._folder.fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
             dead = [f for f in files if f"{name}/{f.getPath().getName()}" not in named]
             gone += len(dead)
             if len(dead) == len(files):
-                self._fs.delete(folder.getPath(), True)
+                self._folder.fs.delete(folder.getPath(), True)
             else:
                 for f in dead:
-                    self._fs.delete(f.getPath(), False)
+                    self._folder.fs.delete(f.getPath(), False)
         return gone
 
 
