@@ -11,8 +11,8 @@ import regex
 
 #: Id that ends every document.
 END = (2).to_bytes(4, "little")
-#: Words and pieces a worker remembers; beyond that it starts afresh.
-MAX_WORDS, MAX_PIECES = 800_000, 600_000
+#: Words and pieces a worker remembers; beyond that it forgets those that the texts at hand don't need.
+MAX_WORDS, MAX_PIECES = 500_000, 350_000
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
 #: str.split() takes for white space but the tokenizer doesn't.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -62,8 +62,7 @@ class WordEncoder:
         found = self.find("\n".join([*plain, ""]).lower())
         new = list(set(found).difference(self.pieces))
         if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces = {"\n": _MARK}
-            new = list(set(found).difference(self.pieces))
+            self.pieces = {p: self.pieces[p] for p in set(found).intersection(self.pieces)}
         for p, coded in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False)):
             self.pieces[p] = array("I", coded.ids).tobytes()
         self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(_MARK)))
@@ -78,8 +77,8 @@ class WordEncoder:
         needed = set(chain.from_iterable(s for s in split if s))
         new = needed.difference(self.words)
         if len(self.words) + len(new) > MAX_WORDS:
-            self.words.clear()
-            new = needed
+            # What these texts share with the words known so far is what is frequent.
+            self.words = {w: self.words[w] for w in needed.intersection(self.words)}
         self._learn(list(new))
         get = self.words.__getitem__
         return [
