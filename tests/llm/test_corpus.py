@@ -222,6 +222,49 @@ def test_cutting_stock_is_near_the_linear_program():
     assert sum(n for _, n in plan) <= math.ceil(least) * 1.02 + 2
 
 
+def brute_licenses(index, words):
+    """(label, place) and scores, by trying every beginning of every template against all of a text's words."""
+    out, scores = set(), [0.0]
+    for t in index.templates:
+        held = [w for w in sorted(set(t.words), key=lambda w: (-index.weight.get(w, 0.0), w)) if w in words]
+        asked = held if t.base else held[: licenses.RARE]
+        need = len(set(t.words)) if t.base else min(licenses.AGREE, len(asked))
+        wide = 0 if t.base else licenses.TOLERANCE
+        near = lambda begin, w: any(t.words[k] == w and words[i] == w for k in range(len(t.words)) for i in range(max(0, begin + k - wide), min(len(words), begin + k + wide + 1)))  # noqa: B023, E731
+        for place in range(len(words) - len(t.phrase) + 1):
+            begin = place - t.start
+            if words[place : place + len(t.phrase)] == t.phrase and asked and sum(near(begin, w) for w in asked) >= need:
+                out.add((t.label, place))
+                weigh = [index.weight.get(w, 0.0) + 1e-9 for w in t.words]
+                here = sum(v for k, (w, v) in enumerate(zip(t.words, weigh)) if w in words[max(0, begin + k - wide) : max(0, begin + k + wide + 1)])
+                scores.append(here / sum(weigh))
+    return out, max(scores)
+
+
+def test_licenses_against_brute_force(spark):
+    """Whole licences, with words put in, left out or changed, and loose licence words."""
+    rng = np.random.default_rng(6)
+    texts = ["MIT License. mit license apache license", "general public license", "license mit"]
+    for label, key, text in licenses.TEMPLATES:
+        w = text.split()
+        texts += [text, text.upper(), key, " ".join(w[: len(w) // 2])]
+        for _ in range(2):
+            changed = [x for x in w if rng.random() > 0.05]
+            for _ in range(3):
+                changed.insert(int(rng.integers(0, len(changed) + 1)), "zzz")
+            texts.append("Intro words here. " + " ".join(changed) + " The end, of the software.")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    _, weight = licenses.document_frequencies(docs, licenses.vocabulary(licenses.BASE, licenses.TEMPLATES))
+    index = licenses.Index(licenses.BASE, licenses.TEMPLATES, weight)
+    for i, t in enumerate(texts):
+        places, score = brute_licenses(index, licenses.words_of(t.encode()))
+        assert {(p.label, p.word) for p in got[i].places} == places and got[i].labels == ",".join(sorted({x for x, _ in places})), t
+        assert got[i].score == pytest.approx(min(1.0, score))
+    named = {label: [got[i].labels.split(",") for i, t in enumerate(texts) if t == text] for label, _, text in licenses.TEMPLATES}
+    assert all(label in x for label, rows in named.items() for x in rows)
+
+
 def test_licenses(docs, texts, odd, none):
     got = {r.doc_id: r for r in licenses.scan(docs).collect()}
     for d, t in texts.items():
@@ -354,6 +397,69 @@ def test_decontamination_odd(spark, odd, none):
     assert decontam.contamination(none, items).count() == 0 and decontam.contamination(odd, items.limit(0)).count() == len(ODD)
 
 
+def brute_contamination(texts, items, window=13):
+    """(words, hit words, items) of each text."""
+    grams = {}
+    for item, t in items:
+        w = AL.findall(low(t))
+        for i in range(max(1, len(w) - window + 1)) if w else ():
+            grams.setdefault(tuple(w[i : i + window]), set()).add(str(item))
+    out = []
+    for t in texts:
+        w = AL.findall(low(t))
+        found = [(i, n, grams[tuple(w[i : i + n])]) for n in {len(g) for g in grams} for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams]
+        out.append((w, {i + j for i, n, _ in found for j in range(n)}, set().union(*(x for _, _, x in found))))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_and_span_removal(spark, broadcast, monkeypatch):
+    """Windows of several lengths, overlapping and repeated, on both sides of the set's size limit."""
+    if not broadcast:
+        monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+    rng = np.random.default_rng(4)
+    word = lambda n: " ".join(f"W{x}" for x in rng.integers(0, 400, n))
+    items = [(i, word(int(rng.integers(1, 60)))) for i in range(12)] + [(98, "W1 w2, W3"), (99, "w2"), (100, None)]
+    texts = []
+    for i in range(60):
+        parts = [word(int(rng.integers(0, 40))) for _ in range(3)]
+        if i % 2:
+            chosen = items[int(rng.integers(0, 14))][1].split()
+            parts.insert(1, " - ".join(chosen[int(rng.integers(0, 3)) :]))
+            parts.insert(2, ("; ".join(chosen) + "!\n") * int(rng.integers(1, 3)))
+        texts.append("\t(" + "... ".join(parts) + ")")
+    texts += [None, "", "W1 W2 W3", "w1 w2 w3"]
+    docs = spark.createDataFrame([(i // 2, t, len(t or ""), "x") for i, t in enumerate(texts)], "doc_id long, text string, n_chars int, spans string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(i // 2, len(w), len(hit), len(names), bool(hit) and 20 * len(hit) >= len(w)) for i, (w, hit, names) in enumerate(brute_contamination(texts, items))]
+    got = decontam.contamination(docs, bench).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got) == sorted(want)
+    for r in got:
+        ends = [(s.start, s.start + s.length) for s in r.spans]
+        assert sum(e - s for s, e in ends) == r.n_hit and all(a[1] < b[0] for a, b in zip(ends, ends[1:]))
+    work = Workspace(spark, "t")
+    kept = decontam.remove_contaminated(docs, bench, work)
+    assert kept.columns == docs.columns and Counter(r.text for r in kept.collect()) == Counter(t for t, w in zip(texts, want) if not w[4])
+    cut = decontam.remove_spans(docs, bench, work)
+    assert cut.columns == docs.columns and cut.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+    left = Counter()
+    for t, w, (words, hit, _) in zip(texts, want, brute_contamination(texts, items)):
+        left[t if not w[4] and t != "" else tuple(x for i, x in enumerate(words) if i not in hit)] += 1
+    found, changed = Counter(), {t for t, w in zip(texts, want) if w[4]}
+    for r in cut.collect():
+        found[r.text if r.text != "" and r.text in texts and r.text not in changed else tuple(AL.findall(low(r.text)))] += 1
+        assert r.n_chars == len(r.text or "")
+    assert found == left
+
+
+def test_decontamination_of_a_long_text(spark):
+    """A text of 200,000 words, all of them hit, is judged in seconds."""
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(40)) + " x " + " ".join(f"w{i % 40}" for i in range(200_000)))], "doc_id long, text string")
+    (r,) = decontam.contamination(docs, items).collect()
+    assert (r.n_words, r.n_hit, len(r.spans)) == (200_041, 200_040, 2)
+
+
 def test_arc_and_warc(spark):
     record = warc.ArcRecord({"URL": "http://a/b c", "IP-address": "1.2.3.4", "Archive-date": "20010203040506", "Content-type": "text/html"}, b"x\n\ny")
     for version in (1, 2):
