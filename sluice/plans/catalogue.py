@@ -464,17 +464,7 @@ def _(t: Tables) -> DataFrame:
     return loads.scd1(store.read("users")).select("user_id", "event_id", "event_type")
 
 
-# --- observability views over an event log made of events ------------------------------------------------
-
-LOG = """(SELECT event_id, concat('u', CAST(user_id % 20 AS STRING)) AS update_id, concat('flow', CAST(user_id % 5 AS STRING)) AS flow,
-  ts, CASE event_type WHEN 'purchase' THEN 'COMPLETED' WHEN 'error' THEN 'FAILED' ELSE 'RUNNING' END AS status, CAST(round(value) AS BIGINT) AS written FROM {events})"""
-LATEST_STATUS = f"""(SELECT update_id, flow, status FROM (SELECT *, row_number() OVER (PARTITION BY update_id, flow ORDER BY CASE WHEN status IN ('COMPLETED', 'FAILED') THEN 0 ELSE 1 END, ts DESC, event_id DESC) AS rn FROM {LOG} l) x WHERE rn = 1)"""
-sql("view_flow_metrics", f"SELECT m.update_id, m.flow, s.status, first_ts, last_ts, events, written FROM (SELECT update_id, flow, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) AS BIGINT) AS events, CAST(sum(written) AS BIGINT) AS written FROM {LOG} l GROUP BY update_id, flow) m JOIN {LATEST_STATUS} s ON m.update_id = s.update_id AND m.flow = s.flow")
-sql("view_dq_results", f"SELECT flow, CAST(count(*) AS BIGINT) AS checked, CAST(sum(CASE WHEN written > 50 THEN 1 ELSE 0 END) AS BIGINT) AS passed, CASE WHEN sum(CASE WHEN written > 50 THEN 1 ELSE 0 END) * 100 >= count(*) * 95 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM {LOG} l GROUP BY flow")
-sql("view_recon_health", "SELECT c_nationkey, CAST(count(*) AS BIGINT) AS keys, CAST(count(o_custkey) AS BIGINT) AS matched, count(o_custkey) = count(*) AS is_clean FROM {customer} LEFT JOIN (SELECT DISTINCT o_custkey FROM {orders}) x ON c_custkey = o_custkey GROUP BY c_nationkey")
-sql("view_group_health", f"SELECT flow, CAST(count(*) AS BIGINT) AS updates, CAST(sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CASE WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) = 0 THEN 'HEALTHY' WHEN sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) * 2 > count(*) THEN 'FAILING' ELSE 'DEGRADED' END AS health FROM {LATEST_STATUS} s GROUP BY flow")
-sql("view_flow_inventory", "SELECT 'ingestion' AS kind, n_name AS flow FROM {nation} UNION ALL SELECT 'transformation', r_name FROM {region} UNION ALL SELECT 'reconciliation', s_name FROM {supplier}")
-sql("view_lineage", "SELECT r_name AS source, n_name AS target, CAST(count(c_custkey) AS BIGINT) AS uses FROM {region} JOIN {nation} ON n_regionkey = r_regionkey LEFT JOIN {customer} ON c_nationkey = n_nationkey GROUP BY ALL")
+# --- control tables --------------------------------------------------------------------------------------
 
 
 @query("control_upsert", "SELECT n_nationkey AS flow_id, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS name, CASE WHEN n_nationkey < 20 THEN 1 ELSE 2 END AS created_at, CASE WHEN n_nationkey % 2 = 0 OR n_nationkey >= 20 THEN 2 ELSE 1 END AS updated_at FROM nation WHERE n_nationkey < 20 OR n_nationkey % 2 = 0")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULTS = {"spark.sql.adaptive.enabled": "true"}
@@ -32,6 +32,17 @@ def active(table: DataFrame, group: str) -> DataFrame:
     return table.filter((F.col("group_id") == group) & F.col("is_active"))
 
 
+def apply_settings(spark: SparkSession, *layers: Mapping[str, object] | None) -> list[str]:
+    """Sets the layers' settings on the session; returns what could not be set, one text each."""
+    problems = [f"a layer of settings is no mapping: {layer!r}" for layer in layers if layer is not None and not isinstance(layer, Mapping)]
+    for key, value in settings(*layers).items():
+        try:
+            spark.conf.set(key, value)
+        except Exception as e:  # noqa: BLE001  Spark tells static and unknown settings apart only here
+            problems.append(f"{key} was not set: {str(e).strip().splitlines()[0]}")
+    return problems
+
+
 def settings(*layers: Mapping[str, object] | None) -> dict[str, str]:
     """Later layers win over earlier ones and the defaults; a layer that is no mapping is left out."""
     out = dict(DEFAULTS)

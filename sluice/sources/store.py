@@ -105,6 +105,8 @@ class Store:
         old = self.manifest(table)
         if self.committed(table, batch):
             return old["version"]
+        if old and old["buckets"] and operation == "APPEND":
+            return self.merge(table, df, old["buckets"]["keys"], lambda current, new: current.unionByName(new, allowMissingColumns=True), operation, batch)
         name = self._written(table, properties.laid_out(df), properties.partition_by)
         kept = old["data"] if old and operation == "APPEND" else []
         return self._commit(table, old, df.schema.json(), [*kept, name], operation, batch)
@@ -117,27 +119,28 @@ class Store:
         old = self.manifest(table)
         if self.committed(table, batch):
             return old["version"]
-        if old and not old["buckets"]:
-            raise LoadError(f"{table} was not written by key and can't be merged into")
-        buckets = old["buckets"] if old else buckets
+        if old and (old["buckets"] or {}).get("keys") != list(keys):
+            raise LoadError(f"{table} is not kept by {list(keys)} and can't be merged into by them")
+        buckets = old["buckets"]["count"] if old else buckets
+        kept_by = {"count": buckets, "keys": list(keys)}
         number = bucket_of(keys, buckets)
         touched = sorted(r[0] for r in changes.select(number.alias("b")).distinct().collect())  # one row per bucket
         if old and not touched:
-            return self._commit(table, old, old["schema"], old["data"], operation, batch, old["buckets"])
+            return self._commit(table, old, old["schema"], old["data"], operation, batch, kept_by)
         part = lambda d: int(d.rpartition(f"{BUCKET}=")[2])
         hit = [d for d in old["data"] if part(d) in touched] if old else []
         made = apply(self._frame(table, hit, old["schema"]) if old else None, changes)
         name = self._written(table, made.withColumn(BUCKET, number).repartition(F.col(BUCKET)), (BUCKET,))
         fresh = [f"{name}/{d}" for d in self.folder.names(f"{table}/{name}") if d.startswith(f"{BUCKET}=")]
         kept = [d for d in old["data"] if part(d) not in touched] if old else []
-        return self._commit(table, old, made.schema.json(), [*kept, *fresh], operation, batch, buckets)
+        return self._commit(table, old, made.schema.json(), [*kept, *fresh], operation, batch, kept_by)
 
     def _written(self, table: str, df: DataFrame, partition_by: Sequence[str]) -> str:
         name = f"data-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{table}/{name}")
         return name
 
-    def _commit(self, table: str, old: dict | None, schema: str, data: Sequence[str], operation: str, batch: tuple[str, int] | None, buckets: int | None = None) -> int:
+    def _commit(self, table: str, old: dict | None, schema: str, data: Sequence[str], operation: str, batch: tuple[str, int] | None, buckets: Mapping | None = None) -> int:
         version = old["version"] + 1 if old else 1
         batches = (old["batches"] if old else {}) | ({batch[0]: batch[1]} if batch else {})
         entry = {"version": version, "data": list(data), "operation": operation, "batches": batches, "buckets": buckets, "schema": schema}
