@@ -6,8 +6,9 @@ go to the pivot that comes first in one global order, which is the document's ho
 bounds how much of a set a partner within distance 1 - t may miss: |x minus y| <= (1 - t) |x|. So x is
 replicated to as many further regions as that window needs, its first floor((1 - t) |x|) + 1 shingles, and every
 pair within the threshold meets in at least one region. Any global order is exact; rare shingles come first,
-by the counts of a fixed number of hashed cells over all documents. In the first region where a pair meets,
-all that it shares stands at or behind that shingle in both documents, which drops most chance meetings.
+by the counts of a fixed number of hashed cells over all documents. A window that is some shingles longer makes
+every pair meet that often (``SHARED``), so a pair that meets less, and only in small regions, meets by chance;
+and what a pair shares beyond the k-th meeting stands behind that shingle in both documents.
 
 Recursion. Regions of more than a handful get a document pivot, and what meets at one pivot is one region of
 the second level, however many shingles it met at. Such a region is joined inside a task by further document
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cells, voronoi
-from .common import Workspace, release
+from .common import Workspace, let_go, release
 from .components import components
 
 #: Cells that order the shingles; more of them tell rare from frequent in larger corpora.
@@ -37,6 +38,8 @@ COUNT_CELLS = 1 << 20
 TEXT_CELLS = 1 << 24
 #: A key that one task holds more often than this goes on row by row, not to one task.
 HOT = 256
+#: Regions in which every pair within the threshold meets (or in as many as it has shingles in common).
+SHARED = 4
 #: (key, node) pairs that a task sorts at once.
 SORTED_PAIRS = 2_000_000
 #: A second-level region of more documents or shingles than this is re-centred, not joined in one task.
@@ -66,6 +69,7 @@ def shingle_set(text: bytes | None, n: int) -> np.ndarray:
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    let_go()
     for whole in batches:
         for at in range(0, whole.num_rows, 500):
             batch = whole.slice(at, 500)
@@ -114,7 +118,7 @@ def shingle_windows(docs: DataFrame, n: int, percent: int, counts, keyed: bool =
             sets, keys = [shingle_set(t, n) for t in texts], []
             for s in sets:
                 # Codes ascend, so a stable sort by count is one total order.
-                first = np.argsort(often[(s & low).astype(np.int64)], kind="stable")[: len(s) * (100 - percent) // 100 + 1]
+                first = np.argsort(often[(s & low).astype(np.int64)], kind="stable")[: len(s) * (100 - percent) // 100 + SHARED]
                 keys.append((s[first] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -142,10 +146,12 @@ _ROW = np.dtype([("key", "<u4"), ("place", "<u2"), ("size", "<u4"), ("node", "<i
 
 
 def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Who meets whom, from (node, n, keys): rows (kind, a, b, n).
+    """Who meets whom, from (node, n, keys): rows (kind, a, b, n, times, least).
 
     kind 0: document b, of n shingles, belongs to the second-level region of pivot a. kind 1: document b, of n
-    shingles, is in the region of the hot key a. Rows travel packed; the key of a hot region is known to all
+    shingles, is in the region of the hot key a. kind 2: documents a and b, of n shingles, meet so many times in
+    regions of a handful; in all such regions a pair within the threshold, unless it meets in a larger one, does
+    at least `least` times. Rows travel packed; the key of a hot region is known to all
     tasks that its rows meet, and its rows are dealt by turns.
     """
     plain, marker, spread = 0, 1, 2
@@ -191,10 +197,11 @@ def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
             yield from flush()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(a), 200_000):
-                some = [pa.array(np.ascontiguousarray(c[at : at + 200_000]).astype(np.int64)) for c in (a, b, n)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *some], ["kind", "a", "b", "n"])
+        def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(columns[0]), 200_000):
+                some = [pa.array(np.ascontiguousarray(c[at : at + 200_000]).astype(np.int64)) for c in columns]
+                some += [pa.nulls(len(some[0]), pa.int64())] * (5 - len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some[0]), kind, np.int32)), *some], ["kind", "a", "b", "n", "times", "least"])
 
         held, hot = [], []
         for batch in batches:
@@ -211,24 +218,25 @@ def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
             crowd = np.isin(rows["key"], np.unique(np.concatenate(hot)["key"]))
             yield from out(1, rows["key"][crowd], rows["node"][crowd], rows["size"][crowd])
             rows = rows[~crowd]
-        a, b, n = second_level(rows, percent)
-        yield from out(0, a, b, n)
+        members, pairs = second_level(rows, percent)
+        yield from out(0, *members)
+        yield from out(2, *pairs)
 
     dealt = classes.select("node", "n", "keys").mapInArrow(scatter, "bucket int, kind int, rows binary").repartition(parts, "bucket")
-    return dealt.mapInArrow(gather, "kind int, a long, b long, n long")
+    return dealt.mapInArrow(gather, "kind int, a long, b long, n long, times long, least long")
 
 
-def second_level(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pivot, document, its size): distinct members of second-level regions, from all rows of some keys.
+def second_level(rows: np.ndarray, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """From all rows of some keys: distinct members (pivot, document, its size) of second-level regions, and pairs
+    (document, document, size of the latter, times met, least times) of regions of up to a handful.
 
-    Regions of up to a handful give the pairs that can be within the threshold, the first document as pivot.
-    Larger ones are cut where sizes leave a gap that no pair spans, lose documents without a possible partner,
+    Larger regions are cut where sizes leave a gap that no pair spans, lose documents without a possible partner,
     and what is left meets at the document with the smallest hash.
     """
     rows = rows[np.lexsort((rows["node"], rows["size"], rows["key"]))]
     size, place = rows["size"].astype(np.int64), rows["place"].astype(np.int64)
     if len(rows) < 2:
-        return (np.empty(0, np.int64),) * 3
+        return [np.empty(0, np.int64)] * 3, [np.empty(0, np.int64)] * 5
     parted = (rows["key"][1:] != rows["key"][:-1]) | (100 * size[:-1] < percent * size[1:])
     begins = np.concatenate([[0], np.flatnonzero(parted) + 1])
     length = np.diff(np.concatenate([begins, [len(rows)]]))
@@ -236,25 +244,27 @@ def second_level(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
     def least(a, b):  # shared shingles of a pair of such sizes within the threshold
         return -(-percent * (a + b) // (100 + percent))
 
+    # The pair's SHARED-th meeting at the latest, so SHARED - 1 shingles in common may stand before this one.
+    behind = size - place + (SHARED - 1)
+
     def possible(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        shared = np.minimum(size[i] - place[i], size[j] - place[j])
+        shared = np.minimum(behind[i], behind[j])
         return (shared >= least(size[i], size[j])) & (100 * size[i] >= percent * size[j]) & (rows["node"][i] != rows["node"][j])
 
-    pivots, members = [], []
+    pivots, members, met = [], [], []
 
     def pairs(i: np.ndarray, j: np.ndarray) -> None:
         near = possible(i, j)
         x, y = i[near], j[near]
         swap = rows["node"][x] > rows["node"][y]
-        pivots.append(np.where(swap, y, x))
-        members.append(np.where(swap, x, y))
+        met.append((np.where(swap, y, x), np.where(swap, x, y)))
 
     small = np.flatnonzero((length > 1) & (length <= voronoi.HANDFUL))
     for lag in range(1, voronoi.HANDFUL):
         for step in range(voronoi.HANDFUL - lag):
             first = begins[small[length[small] > step + lag]] + step
             pairs(first, first + lag)
-    core = size - place >= least(size, size)  # the smaller one of a pair is, the larger one needn't be
+    core = behind >= least(size, size)  # the smaller one of a pair is, the larger one needn't be
     hashed = (rows["node"].view(np.uint64) * _MIX1) ^ (rows["node"].view(np.uint64) >> np.uint64(7))
     for k in np.flatnonzero(length > voronoi.HANDFUL).tolist():
         at = np.arange(begins[k], begins[k] + length[k])
@@ -263,17 +273,18 @@ def second_level(rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray
         below = np.searchsorted(s[c], s, "right") - np.searchsorted(s[c], low, "left") - c
         above = np.searchsorted(s, high, "right") - np.searchsorted(s, s, "left") - 1
         at = at[(below > 0) | (c & (above > 0))]
-        if len(at) <= voronoi.HANDFUL:
-            x, y = np.triu_indices(len(at), 1)
-            pairs(at[x], at[y])
+        if len(at) < 2:
             continue
         pivot = at[hashed[at].argmin()]
         at = at[rows["node"][at] != rows["node"][pivot]]
         pivots.append(np.full(len(at), pivot))
         members.append(at)
-    p, m = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pivots, members))
-    found = np.unique(np.rec.fromarrays([rows["node"][p], rows["node"][m], rows["size"][m].astype(np.int64)], names="a,b,n"))
-    return found["a"], found["b"], found["n"]
+    joined = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+    node, p, m = rows["node"], joined(pivots), joined(members)
+    found = np.unique(np.rec.fromarrays([node[p], node[m], size[m]], names="a,b,n"))
+    x, y = joined([a for a, _ in met]), joined([b for _, b in met])
+    pair, times = np.unique(np.rec.fromarrays([node[x], node[y], size[y], np.minimum(least(size[x], size[y]), SHARED)], names="a,b,n,least"), return_counts=True)
+    return [found["a"], found["b"], found["n"]], [pair["a"], pair["b"], pair["n"], times, pair["least"]]
 
 
 def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
@@ -370,8 +381,9 @@ def jaccard_components(docs: DataFrame, work: Workspace, n: int = 3, percent: in
 def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace, n: int, percent: int) -> DataFrame:
     """Links (a, b) that connect exactly what all pairs within the threshold connect."""
     regions = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
-    members = _second(regions).union(met.filter("kind = 0").select("a", "b", "n")).distinct()
-    members = work.save(members, "members-0")
+    often = met.filter("kind = 2").groupBy("a", "b", "n", "least").agg(F.sum("times").alias("times")).filter("times >= least")
+    members = _second(regions).union(met.filter("kind = 0").select("a", "b", "n")).union(often.select("a", "b", "n"))
+    members = work.save(members.distinct(), "members-0")
     texts = classes.select("node", "th", "doc")
     links, held, step = [], None, 0
     while True:
