@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
@@ -52,6 +53,21 @@ class Workspace:
         release(self.spark)
 
 
+def held(kind: str, key: str, make):
+    """This worker process's large object of a kind, made once per key. A process holds one such object at a time:
+    workers are used again by the next stage, and its memory is theirs too."""
+    found = sys.__dict__.get("_sluice_held")
+    if found is None or found[:2] != (kind, key):
+        sys.__dict__["_sluice_held"] = None
+        found = sys.__dict__["_sluice_held"] = (kind, key, make())
+    return found[2]
+
+
+def let_go() -> None:
+    """Frees what `held` keeps; for tasks that have no use for it."""
+    sys.__dict__["_sluice_held"] = None
+
+
 def release(spark: SparkSession) -> None:
     """Collects driver garbage, so that shuffle files of finished queries are removed."""
     import gc

@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import mmap
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, held
 from .elias_fano import EliasFano, from_buffer, to_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -99,11 +98,11 @@ def _merged(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> dict[int, list[bytes]]:
-    held: dict[int, list[bytes]] = {}
+    blobs: dict[int, list[bytes]] = {}
     for batch in batches:
         for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            held.setdefault(bucket, []).append(blob)
-    return held
+            blobs.setdefault(bucket, []).append(blob)
+    return blobs
 
 
 def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -181,12 +180,8 @@ class Trie(Words):
 
     @staticmethod
     def of(model: dict) -> Trie:
-        """This process's trie of the model; one is held at a time."""
-        held, key = sys.__dict__.setdefault("_sluice_trie", {}), json.dumps(model)
-        if key not in held:
-            held.clear()
-            held[key] = Trie(model)
-        return held[key]
+        """This process's trie of the model."""
+        return held("trie", json.dumps(model), lambda: Trie(model))
 
     def _look(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(discounted probability, back-off weight, node or -1) of successors in the k-th level of contexts, ordered by context."""
@@ -228,12 +223,8 @@ class Trie(Words):
 
 
 def _words_of(model: dict) -> Words:
-    """This process's level 1 of the model; one is held at a time."""
-    held, key = sys.__dict__.setdefault("_sluice_words", {}), json.dumps(model["words"])
-    if key not in held:
-        held.clear()
-        held[key] = Words(model["words"], model["nodes"][0])
-    return held[key]
+    """This process's level 1 of the model."""
+    return held("words", json.dumps(model["words"]), lambda: Words(model["words"], model["nodes"][0]))
 
 
 def numbered(docs: DataFrame, model: dict, passed: tuple[str, ...] = ()) -> DataFrame:
@@ -283,14 +274,14 @@ def count_words(docs: DataFrame, folder: str) -> dict:
             at = np.searchsorted(_bucket(key, buckets), np.arange(buckets + 1))
             return _rows([(b, _blob(key[s:e], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
 
-        held: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
         for _, texts in _slices(batches, 0):
-            held.append(token_hashes(texts)[0])
-            if sum(map(len, held)) > FLUSH:
-                yield send(held)
-                held = []
-        if held:
-            yield send(held)
+            waiting.append(token_hashes(texts)[0])
+            if sum(map(len, waiting)) > FLUSH:
+                yield send(waiting)
+                waiting = []
+        if waiting:
+            yield send(waiting)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
@@ -349,7 +340,7 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
             at = np.searchsorted(key, bounds)
             return _rows([(b, _blob(key[s:e] - bounds[b], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
 
-        held: list[np.ndarray] = []
+        waiting: list[np.ndarray] = []
         for _, word, sizes in _numbers(batches, 0, _id_type(vocabulary)):
             starts = np.cumsum(sizes) - sizes
             context = trie.first_contexts(word, starts, int(word[-1]))  # the last token is an end
@@ -360,12 +351,12 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
                 distinct, back = np.unique(word, return_inverse=True)
                 often = trie.counts(distinct)[back] >= min_bigram  # a rarer word is in no pair that stays
                 ok = often & np.concatenate([[True], often[:-1]])
-            held.append(context[ok].astype(np.uint64) * _U(vocabulary) + word[ok].astype(np.uint64))
-            if sum(map(len, held)) > FLUSH:
-                yield send(held)
-                held = []
-        if held:
-            yield send(held)
+            waiting.append(context[ok].astype(np.uint64) * _U(vocabulary) + word[ok].astype(np.uint64))
+            if sum(map(len, waiting)) > FLUSH:
+                yield send(waiting)
+                waiting = []
+        if waiting:
+            yield send(waiting)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import sys
 from array import array
 from itertools import chain
 
 import regex
 
+from .common import held
+
 #: Id that ends every document.
 END = (2).to_bytes(4, "little")
 #: Words and pieces a worker remembers; beyond that it forgets those that the texts at hand don't need.
@@ -51,10 +52,7 @@ class WordEncoder:
     @staticmethod
     def of(path: str) -> WordEncoder:
         """This process's encoder; it outlives tasks where Spark reuses its workers."""
-        made = sys.__dict__.setdefault("_sluice_encoders", {})
-        if path not in made:
-            made[path] = WordEncoder(path)
-        return made[path]
+        return held("encoder", path, lambda: WordEncoder(path))
 
     def _learn(self, words: list[str]) -> None:
         """Plain words are taken apart together; each distinct piece is encoded once."""
