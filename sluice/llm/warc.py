@@ -59,11 +59,14 @@ def write_arc(records: list[ArcRecord], version: int, name: str = "archive.arc",
     return b"".join(out)
 
 
+def header_url(url: str | None) -> str:
+    """A URL as it stands in headers: white space and control characters but blanks are percent-encoded; a dash for none."""
+    return "".join(c if c > "\x20" and c != "\x7f" or c == " " else f"%{ord(c):02X}" for c in url or "").strip(" ") or "-"
+
+
 def _arc_line(fields: dict[str, str], version: int) -> bytes:
-    """A header line. Fields are parted by blanks, so only the first, the URL, may hold some; other white space
-    and control characters of a URL are percent-encoded, and blanks in other fields dropped."""
-    url = "".join(c if c > "\x20" and c != "\x7f" or c == " " else f"%{ord(c):02X}" for c in fields["URL"]).strip(" ")
-    return (" ".join([url or "-", *("".join(fields.get(k, "-").split()) or "-" for k in FIELDS[version][1:])]) + "\n").encode()
+    """A header line. Fields are parted by blanks, so only the first, the URL, may hold some; others lose theirs."""
+    return (" ".join([header_url(fields["URL"]), *("".join(fields.get(k, "-").split()) or "-" for k in FIELDS[version][1:])]) + "\n").encode()
 
 
 def parse_arc(data: bytes) -> Iterator[ArcRecord]:
@@ -206,21 +209,22 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
     keys = rows.select("key", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url").alias("row"))
     groups = work.save(keys.groupBy("key").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1"), "groups")
     # Rows are told apart by what they hold, not by their place in a scan, which another scan need not repeat.
-    alike = keys.groupBy("key", "row").count().filter("count > 1").join(groups, "key").filter(F.col("row").eqNullSafe(F.col("first")))
-    alike = work.save(alike.select(F.col("key").alias("k"), F.col("first").alias("f"), "count"), "alike")
+    alike = keys.groupBy("key", "row").count().filter("count > 1")
+    alike = work.save(alike.select(F.col("key").alias("k"), F.col("row").alias("r"), F.col("count").cast("int").alias("copies")), "alike")
     row = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
-    several = (F.col("key") == F.col("k")) & row.eqNullSafe(F.col("f"))
-    original = F.when(~F.col("first").eqNullSafe(row), F.struct("first.page_id", "first.url"))
+    several = (F.col("key") == F.col("k")) & row.eqNullSafe(F.col("r"))
+    is_first = F.col("first").isNull() | F.col("first").eqNullSafe(row)
     first_of = F.broadcast(groups) if groups.count() <= MAX_BROADCAST_GROUPS else groups
-    told = rows.join(first_of, "key", "left").select("page_id", "url", "html", "key", F.lit(1).alias("copy"), F.when(F.col("first").isNotNull(), original).alias("original"))
+    told = rows.join(first_of, "key", "left").select("page_id", "url", "html", "key", "first", F.lit(1).alias("copy"))
     if not alike.isEmpty():
-        # Of rows that are alike in everything one is the response, the others are revisits of it.
-        same = rows.join(alike, several).dropDuplicates(["key", "page_id", "url"]).select("page_id", "url", "html", "key", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy"))
-        same = same.withColumn("original", F.when(F.col("copy") > 1, F.struct("page_id", "url")))
+        # Of rows that are alike in everything one may be the response, the others are revisits.
+        same = told.join(alike, several).dropDuplicates(["key", "page_id", "url"])
+        same = same.select("page_id", "url", "html", "key", "first", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
         told = told.join(alike, several, "left_anti").unionByName(same)
+    original = F.when(~(is_first & (F.col("copy") == 1)), F.struct("first.page_id", "first.url"))
+    told = told.select("page_id", "url", "html", "key", "copy", original.alias("original"))
     run_id = work.path
     name = lambda id_, url, key, copy: f"{run_id} {id_} {url} {key} {copy}"
-    shown = lambda url: "-" if url is None else url
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
@@ -232,7 +236,7 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
                 ids, urls, keys_, copies, originals = (whole.slice(k, 200).column(i).to_pylist() for i in (0, 1, 3, 4, 5))
                 bodies = whole.slice(k, 200).column(2).cast(pa.binary()).to_pylist()
                 records = [
-                    ArcRecord({"URL": shown(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200"}, HTTP_HEAD % len(body) + body)
+                    ArcRecord({"URL": header_url(url), "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/html", "Result-code": "200"}, HTTP_HEAD % len(body) + body)
                     for url, body in zip(urls, bodies)
                 ]
                 for record, id_, url, key, copy, first in zip(parse_arc(write_arc(records, 2)), ids, urls, keys_, copies, originals, strict=True):
@@ -242,7 +246,7 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
                     extra = (("X-Page-ID", "null" if id_ is None else str(id_)),)
                     original = None
                     if first is not None:
-                        original = Original(record_id(name(first["page_id"], first["url"], key, 1)), shown(first["url"]), iso_date(date))
+                        original = Original(record_id(name(first["page_id"], first["url"], key, 1)), header_url(first["url"]), iso_date(date))
                         extra += (("X-Refers-To-Page-ID", "null" if first["page_id"] is None else str(first["page_id"])),)
                     data = warc_bytes(record, original, name(id_, url, key, copy), extra)
                     out.write(data)
