@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -211,6 +212,52 @@ def test_packing_and_orc(spark, docs, odd, none, tmp_path):
     assert packing.pack(none, Workspace(spark, "t"), default_tokenizer()).count() == 0
 
 
+def test_packing_in_the_query(spark, docs, odd):
+    """Each id lies in exactly one piece, and the pieces' digests are those of the documents' own ids."""
+    e = WordEncoder.of(default_tokenizer())
+    long = odd.select("doc_id", "text").union(spark.createDataFrame([(50, "lorem ipsum dolor sit amet " * 20_000), (51, "a " * 4095), (52, "a " * 4096)], "doc_id long, text string"))
+    for frame in (docs, long):
+        ids = Counter()
+        for r in frame.collect():
+            ids[r.doc_id, e.encode([r.text])[0]] += 1
+        pieces = packing.pack(frame, Workspace(spark, "t"), default_tokenizer()).collect()
+        made, sequences = {}, {}
+        for p in pieces:
+            made.setdefault(p.doc_id, []).append((p.start, p.length, p.ids_crc32, p.doc_tokens))
+            sequences.setdefault(p.sequence_id, []).append((p.offset, p.length))
+        want = {}
+        for (doc, data), times in ids.items():
+            n = len(data) // 4
+            cuts = range(0, n, 4096)
+            want.setdefault(doc, []).extend([(s, min(4096, n - s), zlib.crc32(data[4 * s : 4 * min(n, s + 4096)]), n) for s in cuts] * times)
+        assert {d: sorted(x) for d, x in made.items()} == {d: sorted(x) for d, x in want.items()}
+        for s in sequences.values():
+            s.sort()
+            assert s[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(s, s[1:])) and s[-1][0] + s[-1][1] <= 4096
+
+
+def test_orc_is_pruned_by_its_index(spark, docs, none, tmp_path):
+    """Files have statistics and Bloom filters on doc_id; a lookup reads fewer rows, and nothing for an id between."""
+    import pyarrow.orc
+
+    path = f"file://{tmp_path}/orc"
+    many = spark.range(0, 40_000, 2).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    token_orc.write_tokens(many, path, default_tokenizer())
+    folder = str(tmp_path / "orc")
+    parts = [pyarrow.orc.ORCFile(f"{folder}/{f}") for f in __import__("os").listdir(folder) if f.startswith("part-")]
+    assert len(parts) > 1 and sum(p.nrows for p in parts) == 20_000 and all(p.row_index_stride == 1000 and p.compression == "ZSTD" for p in parts)
+
+    def scanned(doc_id):
+        found = token_orc.read_tokens(spark, path).filter(F.col("doc_id") == doc_id)
+        n, scan = len(found.collect()), found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return n, scan.metrics().get("numOutputRows").get().value()
+
+    hit, miss, outside = scanned(20_000), scanned(20_001), scanned(10**9)
+    assert hit[0] == 1 and hit[1] <= 3000 and miss[0] == 0 and miss[1] <= hit[1] and outside == (0, 0)
+    token_orc.write_tokens(none, f"{path}-none", default_tokenizer())
+    assert token_orc.read_tokens(spark, f"{path}-none").count() == 0 and token_orc.digests(spark, f"{path}-none").count() == 0
+
+
 def test_cutting_stock_is_near_the_linear_program():
     rng = np.random.default_rng(0)
     demand = rng.integers(0, 40, 64)
@@ -286,6 +333,58 @@ def test_language(docs, odd, none):
     assert {r.lang_pred for r in langid.identify(odd, docs.limit(0)).collect()} == {"und"}
 
 
+def plain_fit(examples, idf):
+    """Follow the regularised leader by the book, one weight at a time."""
+    labels = sorted({lang for lang, _, _ in examples})
+    used = [e for e in examples if zlib.crc32(e[1].tobytes() + e[2].tobytes(), 7) % 5] or examples
+    l1, l2, z, n = langid.L1 * len(used), langid.L2 * len(used), {}, {}
+
+    def weight(key):
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((langid.BETA + math.sqrt(n[key])) / langid.ALPHA + l2)
+
+    for _ in range(langid.EPOCHS):
+        for lang, at, counts in used:
+            x = {int(b): (1 + math.log(c)) * idf[b] for b, c in zip(at, counts)}
+            length = math.sqrt(sum(v * v for v in x.values()))
+            x = {**{b: v / length for b, v in x.items()}, len(idf): 1.0}
+            w = {(b, k): weight((b, k)) for b in x for k in range(len(labels))}
+            scores = [sum(v * w[b, k] for b, v in x.items()) for k in range(len(labels))]
+            e = [math.exp(v - max(scores)) for v in scores]
+            for b, v in x.items():
+                for k in range(len(labels)):
+                    g = v * (e[k] / sum(e) - (labels[k] == lang))
+                    sigma = (math.sqrt(n.get((b, k), 0.0) + g * g) - math.sqrt(n.get((b, k), 0.0))) / langid.ALPHA
+                    z[b, k] = z.get((b, k), 0.0) + g - sigma * w[b, k]
+                    n[b, k] = n.get((b, k), 0.0) + g * g
+    return labels, {key: weight(key) for key in z}
+
+
+def test_language_model_by_the_book(docs, texts):
+    """Weights equal those of a plain implementation, document frequencies those of a count, and some weights are struck."""
+    training = docs.filter("lang IS NOT NULL").limit(60).cache()
+    idf = langid.inverse_frequencies(training)
+    seen = Counter(int(b) for r in training.collect() if langid.has_letter(r.text) for b in langid.features(r.text)[0])
+    n = sum(langid.has_letter(r.text) for r in training.collect())
+    assert np.allclose(idf, [math.log((n + 1) / (seen[b] + 1)) + 1 for b in range(len(idf))])
+    examples = langid.sample(training)
+    model, (labels, weights) = langid.fit(examples, idf), plain_fit(examples, idf)
+    assert model.labels == labels
+    for (b, k), w in weights.items():
+        assert model.weights[b, k] == pytest.approx(w, abs=1e-9)
+    assert 0 < (model.weights != 0).sum() == sum(w != 0 for w in weights.values()) < len(weights)
+    assert len({e[1].tobytes() + e[2].tobytes() for e in examples}) > model.aside > 0 and model.loss < 1.0 and 0 <= model.error < 1
+
+
+def test_language_of_dirty_labels(spark, docs, odd):
+    """Any number of languages: the most frequent ones are learned. Columns that clash in any case are replaced."""
+    rows = docs.select("doc_id", "text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x"), "doc_id")).otherwise(F.col("lang")).alias("lang"))
+    assert len({e[0] for e in langid.sample(rows.filter("lang IS NOT NULL"), languages=3)}) <= 3
+    out = langid.identify(odd.withColumn("Lang_Pred", F.lit(1)), docs)
+    assert out.columns == [*odd.columns, "lang_pred", "lang_score"] and out.count() == len(ODD)
+
+
 def test_lm(spark, docs, texts, odd, none):
     got = {r.doc_id: r for r in lm.train_and_score(spark, docs).collect()}
     tokens = {d: [*t.encode().lower().split(), None] for d, t in texts.items()}
@@ -476,6 +575,28 @@ def test_arc_and_warc(spark):
     assert warc.read_archives(warc.write_archives(frame.limit(0), Workspace(spark, "t")), 2).count() == 0
 
 
+def test_warc_records_of_pages(spark):
+    """Ids are distinct, revisits name their response's record, URLs come back with their blanks, long pages whole."""
+    import pyarrow.fs
+
+    pages = [(1, "http://a/b c", "x" * 3_000_000), (2, None, "x" * 3_000_000), (2, None, "x" * 3_000_000), (3, "http://q/\t\n", "HTTP/1.1 no head"), (3, "http://q/\t\n", "HTTP/1.1 no head"), (4, "u", "\r\n\r\n")]
+    manifest = warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), Workspace(spark, "t"))
+    heads = []
+    for row in manifest.collect():
+        fs, path = pyarrow.fs.FileSystem.from_uri(row.file)
+        with fs.open_input_stream(path, compression=None) as f:
+            heads += [h for h, _ in warc.parse_warc(f)]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(pages)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            first = ids[h["WARC-Refers-To"]]
+            assert first["WARC-Type"] == "response" and first["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and first["WARC-Target-URI"] == h["WARC-Refers-To-Target-URI"]
+    got = sorted((r.page_id, r.url, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archives(manifest, 2).collect() if r.page_id != 2)
+    assert got == [(1, "http://a/b c", 3_000_000, "response", None), (3, "http://q/%09%0A", 16, "response", None), (3, "http://q/%09%0A", 16, "revisit", 3), (4, "u", 4, "response", None)]
+    assert [(r.url, r.record_type, r.refers_to) for r in warc.read_archives(manifest, 2).filter("page_id = 2").collect()] == [(None, "revisit", 1)] * 2
+
+
 def test_arc_files_of_other_makers(spark):
     """A version-2 Location is where a response redirects to: the record keeps its payload."""
     import gzip
@@ -496,6 +617,24 @@ def test_arc_files_of_other_makers(spark):
         warc.convert_archives(spark.createDataFrame([("bad", one[:-3])], frame.schema), Workspace(spark, "t"))
 
 
+def test_compaction_meets_another_writer(spark, odd, tmp_path):
+    """Runs and commit are of one manifest: with a commit in between compaction fails and loses or doubles nothing."""
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, base_bytes=1 << 10)
+    for _ in range(6):
+        store.append(odd)
+    write = store._write
+
+    def interrupted(df, rows_per_shard=0):
+        store._write = write
+        sharding.ShardStore(spark, store.path, target_bytes=1 << 20, base_bytes=1 << 10).compact()
+        return write(df, rows_per_shard)
+
+    store._write = interrupted
+    with pytest.raises(RuntimeError, match="another writer"):
+        store.compact()
+    assert store.read().count() == 6 * len(ODD)
+
+
 def test_sharding(spark, docs, odd, none, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1 << 20, base_bytes=1 << 10)
     store.append(odd.limit(3)), store.append(odd.limit(3))
