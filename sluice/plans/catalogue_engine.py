@@ -12,7 +12,7 @@ from ..sources import landing, registry
 from ..sources.store import Store
 from ..streaming import flows as streams
 from ..streaming import sinks
-from . import recon_flow
+from . import dispatch, recon_flow
 from .catalogue import CLASSES, LATEST, SCD2, SOURCE, TARGET, Tables, query, shared_folder, sql
 from .engine import CHANGES, Engine
 
@@ -184,7 +184,7 @@ def _(t: Tables) -> DataFrame:
     t.region.select(F.col("r_name").alias("value")).repartition(t.region.count(), "r_name").coalesce(1).write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
     schema = "A DEFINITIONS AUTOMATIC TAGS ::= BEGIN R ::= SEQUENCE { n INTEGER } END"
     rows = registry.read_source(t.spark, {"type": "binary_records", "path": f"{folder}/in", "schema": schema, "glob": "*.txt"})
-    return rows.agg(F.count("n").alias("records"), F.count_distinct("_eng_source_file").alias("files"))
+    return rows.agg(F.count("n").alias("records"), F.count_distinct("_metadata.file_name").alias("files"))
 
 
 @query("archive_join", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -301,6 +301,16 @@ def _(t: Tables) -> DataFrame:
     return governance.mask(governance.allowed_rows(t.customer, entitlements, ["c_nationkey"], "user2"), ["c_name"]).select("c_custkey", "c_name")
 
 
+@query("soft_delete_by_key_list", "SELECT c_custkey, c_custkey % 11 = 0 AS is_deleted FROM customer")
+def _(t: Tables) -> DataFrame:
+    store = Store(t.spark, shared_folder(t.spark))
+    store.merge("c", t.customer, ["c_custkey"], lambda old, new: new.withColumn("is_deleted", F.lit(False)), "SCD1")
+    keys = t.customer.select("c_custkey", (F.col("c_custkey") % 11 == 0).alias("gone"))
+    keys.write.option("header", "true").csv(f"{store.path}/keys.csv")
+    dispatch.soft_delete(store, "c", f"{store.path}/keys.csv", ["c_custkey"], "gone")
+    return store.read("c").select("c_custkey", "is_deleted")
+
+
 @query("governance_tags", "SELECT 'customer' AS table_name, 'c_name' AS column_name, 'pii' AS tag, 'yes' AS value UNION ALL SELECT 'customer', '', 'owner', 'b'")
 def _(t: Tables) -> DataFrame:
     store = Store(t.spark, shared_folder(t.spark))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import LoadError
 from ..operators import loads, shape
+from ..sources import registry
 from ..sources.store import Properties, Store
 from .validation import LOADS
 
@@ -84,3 +85,27 @@ def change_counts(store: Store, table: str, keys: list[str], since: int | None)
             found = {r["change"]: r["n"] for r in store.changes(table, before, after, keys).collect()}  # at most three rows
             out.append({"table": table, "version": after, **{k: found.get(k, 0) for k in ("insert", "update", "delete")}})
     return out
+
+
+def soft_delete(store: Store, table: str, location: str, keys: list[str], indicator: str) -> tuple[str, int]:
+    """Marks a table's rows whose keys a key list (see ``registry.read_keys``) marks: ("COMPLETED" or "SKIPPED",
+    keys marked). Without a marked key the table keeps its version; nothing is ever un-deleted."""
+    current = store.read(table)
+    if current is None:
+        raise LoadError(f"{table} has no version")
+    listed = registry.read_keys(store.spark, location, store)
+    if absent := [c for c in (*keys, indicator) if c not in listed.columns]:
+        raise LoadError(f"{location}: columns are missing: {absent}")
+    # A CSV file's columns are what they look like; they are compared as the table's types.
+    listed = listed.select(*[F.col(k).cast(current.schema[k].dataType) for k in keys], F.col(indicator).cast("boolean").alias(indicator))
+    marked = listed.filter(F.col(indicator)).select(*keys).distinct().count()
+    if not marked:
+        return "SKIPPED", 0
+    fresh = loads.soft_delete(current, listed, keys, indicator)
+    kept_by = (store.manifest(table)["buckets"] or {}).get("keys")
+    if kept_by:
+        changed = fresh.join(listed.filter(F.col(indicator)).select(*keys).distinct(), keys, "left_semi")
+        store.merge(table, changed, kept_by, lambda old, new: _replaced(old, new, kept_by, new), "SOFT_DELETE")
+    else:
+        store.write(table, fresh, "SOFT_DELETE")
+    return "COMPLETED", marked

@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,9 @@ RETENTION_DAYS = 7
 ENDINGS = (".decrypted", ".gpg", ".pgp", ".gz")
 #: Bytes copied at once.
 COPIED = 1 << 20
-#: What a broken archive raises.
-BROKEN = (OSError, zipfile.BadZipFile, zlib.error, EOFError, EngineError)
+#: What a broken archive raises; Arrow's files don't seek before their start with an OSError.
+TORN = (OSError, zipfile.BadZipFile, zlib.error, EOFError, pyarrow.ArrowInvalid)
+BROKEN = (*TORN, EngineError)
 
 
 def file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -241,7 +243,7 @@ def validate_batch(archives: Sequence[str]) -> list[BatchError]:
                 with zipfile.ZipFile(f) as z:
                     if bad := z.testzip():
                         errors.append(BatchError(path, f"bad checksum in {bad}"))
-            except (zipfile.BadZipFile, zlib.error, EOFError, OSError) as e:
+            except TORN as e:
                 errors.append(BatchError(path, f"malformed: {e}"))
         if digest.hexdigest() in seen:
             errors.append(BatchError(path, f"the same content as {seen[digest.hexdigest()]}"))

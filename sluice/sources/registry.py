@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..errors import PlanError
 from ..functions.params import in_path
+from ..operators import shape
 from . import ber, files
 from .store import Store
 from .table_stream import TableStream
@@ -67,13 +66,11 @@ def _(spark: SparkSession, read: Mapping, store: Store | None) -> DataFrame:
 
 @reader("binary_records")
 def _(spark: SparkSession, read: Mapping, store: Store | None) -> DataFrame:
-    """Whole binary files, each split into records and decoded; file name, size and time pass through."""
-    source = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if read.get("stream") else spark.read
-    made = source.format("binaryFile")
+    """Whole binary files, each split into records and decoded; the files' metadata stays with their records."""
+    schema = "path string, modificationTime timestamp, length bigint, content binary"
+    made = (spark.readStream.schema(schema) if read.get("stream") else spark.read).format("binaryFile")
     made = made.option("pathGlobFilter", read["glob"]) if read.get("glob") else made
-    raw = made.load(read["path"]).select(
-        F.element_at(F.split("path", "/"), -1).alias("_eng_source_file"), F.col("length").alias("_eng_source_size"), F.col("modificationTime").alias("_eng_source_time"), "content"
-    )
+    raw = shape.with_hidden_metadata(made.load(read["path"])).select("_metadata", "content")
     return ber.decode_frame(raw, read["schema"], read.get("root"))
 
 
