@@ -9,6 +9,7 @@ not grow with the corpus. Documents are then ranked within their class and dealt
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from itertools import count
@@ -95,6 +96,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 4000) -> tuple[np.nda
         inverse -= np.outer(direction, pivot)
         inverse[out] = pivot
         basis[out] = pattern
+    else:
+        warnings.warn(f"column generation stopped after {rounds} rounds: the packing is whole, but its padding may not be the least", stacklevel=2)
     return basis, np.maximum(used, 0)
 
 
@@ -139,8 +142,8 @@ def pack(docs: DataFrame, work: Workspace, tokenizer: str, size: int = 4096, ste
 
     Each id of each document (its text's ids and the end id) lies in exactly one piece; a sequence holds at
     most `size` ids, and its offsets are gapless from 0. Null or empty text is the end id alone. Rows that
-    repeat a doc_id (null too) are packed as documents of their own. Other columns are ignored; an empty
-    table gives no piece.
+    repeat a doc_id (null too) are packed as documents of their own. Long texts are cut into as many full
+    sequences as they fill. Other columns are ignored; an empty table gives no piece.
     """
     pieces = work.save(cut(docs, tokenizer, size, step), "pieces")
     capacity = size // step

@@ -26,7 +26,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
 
     part is the range's number, part_start counts the ids before the document in its range. Null text is
     empty (the end id alone). Null doc_ids come first; rows that repeat a doc_id are ordered by a hash of
-    their text, so the files are the same whenever a task is run again. Extra columns are ignored.
+    their text, so the files are the same whenever a task is run again. Long texts are encoded whole. An empty
+    table gives a folder without rows; extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
