@@ -17,11 +17,17 @@ SYMBOLS = r"[#*$%&|<>]"
 #: A line is navigation if it has this many separators and few words between them.
 SEPARATOR = r"[|»›•]"
 MIN_SEPARATORS, MAX_WORDS_PER_SEGMENT = 3, 2
-#: Whole short lines that carry no text of their own. Fixed values.
-BOILERPLATE = (
-    r"(?i)(all rights reserved|cookie policy|cookie settings|accept cookies|privacy policy|terms of (use|service)"
-    r"|sign up|log in|subscribe (now|to our)|newsletter|click here|read more|enable javascript|share (this|on) )"
-)
+#: Phrases of lines without a text of their own. Fixed values.
+PHRASES = (
+    "all rights reserved", "cookie policy", "cookie settings", "accept cookies", "privacy policy", "terms of use", "terms of service", "sign up", "log in",
+    "subscribe now", "subscribe to our", "newsletter", "click here", "read more", "enable javascript", "share this", "share on",
+)
+#: A short line is boilerplate if such phrases, as whole words, hold at least half of its letters and digits. With
+#: two blanks for whatever parts words, neighbouring phrases don't share a border.
+NOT_IN_WORDS = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
+BOILERPLATE = "(?i) (" + "|".join(x.replace(" ", "  ") for x in PHRASES) + ") "
+#: Every phrase has one of these; most lines have none and cost no more than this look.
+HINT = "(?i)(reserved|cookie|privacy|terms|sign|log|subscribe|newsletter|click|read|javascript|share)"
 MAX_BOILERPLATE_CHARS = 120
 #: A line needs a letter or digit, and at most this share (percent) of its characters may be symbols.
 LETTER_OR_DIGIT = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -39,7 +45,9 @@ def line_fails(line: Column) -> Column:
     separators = F.regexp_count(line, F.lit(SEPARATOR))
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D|»›•]+"))
     navigation = line.rlike(SEPARATOR) & (separators >= MIN_SEPARATORS) & (words <= MAX_WORDS_PER_SEGMENT * (separators + 1))
-    boilerplate = (F.length(line) <= MAX_BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
+    bare = F.concat(F.lit(" "), F.regexp_replace(line, NOT_IN_WORDS, "  "), F.lit(" "))
+    letters = lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))
+    boilerplate = (F.length(line) <= MAX_BOILERPLATE_CHARS) & line.rlike(HINT) & (letters(F.regexp_replace(bare, BOILERPLATE, "")) * 2 <= letters(bare))
     symbols = F.regexp_count(line, F.lit(SYMBOLS)) * 100 > chars_in_words(line) * MAX_SYMBOL_PERCENT
     return navigation | boilerplate | (line.rlike(SYMBOLS) & symbols) | ~line.rlike(LETTER_OR_DIGIT)
 

@@ -117,10 +117,10 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 g AS (SELECT doc_id, i, w[i:i + 4] AS win FROM d, unnest(range(1, len(w) - 3)) t(i)),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
 c AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM r, unnest(range(0, 5)) u(j) GROUP BY doc_id),
-l AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars FROM d, unnest(lines) v(x)),
+l AS (SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS chars, ' ' || regexp_replace(x, '[^0-9A-Za-z\x{80}-\x{10FFFF}]+', '  ', 'g') || ' ' AS bare FROM d, unnest(lines) v(x)),
 f AS (SELECT doc_id, sum(chars) AS lost FROM l WHERE
         (len(regexp_extract_all(x, '[|»›•]')) >= 3 AND len(regexp_extract_all(x, '[^\x20\x09-\x0D|»›•]+')) <= 2 * (len(regexp_extract_all(x, '[|»›•]')) + 1))
-        OR (length(x) <= 120 AND regexp_matches(x, '(?i)(all rights reserved|cookie policy|cookie settings|accept cookies|privacy policy|terms of (use|service)|sign up|log in|subscribe (now|to our)|newsletter|click here|read more|enable javascript|share (this|on) )'))
+        OR (length(x) <= 120 AND 2 * length(replace(regexp_replace(bare, '(?i) (all  rights  reserved|cookie  policy|cookie  settings|accept  cookies|privacy  policy|terms  of  use|terms  of  service|sign  up|log  in|subscribe  now|subscribe  to  our|newsletter|click  here|read  more|enable  javascript|share  this|share  on) ', '', 'g'), ' ', '')) <= length(replace(bare, ' ', '')))
         OR len(regexp_extract_all(x, '[#*$%&|<>]')) * 100 > chars * 10
         OR NOT regexp_matches(x, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]') GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,

@@ -480,6 +480,15 @@ def test_quality_under_a_filter(spark, docs, texts):
     assert {r.doc_id: r.text for r in quality.clean_documents(docs).collect()} == {d: r.cleaned for d, r in judged.items() if r.kept}
 
 
+def test_boilerplate_is_most_of_its_line(spark):
+    clean = ["The old catalog in the town library lists every book printed before the war.", "They chose a new design upgrade for the bridge after the flood of last spring.",
+             "She asked him to sign up for the course that begins in the autumn of this year.", "Die Dialog-In-Kommission tagt in der Nähe von Köln über das neue Gesetz im Land."]
+    noise = ["All rights reserved.", "© 2024 All Rights Reserved", "Sign up | Log in", "Subscribe to our newsletter", "CLICK HERE -- read more", "log-in"]
+    rows = [(i, x + "\n" + clean[0]) for i, x in enumerate([*clean, *noise])]
+    got = {r.doc_id: r.cleaned for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(4)] == [t for _, t in rows[:4]] and [got[i] for i in range(4, 10)] == [clean[0]] * 6
+
+
 def test_quality_clashing_columns(spark):
     text = "a fine line of ten words that stays as it is"
     frame = spark.createDataFrame([(1, text, 7, True, "z")], "doc_id long, text string, n_words long, kept boolean, row string")
