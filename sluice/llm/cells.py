@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: Entries of a cell table that travel as one row.
 CHUNK = 1 << 16
 #: Rows of a chunk that one merging task reads at most.
@@ -24,6 +26,7 @@ def merged(frame: DataFrame, fill: Callable[[Iterator[pa.RecordBatch]], np.ndarr
     fill returns size entries, or None for nothing; size is a multiple of CHUNK. An empty frame gives zeros.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filled = fill(batches)
         if filled is not None:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,10 +73,25 @@ def let_go() -> None:
     sys.__dict__["_sluice_held"] = None
 
 
+def tidied(run):
+    """A function over a partition's batches that gives freed memory back to the system when it ends: Arrow and the
+    C library would keep it for this worker, which then waits beside the next stage's memory."""
+
+    @functools.wraps(run)
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidy
+
+
 def release(spark: SparkSession) -> None:
     """Collects driver garbage, so that shuffle files of finished queries are removed."""
-    import gc
-
     gc.collect()
     spark._jvm.System.gc()
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import cells, voronoi
-from .common import Workspace, let_go, release
+from .common import Workspace, let_go, release, tidied
 from .components import components
 
 #: Cells that order the shingles; more of them tell rare from frequent in larger corpora.
@@ -111,6 +111,7 @@ def shingle_windows(docs: DataFrame, n: int, percent: int, counts, keyed: bool =
     """
     added = ["text_key"] if keyed else []
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = counts.value
         low = np.uint64(len(often) - 1)
@@ -156,6 +157,7 @@ def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
     """
     plain, marker, spread = 0, 1, 2
 
+    @tidied
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many, turn = [], 0, 0
 
@@ -196,6 +198,7 @@ def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
         if many:
             yield from flush()
 
+    @tidied
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(columns[0]), 200_000):
@@ -314,6 +317,7 @@ def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     asked = spark.sparkContext.broadcast(cells.merged(wanted.select("th", "doc"), fill, TEXT_CELLS // 8, np.bitwise_or, np.uint8))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = asked.value, set()
         for batch, texts in _texts(batches, 1):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import let_go
+from .common import let_go, tidied
 
 BITS = 15
 #: The classifier is fitted on at most about SAMPLE documents, and on about PER_LANG of each language.
@@ -71,6 +71,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Smoothed inverse document frequency of every bucket, over all docs that have a letter."""
     size = (1 << BITS) // SLICES
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for _, texts in _texts(batches, 0):
@@ -80,6 +81,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
         blobs = [df[k * size : (k + 1) * size].tobytes() for k in range(SLICES)]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(blobs, pa.binary()), pa.array([n] + [0] * (SLICES - 1), pa.int64())], ["slice", "blob", "n"])
 
+    @tidied
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, tuple[np.ndarray, int]] = {}
         for batch in batches:
@@ -108,6 +110,7 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, at_most: int = SAMPLE, lan
     pick = F.abs(F.xxhash64("doc_id", "text") % 1_000_003) / 1_000_003
     docs = docs.join(F.broadcast(sizes), "lang").filter(pick < F.lit(each) / F.col("of_lang"))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, 0):
             pairs = [features(t) if has_letter(t) else (np.empty(0, np.int64), np.empty(0, np.int64)) for t in texts]
@@ -216,6 +219,7 @@ def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
     place = passed.index("text")
     frame = docs.select(*[F.col(f"`{c}`") for c in passed])
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in _texts(batches, place):
             names, scores = [], []

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE
+from .common import ALNUM_TABLE, tidied
 
 #: Base phrases and their labels (fixed by the query's contract).
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -123,6 +123,7 @@ def document_frequencies(docs: DataFrame, words: list[str]) -> tuple[int, dict[b
     """Number of documents, and for each word the inverse document frequency over all of them."""
     known = frozenset(w.encode() for w in words)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, df = 0, dict.fromkeys(known, 0)
         for batch in batches:
@@ -152,6 +153,7 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
     _, weight = document_frequencies(docs, vocabulary(base, templates))
     index = Index(base, templates, weight)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())])))
         names = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places")

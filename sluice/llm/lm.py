@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, held
+from .common import Workspace, held, tidied
 from .elias_fano import EliasFano, from_buffer, to_bytes
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b""))
@@ -233,6 +233,7 @@ def numbered(docs: DataFrame, model: dict, passed: tuple[str, ...] = ()) -> Data
     vocabulary = model["nodes"][0][-1]
     kind = _id_type(vocabulary)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words_of(model)
         for part, texts in _slices(batches, 0):
@@ -268,6 +269,7 @@ def count_words(docs: DataFrame, folder: str) -> dict:
     buckets = max(1, parts // 2)
     text = docs.select(F.col("text").cast("string").alias("text"))
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def send(keys: list[np.ndarray]) -> pa.RecordBatch:
             key, n = _counted(keys)
@@ -283,6 +285,7 @@ def count_words(docs: DataFrame, folder: str) -> dict:
         if waiting:
             yield send(waiting)
 
+    @tidied
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
@@ -332,6 +335,7 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
     if first[-1] * (vocabulary + 1) >= 2**64:
         raise ValueError(f"{first[-1]} contexts of {vocabulary} words are too many for keys of 64 bits")
 
+    @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, bounds = Trie.of(model), np.array(first, np.uint64) * _U(vocabulary)
 
@@ -358,6 +362,7 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
         if waiting:
             yield send(waiting)
 
+    @tidied
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
@@ -402,6 +407,7 @@ def score_numbered(ids: DataFrame, model: dict) -> DataFrame:
     """score() of texts that `numbered` has numbered, from (doc_id, ids)."""
     vocabulary = model["nodes"][0][-1]
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie.of(model)
         denominator = model["total"] + vocabulary + 1

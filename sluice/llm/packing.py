@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, let_go, tidied
 from .tokens import WordEncoder
 
 #: Width of a length class in tokens: a pattern is at most this much per piece longer than its pieces.
@@ -31,6 +31,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 def cut(docs: DataFrame, tokenizer: str, size: int, step: int = STEP) -> DataFrame:
     """One row per piece; class 0 are full sequences, class c > 0 remainders of up to c * step tokens."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (size // step + 2)
@@ -153,7 +154,9 @@ def pack(docs: DataFrame, work: Workspace, tokenizer: str, size: int = 4096, ste
         demand[row["class"] - 1] = row["n"]
     tables = slots(plan(demand, capacity), capacity)
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             kind, rank = batch.column(5).to_numpy(), batch.column(6).to_numpy()
             sequence, slot = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)

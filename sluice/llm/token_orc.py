@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import let_go, tidied
 from .tokens import WordEncoder
 
 FORMAT = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.compress": "ZSTD"}
@@ -30,6 +31,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     table gives a folder without rows; extra columns are ignored.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
@@ -59,7 +61,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             lists = batch.column(3)
             offsets = lists.offsets.to_numpy()

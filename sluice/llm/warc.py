@@ -21,7 +21,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, tidied
 
 #: Field names of the two versions' header lines (fixed by the format).
 FIELDS = {
@@ -226,6 +226,7 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
     run_id = work.path
     name = lambda id_, url, key, copy: f"{run_id} {id_} {url} {key} {copy}"
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base)
@@ -285,6 +286,7 @@ def convert_archives(arcs: DataFrame, work: Workspace) -> DataFrame:
     """
     folder = work.at("archives")
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(folder)
         fs.create_dir(base)
@@ -316,6 +318,7 @@ def read_archives(manifest: DataFrame, tasks: int) -> DataFrame:
     other makers have no page_id. Files are streamed record by record.
     """
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: int(x) if x and x.removeprefix("-").isdecimal() else None
         for batch in batches:
