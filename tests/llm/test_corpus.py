@@ -690,3 +690,28 @@ def test_pipeline(spark, docs, texts):
     packed = stages["packing"](spark, clean, SF).collect()
     e = WordEncoder.of(default_tokenizer())
     assert sum(p.length for p in packed) == sum(len(b) // 4 for b in e.encode([r.text for r in clean.collect()]))
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, docs, tmp_path):
+    """Nulls in any column, repeated rows, long texts, ties, clashing extra columns; and nothing at all."""
+    import corpus_pipeline as pipeline
+
+    words = lambda n, k: " ".join(f"word{(7 * i + k) % 999_983}" for i in range(n))
+    texts = [(None, words(40, 1)), (1, None), (2, ""), (3, words(40, 2)), (3, words(40, 2)), (4, words(40, 2)), (5, words(30_000, 3)), (6, words(40, 4)), (6, words(40, 5))]
+    odd = spark.createDataFrame([(i, t, "en", None, None, "x", 1.5, True) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, n_words string, bad_id double, kept boolean")
+    first = pipeline.STAGES[0][1](spark, odd, SF)
+    assert first.columns == odd.columns and Counter(r.doc_id for r in first.collect()) == Counter([None, 3, 3, 4, 5, 6, 6])
+    third = pipeline.STAGES[2][1](spark, first, SF)
+    assert third.columns == odd.columns and Counter(r.doc_id for r in third.collect()) == Counter([None, 3, 5, 6, 6])
+    fourth = pipeline.STAGES[3][1](spark, third, SF)
+    assert fourth.columns == odd.columns and fourth.count() == 5
+    packed = pipeline.STAGES[4][1](spark, fourth, SF)
+    assert Counter(r.doc_id for r in packed.filter("start = 0").collect()) == Counter([None, 3, 5, 6, 6])
+    told = pipeline.STAGES[1][1](spark, first, SF)
+    assert told.columns == odd.columns and {r.lang for r in told.collect()} <= {"en"}
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs.limit(0), SF)
+        assert out.count() == 0 and (out.columns == docs.columns or stage is pipeline.STAGES[-1][1])
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, f"file://{tmp_path}").count() == 0
