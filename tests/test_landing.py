@@ -318,3 +318,43 @@ def test_governance(spark, tmp_path):
         governance.with_tags(df, {"nope": {}})
     governance.register_function(spark, "twice", lambda x: 2 * x, "int")
     assert spark.sql("SELECT twice(4) AS n").first().n == 8
+
+
+def test_pgp_messages(tmp_path):
+    import bz2
+    import hashlib
+
+    from sluice.functions import pgp
+
+    for size in (0, 1, 15, 16, 17, 5000):
+        data = os.urandom(size)
+        for armor in (False, True):
+            message = pgp.encrypt(data, "päss", "n.csv", armor)
+            assert pgp.decrypt(message, "päss") == data and (message[:5] == b"-----") == armor
+    message = pgp.encrypt(b"data" * 100, "a")
+    for bad in (message[:-1] + bytes([message[-1] ^ 1]), message[:80] + bytes([message[80] ^ 1]) + message[81:]):
+        with pytest.raises(EngineError):
+            pgp.decrypt(bad, "a")
+    with pytest.raises(EngineError, match="passphrase"):
+        pgp.decrypt(message, "b")
+    for text in (b"no message", b"", message[:40]):
+        with pytest.raises(EngineError):
+            pgp.decrypt(text, "a")
+    # Old packet heads, lengths in parts, compressed content, and a session key that is itself encrypted.
+    body = os.urandom(700)
+    inner = b"b\0" + bytes(4) + body
+    literal = bytes([0xC0 | pgp.LITERAL, 0xE9]) + inner[:512] + bytes([0xC0, len(inner) - 512 - 192]) + inner[512:]
+    assert list(pgp.packets(literal)) == [(pgp.LITERAL, inner)]
+    packed = bytes([0x80 | pgp.COMPRESSED << 2 | 3, 3]) + bz2.compress(literal)
+    start, key = os.urandom(16), os.urandom(16)
+    plain = start + start[-2:] + packed + pgp.CHECK_HEAD
+    how = bytes([1, 2]) + os.urandom(8)
+    made, _ = pgp._key("x", how, 32)
+    session = bytes([4, 9]) + how + pgp._feedback_encrypt(made, b"\7" + key)
+    old = lambda tag, b: bytes([0x80 | tag << 2 | 1]) + len(b).to_bytes(2, "big") + b
+    message = old(pgp.PASSPHRASE_SESSION, session) + bytes([0xC0 | pgp.PROTECTED, 0xFF]) + (w := b"\1" + pgp._feedback_encrypt(key, plain + hashlib.sha1(plain).digest())).__len__().to_bytes(4, "big") + w
+    assert pgp.decrypt(message, "x") == body
+    # As an archive in a landing folder.
+    (tmp_path / "x.csv.gz.pgp").write_bytes(pgp.encrypt(gzip.compress(b"a,b\n"), "x"))
+    (out,) = landing.extract(str(tmp_path / "x.csv.gz.pgp"), str(tmp_path), decrypt=lambda b: pgp.decrypt(b, "x"))
+    assert os.path.basename(out) == "x.csv" and open(out).read() == "a,b\n"
