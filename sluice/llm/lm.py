@@ -3,8 +3,9 @@
 Level 1 holds every training token's hash and count; level k holds, for every node of level k - 1 as
 context, its back-off weight and its successors: monotone pointers into one sequence of successor ids made
 monotone by adding the last value of the context before, and one byte of quantised log probability each. A
-successor's place is its node for level k + 1. Words are numbered by hash, all levels are dealt to shards by
-ranges of the first word's number, and a shard is one flat file a level that workers map into memory. A query
+successor's place is its node for level k + 1. Words are numbered by hash, and every level is dealt to shards by
+ranges of (context, word): a frequent word's successors are split over several shards, other contexts are whole.
+A shard is one flat file that workers map into memory. A query
 finds the word by successor search in level 1, then each next word among the context's successors by
 successor search relative to the context.
 
@@ -40,6 +41,9 @@ END = np.uint64(xxhash.xxh3_64_intdigest(b""))
 DISCOUNT, MIN_BIGRAM, ORDER = 0.5, 1, 2
 #: Two bytes hold a log10 probability of 0 to -20 in equal steps, so counts up to 10 ** 20 keep their place.
 QUANTA = 20.0 / 65_535
+#: A word that has more than its shard's share by HOT_IN_SHARD, and than all shards' mean by SPLIT, has its successors
+#: split by ranges, each of about 1 / SPLIT of a shard.
+HOT_IN_SHARD, SPLIT = 8, 2
 #: The least back-off weight.
 LEAST = 1e-8
 #: Tokens a counting task holds before it sends on what it has counted.
@@ -175,6 +179,8 @@ class Trie(Words):
         self.model, self.vocabulary = model, model["nodes"][0][-1]
         self.nodes = [np.array(n, np.int64) for n in model["nodes"]]
         self.levels = [[_mapped(f) if f else None for f in files] for files in model["levels"]]
+        self.bounds = [np.array(b, np.uint64) for b in model["bounds"]]
+        self.split = [(np.array(s["contexts"], np.int64), np.array(s["weights"])) for s in model["split"]]
         self.pointers = [[EliasFano.of(s, "pointer") if s else None for s in level] for level in self.levels]
         self.successors = [[EliasFano.of(s, "successor") if s else None for s in level] for level in self.levels]
 
@@ -184,13 +190,14 @@ class Trie(Words):
         return held("trie", json.dumps(model), lambda: Trie(model))
 
     def _look(self, k: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(discounted probability, back-off weight, node or -1) of successors in the k-th level of contexts, ordered by context."""
+        """(discounted probability, back-off weight, node or -1) of successors in the k-th level of contexts, ordered by context and word."""
         direct, weight, node = np.zeros(len(word)), np.ones(len(word)), np.full(len(word), -1, np.int64)
-        first = self.nodes[k]
-        at = np.searchsorted(context, first)
+        bounds, vocabulary = self.bounds[k], _U(self.vocabulary)
+        key = context.astype(np.uint64) * vocabulary + np.maximum(word, 0).astype(np.uint64)
+        at = np.searchsorted(key, bounds)
         for b, (s, e) in enumerate(zip(at, at[1:])):
             if e > s and (level := self.levels[k][b]):
-                local = context[s:e] - first[b]
+                local = context[s:e] - int(bounds[b] // vocabulary)
                 weight[s:e] = dequantise(level["weight"][local])
                 start, end = (self.pointers[k][b].get(local + i).astype(np.int64) for i in (0, 1))
                 some = np.flatnonzero((end > start) & (word[s:e] >= 0))
@@ -201,6 +208,10 @@ class Trie(Words):
                 direct[s + some[hit]] = dequantise(level["probability"][i[hit]])
                 if k + 1 < len(self.nodes):
                     node[s + some[hit]] = i[hit] + self.nodes[k + 1][b]
+        split, whole = self.split[k]
+        if len(split):  # shards know only their part of these
+            i = np.minimum(np.searchsorted(split, context), len(split) - 1)
+            weight = np.where(split[i] == context, whole[i], weight)
         return direct, weight, node
 
     def follow(self, k: int, context: np.ndarray, word: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -290,17 +301,19 @@ def count_words(docs: DataFrame, folder: str) -> dict:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
             file = _put(folder, f"words-{b}", to_bytes({**EliasFano.encode(key).arrays("hash"), "count": _small(n)}))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (b, file, len(key), int(n.sum()))], ["bucket", "file", "n", "total"])
+            hot = np.flatnonzero(n * HOT_IN_SHARD > n.sum())  # fewer than HOT_IN_SHARD
+            columns = [pa.array([x]) for x in (b, file, len(key), int(n.sum()))] + [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (hot, n[hot])]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "file", "n", "total", "hot", "times"])
 
     work = Workspace(spark, "lm")
-    merged = text.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long, total long")
+    merged = text.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long, total long, hot array<long>, times array<long>")
     made = {r["bucket"]: r for r in work.save(merged, "words").collect()}  # one row per shard
     words = [made[b]["file"] if b in made else None for b in range(buckets)]
     first = np.concatenate([[0], np.cumsum([made[b]["n"] if b in made else 0 for b in range(buckets)])]).tolist()
-    vocabulary, total = first[-1], sum(r["total"] for r in made.values())
-
+    total = sum(r["total"] for r in made.values())
+    hot = [[first[b] + i, n] for b, r in sorted(made.items()) for i, n in zip(r["hot"], r["times"]) if n * SPLIT * buckets > total]
     work.drop()
-    return {"words": words, "nodes": [first], "levels": [], "total": total}
+    return {"words": words, "nodes": [first], "levels": [], "bounds": [], "split": [], "hot": hot, "total": total}
 
 
 def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, min_bigram: int = MIN_BIGRAM, order: int = ORDER) -> dict:
@@ -321,28 +334,44 @@ def add_levels(ids: DataFrame, model: dict, folder: str, discount: float = DISCO
     """The model with the levels above words, counted over the numbered training texts."""
     work = Workspace(ids.sparkSession, "lm")
     for k in range(order - 1) if model["nodes"][0][-1] else ():
-        files, sizes = _train_level(ids.select("ids"), folder, work, model, discount, min_bigram)
+        bounds = _bounds(model)
+        files, sizes, split = _train_level(ids.select("ids"), folder, work, model, bounds, discount, min_bigram)
         nodes = [np.concatenate([[0], np.cumsum(sizes)]).tolist()] if k < order - 2 else []
-        model = model | {"levels": [*model["levels"], files], "nodes": [*model["nodes"], *nodes]}
+        model = model | {key: [*model[key], *more] for key, more in (("levels", [files]), ("bounds", [bounds]), ("split", [split]), ("nodes", nodes))}
     work.drop()
     return model
 
 
-def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, discount: float, min_bigram: int) -> tuple[list[str | None], list[int]]:
-    """Counts the successors of the last level's nodes; returns the next level's files and their numbers of nodes."""
-    words, first, depth = model["words"], model["nodes"][-1], len(model["levels"])
-    buckets, vocabulary, name = len(words), model["nodes"][0][-1], f"level{depth + 2}"
+def _bounds(model: dict) -> list[int]:
+    """Where the next level's shards begin, as context * words + word, and where the last one ends."""
+    buckets, vocabulary = len(model["words"]), model["nodes"][0][-1]
+    if model["levels"]:
+        contexts = model["nodes"][-1][-1]
+        return sorted({contexts * b // buckets * vocabulary for b in range(buckets + 1)})
+    made = {first * vocabulary for first in model["nodes"][0]}
+    for word, n in model["hot"]:
+        parts = -(-n * SPLIT * buckets // model["total"])
+        made |= {word * vocabulary + vocabulary * i // parts for i in range(parts + 1)}
+    return sorted(made)
+
+
+def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, bounds: list[int], discount: float, min_bigram: int) -> tuple[list[str | None], list[int], dict]:
+    """Counts the successors of the last level's nodes; returns the next level's files, their numbers of nodes and
+    the back-off weights of contexts whose successors are split."""
+    first, depth = model["nodes"][-1], len(model["levels"])
+    vocabulary, name, shards = model["nodes"][0][-1], f"level{depth + 2}", len(bounds) - 1
     if first[-1] * (vocabulary + 1) >= 2**64:
         raise ValueError(f"{first[-1]} contexts of {vocabulary} words are too many for keys of 64 bits")
+    split = [word for word, _ in model["hot"]] if depth == 0 else []
 
     @tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, bounds = Trie.of(model), np.array(first, np.uint64) * _U(vocabulary)
+        trie, begins = Trie.of(model), np.array(bounds, np.uint64)
 
         def send(keys: list[np.ndarray]) -> pa.RecordBatch:
             key, n = _counted(keys)
-            at = np.searchsorted(key, bounds)
-            return _rows([(b, _blob(key[s:e] - bounds[b], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
+            at = np.searchsorted(key, begins)
+            return _rows([(b, _blob(key[s:e] - begins[b], n[s:e])) for b, (s, e) in enumerate(zip(at, at[1:])) if e > s])
 
         waiting: list[np.ndarray] = []
         for _, word, sizes in _numbers(batches, 0, _id_type(vocabulary)):
@@ -366,15 +395,17 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, blobs in _by_bucket(batches).items():
             key, n = _merged(blobs)
-            size = first[b + 1] - first[b]
-            context = (key // _U(vocabulary)).astype(np.int64)
+            key = key + _U(bounds[b])
+            begin, end = bounds[b] // vocabulary, -(-bounds[b + 1] // vocabulary)
+            size, context = end - begin, (key // _U(vocabulary)).astype(np.int64) - begin
             # Every context but a text's end has a successor wherever it occurs, so longer contexts' counts are sums.
-            of_context = np.bincount(context, n, minlength=size) if depth else _mapped(words[b])["count"].astype(np.float64)
+            of_context = np.bincount(context, n, minlength=size) if depth else _words_of(model).counts(np.arange(begin, end)).astype(np.float64)
             stays = n >= min_bigram
             key, n, context = key[stays], n[stays], context[stays]
             word = key % _U(vocabulary)
             direct = (n - discount) / of_context[context]
-            weight = np.maximum(1.0 - np.bincount(context, direct, minlength=size), LEAST)
+            mass = np.bincount(context, direct, minlength=size)
+            weight = np.maximum(1.0 - mass, LEAST)
             pointer = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=size))])
             # Context-relative: a context's ids start at the last value of the context before.
             heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(key) else np.empty(0, np.int64)
@@ -385,12 +416,19 @@ def _train_level(ids: DataFrame, folder: str, work: Workspace, model: dict, disc
                 **EliasFano.encode(pointer).arrays("pointer"), **EliasFano.encode(successor).arrays("successor"),
                 "probability": quantise(direct), "weight": quantise(weight),
             }
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_put(folder, f"{name}-{b}", to_bytes(arrays))]), pa.array([len(key)])], ["bucket", "file", "n"])
+            here = [c for c in split if begin <= c < end]
+            told = [pa.array([x], pa.list_(kind)) for x, kind in ((here, pa.int64()), ([float(mass[c - begin]) for c in here], pa.float64()))]
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([_put(folder, f"{name}-{b}", to_bytes(arrays))]), pa.array([len(key)]), *told], ["bucket", "file", "n", "split", "mass"])
 
     parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    merged = ids.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long")
-    made = {r["bucket"]: r for r in work.save(merged, name).collect()}
-    return [made[b]["file"] if b in made else None for b in range(buckets)], [made[b]["n"] if b in made else 0 for b in range(buckets)]
+    merged = ids.mapInArrow(count, "bucket int, blob binary").repartition(parts, "bucket").mapInArrow(merge, "bucket long, file string, n long, split array<long>, mass array<double>")
+    made = {r["bucket"]: r for r in work.save(merged, name).collect()}  # one row per shard
+    mass = dict.fromkeys(split, 0.0)
+    for r in made.values():
+        for c, m in zip(r["split"], r["mass"]):
+            mass[c] += m
+    weights = dequantise(quantise(np.maximum(1.0 - np.array(list(mass.values())), LEAST))).tolist()
+    return [made[b]["file"] if b in made else None for b in range(shards)], [made[b]["n"] if b in made else 0 for b in range(shards)], {"contexts": list(mass), "weights": weights}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:

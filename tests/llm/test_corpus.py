@@ -428,9 +428,15 @@ def test_lm_keeps_pairs_seen_once(spark):
         assert got[d] == pytest.approx(sum(math.log10(p(v, w)) for v, w in zip([None, *t[:-1]], t)))
 
 
-@pytest.mark.parametrize("order", [3, 4])
-def test_lm_of_higher_order(spark, docs, texts, odd, none, order):
-    """Every n-gram up to the order, discounted and interpolated, against counts in dictionaries."""
+@pytest.mark.parametrize("order,split", [(3, False), (4, False), (3, True)])
+def test_lm_of_higher_order(spark, docs, texts, odd, none, order, split, monkeypatch):
+    """Every n-gram up to the order, discounted and interpolated, against counts in dictionaries; also where the
+    successors of frequent words are split over shards."""
+    if split:
+        monkeypatch.setattr(lm, "HOT_IN_SHARD", 400)
+        monkeypatch.setattr(lm, "SPLIT", 400)
+        model = lm.train(docs, Workspace(spark, "t").at("m"), order=2)
+        assert len(model["split"][0]["contexts"]) > 5 and len(model["bounds"][0]) > 50
     tokens = {d: [*t.encode().lower().split(), None] for d, t in texts.items()}
     out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in tokens}
     grams, one = Counter(), Counter()
