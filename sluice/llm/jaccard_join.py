@@ -37,11 +37,11 @@ COUNT_CELLS = 1 << 20
 #: Cells that tell which texts are read again; full cells only mean that more texts are.
 TEXT_CELLS = 1 << 24
 #: A key that one task holds more often than this goes on row by row, not to one task.
-HOT = 256
+HOT = 64
 #: Regions in which every pair within the threshold meets (or in as many as it has shingles in common).
 SHARED = 4
 #: (key, node) pairs that a task sorts at once.
-SORTED_PAIRS = 2_000_000
+SORTED_PAIRS = 400_000
 #: A second-level region of more documents or shingles than this is re-centred, not joined in one task.
 MAX_MEMBERS, MAX_CODES = 4_096, 4_000_000
 #: Lists of up to this many 8-byte ids are broadcast; longer ones are joined by shuffle.
@@ -182,7 +182,7 @@ def meetings(classes: DataFrame, percent: int, parts: int) -> DataFrame:
             columns = list(zip(*out)) if out else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "rows"])
 
-        for batch in batches:
+        for batch in (whole.slice(at, 2_000) for whole in batches for at in range(0, whole.num_rows, 2_000)):
             ends = batch.column(2).offsets.to_numpy()
             keys = batch.column(2).values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
             each = np.diff(ends)
