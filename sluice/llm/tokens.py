@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterable
 from itertools import chain
 
+import numpy as np
 import regex
 
 from .common import held
@@ -13,7 +15,9 @@ from .common import held
 #: Id that ends every document.
 END = (2).to_bytes(4, "little")
 #: Words and pieces a worker remembers; beyond that it forgets those that the texts at hand don't need.
-MAX_WORDS, MAX_PIECES = 500_000, 350_000
+MAX_WORDS, MAX_PIECES = 300_000, 200_000
+#: Words or pieces that the library encodes at once.
+BATCH = 2_000
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
 #: str.split() takes for white space but the tokenizer doesn't.
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
@@ -32,7 +36,9 @@ class WordEncoder:
 
     def __init__(self, path: str):
         import json
+        import os
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
@@ -43,9 +49,12 @@ class WordEncoder:
             raise ValueError(f"{path}: only tokenizers that lower-case and drop white space are supported")
         self.find = regex.compile(steps[0]["pattern"]["Regex"] + "|\n").findall
         self.whole = Tokenizer.from_file(path)
-        self.piece = Tokenizer.from_file(path)  # of one piece: it is neither normalised nor split
+        self.piece = Tokenizer.from_file(path)  # of a piece a line, neither normalised nor split further
         self.piece.normalizer = normalizers.Sequence([])
-        self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.piece.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = spec["model"].get("end_of_word_suffix") or "\0"
+        self.ends = np.zeros(self.piece.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.piece.get_vocab().items() if token.endswith(suffix)]] = True
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"\n": _MARK}
 
@@ -61,13 +70,25 @@ class WordEncoder:
         new = list(set(found).difference(self.pieces))
         if len(self.pieces) + len(new) > MAX_PIECES:
             self.pieces = {p: self.pieces[p] for p in set(found).intersection(self.pieces)}
-        for p, coded in zip(new, self.piece.encode_batch_fast(new, add_special_tokens=False)):
-            self.pieces[p] = array("I", coded.ids).tobytes()
+        for at in range(0, len(new), BATCH):
+            self.pieces.update(self._coded(new[at : at + BATCH]))
         self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(_MARK)))
         rest = set(words).difference(plain) if len(plain) < len(words) else ()
         rest = list(rest)
-        for w, found in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
-            self.words[w] = array("I", found.ids).tobytes()
+        for at in range(0, len(rest), BATCH):
+            for w, coded in zip(rest[at : at + BATCH], self.whole.encode_batch_fast(rest[at : at + BATCH], add_special_tokens=False)):
+                self.words[w] = array("I", coded.ids).tobytes()
+
+    def _coded(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Each piece with its ids. All go as one text of a line each, as an answer per piece would cost many
+        times the piece; ids that end a word part the lines. Where they don't, each piece goes by itself."""
+        (found,) = self.piece.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)
+        ids = np.array(found.ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1) if len(ids) else np.empty(0, np.int64)
+        if len(ends) != len(pieces):
+            return [(p, array("I", x.ids).tobytes()) for p, x in zip(pieces, self.piece.encode_batch_fast(pieces, add_special_tokens=False))]
+        data, ends = ids.tobytes(), ends.tolist()
+        return zip(pieces, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, each with the end id; null is empty."""
