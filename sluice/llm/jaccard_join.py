@@ -386,7 +386,7 @@ def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace,
     """Links (a, b) that connect exactly what all pairs within the threshold connect."""
     regions = met.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("node"), "n")
     often = met.filter("kind = 2").groupBy("a", "b", "n", "least").agg(F.sum("times").alias("times")).filter("times >= least")
-    members = _second(regions).union(met.filter("kind = 0").select("a", "b", "n")).union(often.select("a", "b", "n"))
+    members = _second(regions, work, "pivots-0").union(met.filter("kind = 0").select("a", "b", "n")).union(often.select("a", "b", "n"))
     members = work.save(members.distinct(), "members-0")
     texts = classes.select("node", "th", "doc")
     links, held, step = [], None, 0
@@ -410,7 +410,7 @@ def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace,
         open_ = cells_.filter(~F.col("linked")).select("a").distinct()
         regions = work.save(_recentred(cells_.join(open_, "a", "left_semi"), percent), f"regions-{step}")
         step += 1
-        members = work.save(_second(regions).distinct(), f"members-{step}")
+        members = work.save(_second(regions, work, f"pivots-{step}").distinct(), f"members-{step}")
         release(docs.sparkSession)
     out = links[0]
     for more in links[1:]:
@@ -418,10 +418,12 @@ def _links(docs: DataFrame, met: DataFrame, classes: DataFrame, work: Workspace,
     return out
 
 
-def _second(regions: DataFrame) -> DataFrame:
+def _second(regions: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Members (a, b, n) of second-level regions, from regions (key, node, n) of any size: the document with the
-    smallest hash is the pivot."""
-    pivots = regions.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("a"))
+    smallest hash is the pivot. A list of pivots of checked size is broadcast, so rows of a hot key stay where they are."""
+    pivots = work.save(regions.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("a")), name)
+    if pivots.count() <= MAX_BROADCAST_IDS // 2:
+        pivots = F.broadcast(pivots)
     return regions.join(pivots, "key").filter("a <> node").select("a", F.col("node").alias("b"), "n")
 
 
@@ -477,28 +479,28 @@ def _recentred(cells: DataFrame, percent: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, work: Workspace, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: the one with the smallest doc_id. All columns pass through.
+    """docs with one document of each group: the one with the smallest doc_id. All columns pass through, whatever
+    their names and types.
 
     Rows of a group that share its smallest doc_id count as copies too, and so do repeated rows; one of them
     stays, picked by all its columns. Rows that share a doc_id but are in different groups are told apart by
     their texts. Documents without doc_id stay.
     """
     found = work.save(jaccard_components(docs, Workspace(docs.sparkSession, "join"), n, percent, keyed=True), "found")
-    here = (F.col("doc_id") == F.col("_id")) & (_text_key() == F.col("_key"))
-    gone = work.save(found.filter("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone").toDF("_id", "_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    here = (F.col("row.doc_id") == F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("key"))
+    gone = work.save(found.filter("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone").toDF("id", "key")
     if gone.count() <= MAX_BROADCAST_IDS // 2:
         gone = F.broadcast(gone)
-    left = docs.join(gone, here, "left_anti")
+    left = rows.join(gone, here, "left_anti")
     # Texts without words are linked with nothing: only the same text again is a copy.
     first = found.filter("doc_id = component_id").select("doc_id", "text_key", F.struct("root", F.when(F.col("root").isNull(), F.col("text_key")).alias("blank")).alias("group"))
     several = first.groupBy("doc_id", "group").count().filter("count > 1").select("doc_id", "group")
-    twice = work.save(first.distinct().join(several, ["doc_id", "group"], "left_semi"), "twice").select("doc_id", "text_key", "group").toDF("_id", "_key", "group")
+    twice = work.save(first.distinct().join(several, ["doc_id", "group"], "left_semi"), "twice").select("doc_id", "text_key", "group").toDF("id", "key", "group")
     if twice.isEmpty():
-        return left
+        return left.select("row.*")
     if twice.count() <= MAX_BROADCAST_IDS // 4:
         twice = F.broadcast(twice)
-    once = left.join(twice, here, "left_anti")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    copies = left.select(row, F.col("doc_id").alias("i"), _text_key().alias("k")).join(twice, (F.col("i") == F.col("_id")) & (F.col("k") == F.col("_key")))
-    picked = copies.groupBy("_id", "group").agg(F.min("row").alias("row")).select("row.*")
-    return once.unionByName(picked)
+    ordered = not any(kind in docs.schema.simpleString() for kind in ("map<", "variant"))  # Spark has no order for these
+    picked = left.join(twice, here).groupBy("id", "group").agg((F.min("row") if ordered else F.min_by("row", F.to_json("row"))).alias("row"))
+    return left.join(twice, here, "left_anti").union(picked.select("row")).select("row.*")

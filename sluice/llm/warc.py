@@ -201,8 +201,8 @@ def write_archives(pages: DataFrame, work: Workspace, date: str = "1998010100000
     A page becomes an ARC payload with an HTTP head; a null URL is written as a dash. Records pass through a version-2 ARC in memory, so the converter makes every record. Of equal payloads
     the row with the smallest page_id (repeated rows: one of them) is the response, the others are revisits;
     null html is the empty payload, and a null page_id comes after all others. Files have names of their
-    own, and only those that the committed manifest names count, so tasks may run again. Extra columns are
-    ignored; an empty table gives an empty manifest.
+    own, and only those that the committed manifest names count, so tasks may run again. Pages of any length are
+    written whole, one record each. Extra columns are ignored; an empty table gives an empty manifest.
     """
     folder = work.at("archives")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")).withColumn("key", F.sha1("html"))

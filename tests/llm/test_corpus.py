@@ -115,6 +115,14 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90)
 
 
+def test_keep_one_with_clashing_columns(spark):
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(2, text, 1, "g", {"m": 1}), (1, text + " z", 2, "g", {"m": 2}), (1, text + " z", 3, None, None), (None, text, 4, "x", {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, `group` string, row map<string,int>")
+    kept = jaccard_join.keep_one(docs, Workspace(spark, "t"))
+    assert kept.columns == docs.columns and sorted((r.doc_id is None, r.id) for r in kept.collect()) in ([(False, 2), (True, 4)], [(False, 3), (True, 4)])
+
+
 def test_region_joins_like_brute_force():
     """Voronoi cells, windows and rings connect what all pairs within the threshold connect, and nothing else."""
     rng = np.random.default_rng(0)
