@@ -45,7 +45,7 @@ SORTED_PAIRS = 400_000
 #: A second-level region of more documents or shingles than this is re-centred, not joined in one task.
 MAX_MEMBERS, MAX_CODES = 4_096, 4_000_000
 #: Lists of up to this many 8-byte ids are broadcast; longer ones are joined by shuffle.
-MAX_BROADCAST_IDS = 500_000
+MAX_BROADCAST_IDS = 2_000_000
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -290,12 +290,9 @@ def second_level(rows: np.ndarray, percent: int) -> tuple[list[np.ndarray], list
     return [found["a"], found["b"], found["n"]], [pair["a"], pair["b"], pair["n"], times, pair["least"]]
 
 
-def _among(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """Rows of df whose column is among the distinct ids; a list of checked size is broadcast."""
-    keys = ids.toDF(column)
-    if keys.count() <= MAX_BROADCAST_IDS:
-        keys = F.broadcast(keys)
-    return df.join(keys, column, "left_semi")
+def _listed(ids: DataFrame, width: int) -> DataFrame:
+    """Rows of so many ids each, marked for broadcast where there are few enough."""
+    return F.broadcast(ids) if ids.count() * width <= MAX_BROADCAST_IDS else ids
 
 
 def _read_again(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -422,9 +419,7 @@ def _second(regions: DataFrame, work: Workspace, name: str) -> DataFrame:
     """Members (a, b, n) of second-level regions, from regions (key, node, n) of any size: the document with the
     smallest hash is the pivot. A list of pivots of checked size is broadcast, so rows of a hot key stay where they are."""
     pivots = work.save(regions.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node"))["node"].alias("a")), name)
-    if pivots.count() <= MAX_BROADCAST_IDS // 2:
-        pivots = F.broadcast(pivots)
-    return regions.join(pivots, "key").filter("a <> node").select("a", F.col("node").alias("b"), "n")
+    return regions.join(_listed(pivots, 2), "key").filter("a <> node").select("a", F.col("node").alias("b"), "n")
 
 
 def _joined(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
@@ -438,9 +433,7 @@ def _joined(docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFr
         pairs = np.array(found, np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(nodes[pairs[:, 0]], pa.int64()), "b": pa.array(nodes[pairs[:, 1]], pa.int64())})
 
-    placed = members.select("th", "a", "node")
-    if members.count() <= MAX_BROADCAST_IDS // 2:
-        placed = F.broadcast(placed)
+    placed = _listed(members.select("th", "a", "node"), 2)
     rows = _read_again(docs, members, n).join(placed, "th").select("a", "node", "codes")
     return rows.groupBy("a").applyInArrow(join, "a long, b long")
 
@@ -490,17 +483,14 @@ def keep_one(docs: DataFrame, work: Workspace, n: int = 5, percent: int = 80) ->
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     here = (F.col("row.doc_id") == F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("key"))
     gone = work.save(found.filter("doc_id <> component_id").select("doc_id", "text_key").distinct(), "gone").toDF("id", "key")
-    if gone.count() <= MAX_BROADCAST_IDS // 2:
-        gone = F.broadcast(gone)
-    left = rows.join(gone, here, "left_anti")
+    left = rows.join(_listed(gone, 2), here, "left_anti")
     # Texts without words are linked with nothing: only the same text again is a copy.
     first = found.filter("doc_id = component_id").select("doc_id", "text_key", F.struct("root", F.when(F.col("root").isNull(), F.col("text_key")).alias("blank")).alias("group"))
     several = first.groupBy("doc_id", "group").count().filter("count > 1").select("doc_id", "group")
     twice = work.save(first.distinct().join(several, ["doc_id", "group"], "left_semi"), "twice").select("doc_id", "text_key", "group").toDF("id", "key", "group")
     if twice.isEmpty():
         return left.select("row.*")
-    if twice.count() <= MAX_BROADCAST_IDS // 4:
-        twice = F.broadcast(twice)
+    twice = _listed(twice, 4)
     ordered = not any(kind in docs.schema.simpleString() for kind in ("map<", "variant"))  # Spark has no order for these
     picked = left.join(twice, here).groupBy("id", "group").agg((F.min("row") if ordered else F.min_by("row", F.to_json("row"))).alias("row"))
     return left.join(twice, here, "left_anti").union(picked.select("row")).select("row.*")

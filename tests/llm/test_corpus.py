@@ -196,6 +196,22 @@ def test_keep_one_tells_texts_of_one_id_apart(spark):
     assert Counter(map(tuple, kept)) == Counter(want)
 
 
+def test_a_long_list_of_copies_is_broadcast(spark, monkeypatch):
+    """So many copies as 6 GB hold: whole texts are neither shuffled nor sorted to drop them."""
+    found = spark.range(400_000).selectExpr("id AS doc_id", "-1L AS component_id", "xxhash64('a') AS text_key", "0L AS root")
+    monkeypatch.setattr(jaccard_join, "jaccard_components", lambda *a, **k: found)
+    docs = spark.createDataFrame([(7, "a"), (7, "b"), (400_000, "a"), (None, "a")], "doc_id long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = jaccard_join.keep_one(docs, Workspace(spark, "t"))
+        assert sorted(map(tuple, kept.collect()), key=str) == [(400_000, "a"), (7, "b"), (None, "a")]
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_packing_and_orc(spark, docs, odd, none, tmp_path):
     e = WordEncoder.of(default_tokenizer())
     for frame in (docs, odd):
