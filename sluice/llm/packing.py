@@ -35,17 +35,18 @@ def cut(docs: DataFrame, tokenizer: str, size: int, step: int = STEP) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         seen = [0] * (size // step + 2)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 250):
-                batch, rows = whole.slice(k, 250), []
-                for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist())):
-                    n = len(ids) // 4
+        for batch in batches:
+            docs = iter(batch.column(0).to_pylist())
+            for coded, sizes in encoder.runs(batch.column(1)):
+                rows, ids, at = [], memoryview(coded).cast("B"), 0
+                for n, doc in zip(sizes.tolist(), docs):
                     for start in range(0, n, size):
-                        piece = ids[4 * start : 4 * (start + size)]
-                        length = len(piece) // 4
+                        length = min(size, n - start)
+                        piece = ids[4 * (at + start) : 4 * (at + start + length)]
                         c = 0 if length == size else -(-length // step)
                         rows.append((doc, start, length, zlib.crc32(piece), n, c, part, seen[c]))
                         seen[c] += 1
+                    at += n
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -34,18 +34,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = WordEncoder.of(tokenizer), TaskContext.get().partitionId(), 0
-        for whole in batches:
-            for k in range(0, whole.num_rows, 250):
-                batch = whole.slice(k, 250)
-                coded = encoder.encode(batch.column(1).to_pylist())
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
+        for batch in batches:
+            row = 0
+            for coded, sizes in encoder.runs(batch.column(1)):
                 ends = np.cumsum(sizes)
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(coded), np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(np.full(len(coded), part, np.int32)), pa.array(at + ends - sizes), ids], ["doc_id", "part", "part_start", "ids"]
-                )
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(coded.view(np.int32)))
+                keys = batch.column(0).slice(row, len(sizes))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + ends - sizes), ids], ["doc_id", "part", "part_start", "ids"])
                 at += int(ends[-1])
+                row += len(sizes)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

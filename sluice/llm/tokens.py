@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from array import array
-from collections.abc import Iterable
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import regex
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import held
 
@@ -18,20 +17,33 @@ END = (2).to_bytes(4, "little")
 MAX_WORDS, MAX_PIECES = 300_000, 200_000
 #: Words or pieces that the library encodes at once.
 BATCH = 2_000
+#: Bytes of text taken apart at once (a longer text by itself), and words whose ids are copied at once.
+CHUNK, COPIED = 8 << 20, 1 << 20
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
-#: str.split() takes for white space but the tokenizer doesn't.
-_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
-#: Words of these characters only are lower-cased here; normalisation of others is left to the library.
-_PLAIN = re.compile("[\x00-ɏ]*").fullmatch
-#: Ends a word; never part of ids, whose upper bytes are zero.
-_MARK = b"\xff" * 4
+#: Arrow takes for white space but the tokenizer doesn't.
+_ODD = r"<\||[\x1C-\x1F]"
+#: Words with these are left to the library; others are lower-cased and taken apart here.
+_FOREIGN = r"[^\x00-\x{12F}\x{131}-\x{24F}]"
+#: The only rule for pieces that is followed here: a word of letters alone is one piece. By another rule all words are foreign.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _copied(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ids that begin at starts, one after another."""
+    out = []
+    for k in range(0, len(starts), COPIED):
+        size = sizes[k : k + COPIED]
+        ends = np.cumsum(size)
+        out.append(ids[np.repeat(starts[k : k + COPIED] - (ends - size), size) + np.arange(ends[-1])])
+    return np.concatenate(out) if out else ids[:0]
 
 
 class WordEncoder:
     """Encodes texts as the whole-text call of the library would, but each distinct word once.
 
-    This holds for tokenizers whose pieces never span white space. On plain words NFC changes nothing, and
-    str.lower() lower-cases as the library does.
+    This holds for tokenizers whose pieces never span white space. Arrow splits and counts the words of many
+    texts together, so only distinct pieces come to Python. On words that aren't foreign NFC changes nothing, and
+    Arrow lower-cases as the library does.
     """
 
     def __init__(self, path: str):
@@ -47,7 +59,7 @@ class WordEncoder:
         steps = spec["pre_tokenizer"]["pretokenizers"]
         if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
             raise ValueError(f"{path}: only tokenizers that lower-case and drop white space are supported")
-        self.find = regex.compile(steps[0]["pattern"]["Regex"] + "|\n").findall
+        self.foreign = _FOREIGN if steps[0]["pattern"].get("Regex") == _RULE else ""
         self.whole = Tokenizer.from_file(path)
         self.piece = Tokenizer.from_file(path)  # of a piece a line, neither normalised nor split further
         self.piece.normalizer = normalizers.Sequence([])
@@ -55,29 +67,31 @@ class WordEncoder:
         suffix = spec["model"].get("end_of_word_suffix") or "\0"
         self.ends = np.zeros(self.piece.get_vocab_size(), bool)
         self.ends[[i for token, i in self.piece.get_vocab().items() if token.endswith(suffix)]] = True
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"\n": _MARK}
+        self.words: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
 
     @staticmethod
     def of(path: str) -> WordEncoder:
         """This process's encoder; it outlives tasks where Spark reuses its workers."""
         return held("encoder", path, lambda: WordEncoder(path))
 
-    def _learn(self, words: list[str]) -> None:
-        """Plain words are taken apart together; each distinct piece is encoded once."""
-        plain = [w for w in words if w.isascii() or _PLAIN(w)]
-        found = self.find("\n".join([*plain, ""]).lower())
-        new = list(set(found).difference(self.pieces))
-        if len(self.pieces) + len(new) > MAX_PIECES:
-            self.pieces = {p: self.pieces[p] for p in set(found).intersection(self.pieces)}
+    @staticmethod
+    def _known(memory: dict[str, bytes], keys: list[str], most: int, learn: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all keys, and where each one's begin and how many they are; keys not yet in memory are learnt."""
+        new = [k for k in keys if k not in memory]
+        if len(memory) + len(new) > most:
+            # What these texts share with those before is what is frequent.
+            frequent = {k: memory[k] for k in keys if k in memory}
+            memory.clear()
+            memory.update(frequent, **{"": b""})
         for at in range(0, len(new), BATCH):
-            self.pieces.update(self._coded(new[at : at + BATCH]))
-        self.words.update(zip(plain, b"".join(map(self.pieces.__getitem__, found)).split(_MARK)))
-        rest = set(words).difference(plain) if len(plain) < len(words) else ()
-        rest = list(rest)
-        for at in range(0, len(rest), BATCH):
-            for w, coded in zip(rest[at : at + BATCH], self.whole.encode_batch_fast(rest[at : at + BATCH], add_special_tokens=False)):
-                self.words[w] = array("I", coded.ids).tobytes()
+            memory.update(learn(new[at : at + BATCH]))
+        coded = [memory[k] for k in keys]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        return np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes, sizes
+
+    def _whole(self, words: list[str]) -> Iterable[tuple[str, bytes]]:
+        return [(w, array("I", x.ids).tobytes()) for w, x in zip(words, self.whole.encode_batch_fast(words, add_special_tokens=False))]
 
     def _coded(self, pieces: list[str]) -> Iterable[tuple[str, bytes]]:
         """Each piece with its ids. All go as one text of a line each, as an answer per piece would cost many
@@ -90,17 +104,60 @@ class WordEncoder:
         data, ends = ids.tobytes(), ends.tolist()
         return zip(pieces, map(data.__getitem__, map(slice, [0, *ends[:-1]], ends)))
 
+    def _taken_apart(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As _known, of distinct words; each distinct piece of them is looked up once."""
+        foreign = pc.match_substring_regex(words, self.foreign)
+        low = pc.utf8_lower(words.filter(pc.invert(foreign)))
+        single = pc.utf8_is_alpha(low)
+        alone = low.filter(single)
+        parted = pc.ascii_split_whitespace(pc.replace_substring_regex(low.filter(pc.invert(single)), f"({_RULE})", r"\1 "))
+        pieces = pa.concat_arrays([alone, parted.values]).dictionary_encode()
+        ids, starts, sizes = self._known(self.pieces, pieces.dictionary.to_pylist(), MAX_PIECES, self._coded)
+        index = pieces.indices.to_numpy()
+        ids = _copied(ids, starts[index], sizes[index])
+        before = np.concatenate([[0], np.cumsum(sizes[index])])
+        # Words of one piece come first, then the others; each begins at the piece that its list begins at.
+        bounds = before[np.concatenate([np.arange(len(alone)), len(alone) + parted.offsets.to_numpy()])]
+        other, one = np.flatnonzero(~np.asarray(foreign)), np.asarray(single)
+        rest, rest_starts, rest_sizes = self._known(self.words, words.filter(foreign).to_pylist(), MAX_WORDS, self._whole)
+        places = np.concatenate([other[one], other[~one], np.flatnonzero(foreign)])
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[places] = np.concatenate([bounds[:-1], len(ids) + rest_starts])
+        sizes[places] = np.concatenate([np.diff(bounds), rest_sizes])
+        return np.concatenate([ids, rest]), starts, sizes
+
+    def _together(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        # Every text ends with one word more: the end id or, of an odd text, which has no other words, all its ids.
+        last = [END, *(array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes() + END for t in texts.filter(odd).to_pylist())]
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if len(last) > 1 else texts)
+        words = lists.values.dictionary_encode()
+        ids, starts, sizes = self._taken_apart(words.dictionary)
+        last_sizes = np.array([len(x) // 4 for x in last], np.int64)
+        starts = np.concatenate([starts, len(ids) + np.cumsum(last_sizes) - last_sizes])
+        sizes = np.concatenate([sizes, last_sizes])
+        ids = np.concatenate([ids, np.frombuffer(b"".join(last), "<u4")])
+        odd = np.asarray(odd)
+        ends = lists.offsets.to_numpy()[1:] + np.arange(len(texts))
+        index = np.empty(len(words) + len(texts), np.int64)
+        inner = np.ones(len(index), bool)
+        inner[ends] = False
+        index[inner] = words.indices.to_numpy()
+        index[ends] = len(words.dictionary) + np.cumsum(odd) * odd
+        sizes = sizes[index]
+        return _copied(ids, starts[index], sizes), np.add.reduceat(sizes, np.concatenate([[0], ends[:-1] + 1]))
+
+    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one row range after another: the ids (unsigned 32-bit) of its texts, each with the end id, and how many
+        each text has. Null is empty."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            yield self._together(texts.slice(at, to - at))
+            at = to
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text, each with the end id; null is empty."""
-        split = [None if t and any(x in t for x in _ODD) else (t or "").split() for t in texts]
-        needed = set(chain.from_iterable(s for s in split if s))
-        new = needed.difference(self.words)
-        if len(self.words) + len(new) > MAX_WORDS:
-            # What these texts share with the words known so far is what is frequent.
-            self.words = {w: self.words[w] for w in needed.intersection(self.words)}
-        self._learn(list(new))
-        get = self.words.__getitem__
-        return [
-            (b"".join(map(get, s)) if s is not None else array("I", self.whole.encode(t, add_special_tokens=False).ids).tobytes()) + END
-            for t, s in zip(texts, split)
-        ]
+        return [x.tobytes() for ids, sizes in self.runs(pa.array(texts, pa.string())) for x in np.split(ids, np.cumsum(sizes)[:-1])]

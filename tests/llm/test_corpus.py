@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sluice.llm import decontam, jaccard_join, langid, licenses, lm, packing, quality, sharding, token_orc, voronoi, warc
+from sluice.llm import decontam, jaccard_join, langid, licenses, lm, packing, quality, sharding, token_orc, tokens, voronoi, warc
 from sluice.llm.common import Workspace
 from sluice.llm.elias_fano import EliasFano, from_buffer, to_bytes
 from sluice.llm.queries import default_tokenizer
@@ -61,6 +61,42 @@ def test_encoder_is_the_library(texts):
     assert e.encode(sample) == want
 
 
+def test_encoder_of_all_characters_and_little_memory(monkeypatch):
+    """Every rule for pieces meets every character that is taken apart outside the library, and some beyond; texts are
+    split over ranges, and words are forgotten between them."""
+    path = default_tokenizer()
+    chars = [*map(chr, range(0x260)), *"\u0301\u0345\u03a3\u03c2\u0416\u1e9e\u2028\u212b\u3000\u4e2d\u0e01\ufb01\U0001d400\U0001f600"]
+    sample = [x for c in chars for x in (c, f"A{c}B {c}{c}1{c} it{c}'S {c}'ll,{c}\n..{c}", f" {c}", f"{c} ")]
+    sample += [None, "", " ", "word " * 3000, "Ab,c" * 2000, "<|endoftext|> a", "a <| b", "x\x1cy z", "I'M you'Ve 12345 a--b \"''s\""]
+    whole = WordEncoder(path).whole
+    want = [np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for t in sample]
+    assert WordEncoder(path).encode(sample) == want
+    for name, value in (("CHUNK", 500), ("COPIED", 7), ("MAX_WORDS", 5), ("MAX_PIECES", 20), ("BATCH", 3)):
+        monkeypatch.setattr(tokens, name, value)
+    small = WordEncoder(path)
+    assert small.encode(sample) == want and small.encode(sample[::-1]) == want[::-1]
+    foreign = WordEncoder(path)
+    foreign.foreign = ""  # as by a rule for pieces that isn't known here
+    assert foreign.encode(sample[::5]) == want[::5]
+    assert small.encode([]) == []
+
+
+def test_encoder_looks_words_up_once():
+    """Words that fill many texts are looked up once for all of them, not at each place."""
+    looked = []
+
+    class Seen(dict):
+        def __getitem__(self, key):
+            looked.append(key)
+            return super().__getitem__(key)
+
+    e = WordEncoder(default_tokenizer())
+    e.words, e.pieces = Seen(e.words), Seen(e.pieces)
+    words = [f"{chr(97 + i // 10)}word{chr(97 + i % 10)}" for i in range(50)]
+    coded = e.encode([" ".join(words[(i * k) % 50] for k in range(400)) for i in range(250)])
+    assert len(coded) == 250 and 0 < len(looked) < 500
+
+
 def brute_components(texts, n, percent):
     def shingles(t):
         w = WS.findall(low(t))
