@@ -34,6 +34,20 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def at_most(spark: SparkSession, key: str, most: int | None):
+    """Holds a setting of the session, of which 0 or less is no limit, at most so high; None leaves it alone."""
+    before = spark.conf.get(key)
+    if most is None or 0 < int(before) <= most:
+        yield
+        return
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Workspace:
     """A fresh folder below the shared root. Tables written here cut lineage and outlive executors."""
 
@@ -44,9 +58,11 @@ class Workspace:
     def at(self, name: str) -> str:
         return f"{self.path}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df as Parquet and returns the frame that reads it."""
-        df.write.mode("overwrite").parquet(self.at(name))
+    def save(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """Writes df as Parquet and returns the frame that reads it. With batch_rows its Python steps get their rows
+        in batches of at most that many: the executor and its workers hold one or two batches of every task."""
+        with at_most(self.spark, "spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows):
+            df.write.mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:

@@ -25,6 +25,9 @@ from .tokens import WordEncoder
 
 #: Width of a length class in tokens: a pattern is at most this much per piece longer than its pieces.
 STEP = 8
+#: Rows that a task gets at once (10,000, Spark's default, are about 25 MB of the large check table, held on both
+#: sides of the pipe) and bytes of text that it takes apart at once.
+BATCH_ROWS, CHUNK = 1_000, 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long"
 
 
@@ -37,7 +40,7 @@ def cut(docs: DataFrame, tokenizer: str, size: int, step: int = STEP) -> DataFra
         seen = [0] * (size // step + 2)
         for batch in batches:
             docs = iter(batch.column(0).to_pylist())
-            for coded, sizes in encoder.runs(batch.column(1)):
+            for coded, sizes in encoder.runs(batch.column(1), CHUNK):
                 rows, ids, at = [], memoryview(coded).cast("B"), 0
                 for n, doc in zip(sizes.tolist(), docs):
                     for start in range(0, n, size):
@@ -147,7 +150,7 @@ def pack(docs: DataFrame, work: Workspace, tokenizer: str, size: int = 4096, ste
     repeat a doc_id (null too) are packed as documents of their own. Long texts are cut into as many full
     sequences as they fill. Other columns are ignored; an empty table gives no piece.
     """
-    pieces = work.save(cut(docs, tokenizer, size, step), "pieces")
+    pieces = work.save(cut(docs, tokenizer, size, step), "pieces", BATCH_ROWS)
     capacity = size // step
     counts = work.save(pieces.groupBy("part", "class").agg(F.count("*").alias("n")), "counts")
     demand = np.zeros(capacity, np.int64)

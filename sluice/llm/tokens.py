@@ -18,7 +18,7 @@ MAX_WORDS, MAX_PIECES = 300_000, 200_000
 #: Words or pieces that the library encodes at once.
 BATCH = 2_000
 #: Bytes of text taken apart at once (a longer text by itself), and words whose ids are copied at once.
-CHUNK, COPIED = 8 << 20, 1 << 20
+CHUNK, COPIED = 8 << 20, 1 << 16
 #: Texts with these take the library's own path: special tokens' first characters, and separators that
 #: Arrow takes for white space but the tokenizer doesn't.
 _ODD = r"<\||[\x1C-\x1F]"
@@ -148,13 +148,13 @@ class WordEncoder:
         sizes = sizes[index]
         return _copied(ids, starts[index], sizes), np.add.reduceat(sizes, np.concatenate([[0], ends[:-1] + 1]))
 
-    def runs(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For one row range after another: the ids (unsigned 32-bit) of its texts, each with the end id, and how many
-        each text has. Null is empty."""
+    def runs(self, texts: pa.Array, chunk: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one row range after another, of about chunk (else CHUNK) bytes: the ids (unsigned 32-bit) of its texts, each with the
+        end id, and how many each text has. Null is empty."""
         ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (chunk or CHUNK), "right")))
             yield self._together(texts.slice(at, to - at))
             at = to
 

@@ -272,6 +272,43 @@ def test_packing_and_orc(spark, docs, odd, none, tmp_path):
     assert packing.pack(none, Workspace(spark, "t"), default_tokenizer()).count() == 0
 
 
+def test_packing_takes_few_rows_at_once(spark, monkeypatch):
+    """A task holds its batches beside the encoder, so their rows and the bytes taken apart at once are bounded."""
+
+    class Spy:
+        @staticmethod
+        def of(path):
+            return Spy()
+
+        def runs(self, texts, chunk=8 << 20):
+            assert len(texts) <= 100 and chunk <= 4 << 20
+            return WordEncoder.of(default_tokenizer()).runs(texts, chunk)
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    table = spark.range(450).selectExpr("id AS doc_id", "repeat('word ', 1 + id % 7) AS text").coalesce(1)
+    before = spark.conf.get(key)
+    whole = packing.pack(table, Workspace(spark, "p"), default_tokenizer()).orderBy("doc_id").collect()
+    monkeypatch.setattr(packing, "WordEncoder", Spy)
+    monkeypatch.setattr(packing, "BATCH_ROWS", 100, raising=False)
+    assert packing.pack(table, Workspace(spark, "p"), default_tokenizer()).orderBy("doc_id").collect() == whole
+    assert len(whole) == 450 and spark.conf.get(key) == before
+
+
+def test_encoder_copies_few_words_at_once():
+    """Beside what it returns, copying the ids of many words takes little memory."""
+    import tracemalloc
+
+    ids, starts, sizes = np.arange(100, dtype="<u4"), np.arange(1_000_000) % 98, np.full(1_000_000, 2)
+    tracemalloc.start()
+    try:
+        copied = tokens._copied(ids, starts, sizes)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (copied.reshape(-1, 2) == np.stack([starts, starts + 1], 1)).all()
+    assert peak < 3 * copied.nbytes
+
+
 def test_packing_in_the_query(spark, docs, odd):
     """Each id lies in exactly one piece, and the pieces' digests are those of the documents' own ids."""
     e = WordEncoder.of(default_tokenizer())
